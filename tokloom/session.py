@@ -69,7 +69,11 @@ def materialize(df: DataFrame) -> DataFrame:
     the files live in the shared checkpoint folder.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Persisted first so that writing the checkpoint does not recompute it.
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def rows_at_most(df: DataFrame, limit: int) -> bool:
