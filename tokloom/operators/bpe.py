@@ -110,6 +110,11 @@ class BpeResult:
     types: DataFrame                   # piece, cnt, y: final symbols of every piece
     merge_list: list[tuple[int, int, int, int, int]] = field(default_factory=list)
     rounds: int = 0
+    snapshots: dict[int, DataFrame] = field(default_factory=dict)   # vocab -> types
+
+    def merges_for(self, vocab_size: int) -> list[tuple[int, int, int, int, int]]:
+        """Merge list of a smaller vocabulary: a prefix of the learned list."""
+        return self.merge_list[:max(0, vocab_size - FIRST_MERGE_ID)]
 
 
 def _rewrite(y, chosen_with_ids):
@@ -125,12 +130,14 @@ def _rewrite(y, chosen_with_ids):
 
 def train_bpe(piece_counts: DataFrame, vocab_size: int,
               min_frequency: int = MIN_PAIR_FREQUENCY, mode: str = "exact",
-              fetch: int = 64, checkpoint_every: int = 8) -> BpeResult:
+              fetch: int = 64, checkpoint_every: int = 8,
+              snapshots: list[int] | None = None) -> BpeResult:
     """Learn ``vocab_size - 257`` merges (fewer if no pair reaches ``min_frequency``).
 
     ``piece_counts``: ``piece, cnt``. ``mode='exact'`` equals one merge per
     round; ``'batched'`` takes every symbol-disjoint fetched pair per round
-    (faster, approximate).
+    (faster, approximate). ``snapshots``: smaller vocabulary sizes whose piece
+    segmentation is also kept (a round never crosses a snapshot size).
     """
     check_vocab_size(vocab_size)
     spark: SparkSession = piece_counts.sparkSession
@@ -142,6 +149,16 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
     next_id = FIRST_MERGE_ID
     rounds = 0
     prev = None
+    targets = sorted({v - FIRST_MERGE_ID for v in (snapshots or [])
+                      if FIRST_MERGE_ID <= v < vocab_size})
+    snaps: dict[int, DataFrame] = {}
+
+    def union_all(parts):
+        out = parts[0]
+        for a in parts[1:]:
+            out = out.unionByName(a)
+        return out
+
     while len(merges) < wanted_total:
         pairs = pair_counts_of(state).where(F.col("cnt") >= min_frequency)
         top_rows = pairs.orderBy(F.desc("cnt"), "left", "right").limit(fetch).collect()
@@ -152,6 +169,9 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
         if not top:
             break
         wanted = wanted_total - len(merges)
+        pending = [t for t in targets if t > len(merges)]
+        if pending:
+            wanted = min(wanted, pending[0] - len(merges))
         if mode == "exact":
             chosen = choose_exact(top, wanted, len(top) < fetch, min_frequency)
         elif mode == "batched":
@@ -165,18 +185,22 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
             next_id += 1
         rounds += 1
         new_state = state.withColumn("y", _rewrite(F.col("y"), with_ids))
-        if rounds % checkpoint_every == 0:
+        snap_now = len(merges) in targets
+        if rounds % checkpoint_every == 0 or snap_now:
             ck = materialize(new_state)
             aside.append(ck.where(~F.col("y").contains("||")))
             new_state = ck.where(F.col("y").contains("||"))
+            if snap_now:
+                snaps[len(merges) + FIRST_MERGE_ID] = union_all(aside + [new_state])
         prev = state
         state = new_state.persist(StorageLevel.MEMORY_AND_DISK)
-    final_types = aside[0]
-    for a in aside[1:] + [state]:
-        final_types = final_types.unionByName(a)
+    final_types = union_all(aside + [state])
+    for t in targets:
+        snaps.setdefault(t + FIRST_MERGE_ID, final_types)
+    snaps[vocab_size] = final_types
     merges_df = spark.createDataFrame(merges, MERGE_SCHEMA)
     return BpeResult(merges=merges_df, vocab=vocab_table(spark, merges), types=final_types,
-                     merge_list=merges, rounds=rounds)
+                     merge_list=merges, rounds=rounds, snapshots=snaps)
 
 
 def vocab_bytes(merges: list[tuple[int, int, int, int, int]]) -> dict[int, bytes]:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BATCH_ROWS, BYTES_PER_TOKEN_ESTIMATE, MIN_CHARS, VAL_FRACTION
-from ..session import join_small
-from .ordering import rank_in_order, running_sum_before
+from .ordering import rank_within, running_sum_before
 
 
 def label_documents(shards: DataFrame) -> DataFrame:
@@ -61,17 +60,14 @@ def corpus_summary(labelled: DataFrame) -> DataFrame:
 
 
 def batch_numbers(keys: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Add ``row_in_shard`` and ``batch_id`` to a table holding ``shard, doc_id``.
+    """Add ``row_in_shard`` (0-based) and ``batch_id`` to a table holding ``shard, doc_id``.
 
-    The position in shard is global rank minus the shard's first rank; a
-    shard's rows are spread over as many range partitions as its size needs.
+    The position is a two-level prefix count, so one huge shard is spread over
+    as many range partitions as its size needs.
     """
-    ranked = rank_in_order(keys, ["shard", "doc_id"], "grank")
-    starts = ranked.groupBy("shard").agg(F.min("grank").alias("_shard_start"))
-    out = join_small(ranked, starts, "shard")
-    return (out.withColumn("row_in_shard", F.col("grank") - F.col("_shard_start"))
-            .withColumn("batch_id", F.floor(F.col("row_in_shard") / F.lit(batch_rows)).cast("bigint"))
-            .drop("_shard_start"))
+    ranked = rank_within(keys, ["shard"], ["doc_id"], "row_in_shard")
+    return (ranked.withColumn("row_in_shard", F.col("row_in_shard") - 1)
+            .withColumn("batch_id", F.floor(F.col("row_in_shard") / F.lit(batch_rows)).cast("bigint")))
 
 
 def key_table(labelled_fmt: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_oracle, corpus_plans
+from . import corpus_oracle, corpus_plans, runs_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(corpus_plans.QUERIES)
+    out.update(runs_plans.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(corpus_oracle.ORACLE)
+    out.update(runs_plans.ORACLE)
     return out
