@@ -27,9 +27,10 @@ def q_run_summary(spark, sf_dir):
 def q_loss_ema(spark, sf_dir):
     e = R.loss_ema(_log(spark, sf_dir), "val")
     # The average of two-decimal losses is often an exact decimal tie at the
-    # 6th place; a 1e-9 nudge before rounding keeps last-bit differences
+    # 6th place; a small nudge with many digits (no decimal tie of its own)
+    # before rounding keeps last-bit differences
     # between engines from rounding such ties apart (same rule in the oracle).
-    return e.select("run_id", "step", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
+    return e.select("run_id", "step", F.round(F.col("ema") + 1.2345678e-10, 6).alias("ema"))
 
 
 def q_best_so_far(spark, sf_dir):
@@ -118,7 +119,7 @@ FROM lg GROUP BY run_id""",
 WITH {LOG_CTE},
 l AS (SELECT run_id, list(val ORDER BY k) AS vals FROM lg GROUP BY run_id)
 SELECT lg.run_id, lg.step,
-       round(list_reduce(l.vals[1:lg.k], lambda acc, x: 0.9 * acc + 0.1 * x) + 1e-9, 6) AS ema
+       round(list_reduce(l.vals[1:lg.k], lambda acc, x: 0.9 * acc + 0.1 * x) + 1.2345678e-10, 6) AS ema
 FROM lg JOIN l USING (run_id)""",
 
     "best_so_far": f"""
