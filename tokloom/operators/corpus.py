@@ -118,11 +118,13 @@ def split_column(offsets: DataFrame, val_fraction: float = VAL_FRACTION) -> Data
     """Positional split: documents starting before floor(total*(1-f)) are train.
 
     ``offsets`` holds only processed kept documents; the total is one scalar
-    aggregate crossed in as a one-row table.
+    aggregate, planned as a scalar subquery.
     """
-    total = offsets.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("_total"))
+    spark = offsets.sparkSession
+    with_total = spark.sql(
+        "SELECT *, (SELECT coalesce(sum(n_bytes), 0) FROM {o}) AS _total FROM {o}", o=offsets)
     val_start = F.floor(F.col("_total").cast("double") * F.lit(1.0 - val_fraction))
-    return (offsets.crossJoin(F.broadcast(total))
+    return (with_total
             .withColumn("split", F.when(F.col("start_byte") < val_start, "train").otherwise("val"))
             .drop("_total"))
 

@@ -76,6 +76,20 @@ def decode_udf(spark, merges: list[tuple[int, int, int, int, int]], strip: bool
     return _dec
 
 
+def decode_pieces_udf(spark, merges: list[tuple[int, int, int, int, int]], sep: str = " · "):
+    """Pandas UDF ``array<int> -> string``: each id decoded alone (possibly half a
+    character, shown as U+FFFD), stripped, joined by ``sep``."""
+    bc = spark.sparkContext.broadcast(vocab_bytes(merges))
+
+    @F.pandas_udf(Ty.StringType())
+    def _dec(ids: pd.Series) -> pd.Series:
+        vb = bc.value
+        return ids.map(lambda a: sep.join(vb[int(i)].decode("utf-8", errors="replace").strip()
+                                          for i in a))
+
+    return _dec
+
+
 def segmentation(known_types: DataFrame | None, pieces: DataFrame,
                  merges: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """``piece, ids`` for every distinct piece in ``pieces``.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_oracle, corpus_plans, runs_plans, scoring_plans
+from . import corpus_oracle, corpus_plans, runs_plans, scoring_plans, tokenizer_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     out.update(corpus_plans.QUERIES)
     out.update(runs_plans.QUERIES)
     out.update(scoring_plans.QUERIES)
+    out.update(tokenizer_plans.QUERIES)
     return out
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(corpus_oracle.ORACLE)
     out.update(runs_plans.ORACLE)
     out.update(scoring_plans.ORACLE)
+    out.update(tokenizer_plans.ORACLE)
     return out
