@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_oracle, corpus_plans, runs_plans, scoring_plans, tokenizer_plans
+from . import corpus_oracle, corpus_plans, runs_plans, scoring_plans, streaming_plans, tokenizer_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
     out.update(runs_plans.QUERIES)
     out.update(scoring_plans.QUERIES)
     out.update(tokenizer_plans.QUERIES)
+    out.update(streaming_plans.QUERIES)
     return out
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(runs_plans.ORACLE)
     out.update(scoring_plans.ORACLE)
     out.update(tokenizer_plans.ORACLE)
+    out.update(streaming_plans.ORACLE)
     return out
