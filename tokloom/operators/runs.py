@@ -11,6 +11,8 @@ blocks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +81,16 @@ def loss_ema(log: DataFrame, value_col: str = "val", decay: float = EMA_DECAY,
 
     Computed in blocks of ``block`` positions: inside a block a discounted
     running sum (window partitioned by run and block, at most ``block`` rows);
-    across blocks the carried value of the previous three blocks joined in.
-    Older blocks weigh less than decay**(3*block) (below double precision).
+    across blocks the end values of as many earlier blocks as still weigh
+    more than 1e-18 relative (three at decay 0.9 and 256 rows) are joined in
+    by block number, so no task holds a whole run.
     """
     d = float(decay)
+    if not 0 <= d < 1:
+        raise ValueError("decay must be in [0, 1)")
+    # Blocks carried: enough that the weight of older ones is below 1e-18
+    # relative, i.e. below double precision.
+    carried = 1 if d == 0 else math.ceil(-18 / (block * math.log10(d))) + 1
     c = F.when(F.col("k") == 1, F.col(value_col)).otherwise((1 - d) * F.col(value_col))
     b = F.floor((F.col("k") - 1) / block)
     x = log.withColumn("_b", b).withColumn("_i", F.col("k") - 1 - F.col("_b") * block)
@@ -92,7 +100,7 @@ def loss_ema(log: DataFrame, value_col: str = "val", decay: float = EMA_DECAY,
                      * F.sum(c * F.pow(F.lit(d), -F.col("_i"))).over(w))
     totals = x.groupBy("run_id", "_b").agg(F.max_by("_local", "k").alias("_t"))
     shifted = None
-    for m in (1, 2, 3):
+    for m in range(1, carried + 1):
         s = totals.select("run_id", (F.col("_b") + m).alias("_b"),
                           (F.col("_t") * F.lit(d ** ((m - 1) * block))).alias("_w"))
         shifted = s if shifted is None else shifted.unionByName(s)
