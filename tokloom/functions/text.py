@@ -74,26 +74,29 @@ def pieces(c, add_prefix_space: bool = True) -> Column:
     return F.regexp_extract_all(t, F.lit("(?U)" + PIECE_PATTERN), F.lit(0))
 
 
+def _hex_pairs(c) -> Column:
+    """Array of the two-digit hex codes of a string's UTF-8 bytes.
+
+    The hex string is computed once per row; ``split`` on the empty look-behind
+    pattern cuts it every two characters (no per-byte recomputation).
+    """
+    hx = F.hex(F.encode(_c(c), "UTF-8"))
+    return F.filter(F.split(hx, "(?<=\\G..)", -1), lambda h: h != "")
+
+
 def symbol_string(c) -> Column:
     """Byte symbols of a piece as a delimited string: byte b becomes ``|b+1|``.
 
     This is the state the pair-merge loop rewrites with plain string replaces.
     """
-    hx = F.hex(F.encode(_c(c), "UTF-8"))
-    ids = F.transform(
-        F.sequence(F.lit(0), F.octet_length(_c(c)) - 1),
-        lambda i: F.concat(F.lit("|"),
-                           (F.conv(F.substring(hx, i * 2 + 1, 2), 16, 10).cast("int") + 1)
-                           .cast("string"),
-                           F.lit("|")))
+    ids = F.transform(_hex_pairs(c), lambda h: F.concat(
+        F.lit("|"), (F.conv(h, 16, 10).cast("int") + 1).cast("string"), F.lit("|")))
     return F.array_join(ids, "")
 
 
 def byte_values(c) -> Column:
     """Array of the UTF-8 byte values (0..255) of a string."""
-    hx = F.hex(F.encode(_c(c), "UTF-8"))
-    return F.transform(F.sequence(F.lit(0), F.octet_length(_c(c)) - 1),
-                       lambda i: F.conv(F.substring(hx, i * 2 + 1, 2), 16, 10).cast("int"))
+    return F.transform(_hex_pairs(c), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def symbols_of(y) -> Column:

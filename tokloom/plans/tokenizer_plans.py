@@ -19,7 +19,7 @@ from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
 from ..operators.windows import context_window, conversation_texts, sample_windows
 from ..session import materialize
-from ..sources.tables import read_shards, read_table
+from ..sources.tables import read_shards, read_table, spread
 from .corpus_oracle import CLEAN, labelled_cte
 from .corpus_plans import QUERY_BATCH_ROWS
 
@@ -46,7 +46,7 @@ def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, BpeResult]:
 
 
 def _raw_clean(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", T.clean_text("text").alias("text"))
 
 
@@ -63,7 +63,7 @@ def q_pair_counts(spark, sf_dir):
 
 
 def q_context_window(spark, sf_dir):
-    conv = conversation_texts(read_table(spark, sf_dir, "conversations"))
+    conv = conversation_texts(spread(read_table(spark, sf_dir, "conversations")))
     p = conv.select("conv_id", T.pieces("text").alias("pieces"))
     c = context_window(p, "pieces", CONTEXT_PIECES)
     return c.select("conv_id", F.col("n_total").alias("n_pieces"), "n_context",
@@ -74,12 +74,19 @@ def q_bpe_merges(spark, sf_dir):
     return trained(spark, sf_dir)[1].merges
 
 
+_TOKENS: dict[tuple, DataFrame] = {}
+
+
 def doc_tokens(spark, sf_dir, vocab: int) -> DataFrame:
-    """Token table of the prepared corpus for one vocabulary size."""
-    corpus, res = trained(spark, sf_dir)
-    tok = E.encode_texts(corpus, "doc", ["doc_id"], res.merges_for(vocab),
-                         known_types=res.snapshots[vocab])
-    return E.token_table(corpus, tok).withColumn("vocab", F.lit(vocab))
+    """Token table of the prepared corpus for one vocabulary size, written once
+    to the checkpoint folder and shared by the queries that read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, vocab)
+    if key not in _TOKENS:
+        corpus, res = trained(spark, sf_dir)
+        tok = E.encode_texts(corpus, "doc", ["doc_id"], res.merges_for(vocab),
+                             known_types=res.snapshots[vocab])
+        _TOKENS[key] = materialize(E.token_table(corpus, tok).withColumn("vocab", F.lit(vocab)))
+    return _TOKENS[key]
 
 
 def q_encode_docs(spark, sf_dir):

@@ -24,6 +24,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition when the scan yields fewer tasks than cores.
+
+    A single-row-group file is read by one task; text work after it would run
+    on one core. Large inputs (many files or row groups) are left as they are.
+    """
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
 def read_shards(spark: SparkSession, sf_dir: str, langs: list[str] | None = None) -> DataFrame:
     """Documents as shard rows: ``shard, doc_id, title, text, lang``.
 
@@ -33,7 +45,7 @@ def read_shards(spark: SparkSession, sf_dir: str, langs: list[str] | None = None
     d = read_table(spark, sf_dir, "documents")
     if langs:
         d = d.where(F.col("lang").isin(list(langs)))
-    return d.select(
+    return spread(d).select(
         F.substring("source", 4, 64).cast("int").alias("shard"),
         "doc_id",
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"),
