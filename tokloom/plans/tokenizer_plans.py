@@ -178,6 +178,27 @@ def study_parts(spark, sf_dir) -> dict[str, DataFrame]:
             "sizes": _union(sizes), "loss": _union(loss)}
 
 
+def q_vocab_stats(spark, sf_dir):
+    """Tokenizer statistics per vocabulary, with the nine compounds' splits as a
+    JSON map (the shape of the reference's stats file)."""
+    parts = study_parts(spark, sf_dir)
+    _, res = trained(spark, sf_dir)
+    compounds = _items(spark, COMPOUNDS)
+    splits = []
+    for v in QUERY_VOCABS:
+        dec = E.decode_pieces_udf(spark, res.merges_for(v))
+        t = encode_items(spark, sf_dir, compounds, v)
+        t = t.select("vocab", "item_id", "text", F.split(dec("ids"), " · ").alias("pieces"))
+        splits.append(t.groupBy("vocab").agg(F.to_json(F.map_from_entries(F.sort_array(
+            F.collect_list(F.struct("text", "pieces"))))).alias("compound_splits")))
+    st = (parts["fertility"].join(parts["probes"], "vocab").join(parts["sentence"], "vocab")
+          .join(_union(splits), "vocab"))
+    return st.select(F.col("vocab").alias("vocab_size"), F.round("fertility", 3).alias("fertility"),
+                     F.round("tokens_per_compound", 2).alias("tokens_per_compound"),
+                     F.round("words_per_256", 1).alias("german_words_per_256_tokens"),
+                     "compound_splits")
+
+
 def q_vocab_study(spark, sf_dir):
     return ST.study_table(study_parts(spark, sf_dir))
 
@@ -202,6 +223,7 @@ QUERIES = {
     "probe_splits": q_probe_splits,
     "context_words": q_context_words,
     "train_windows": q_train_windows,
+    "vocab_stats": q_vocab_stats,
     "vocab_study": q_vocab_study,
     "study_winners": q_study_winners,
     "ngram_loss": q_ngram_loss,
