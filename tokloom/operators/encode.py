@@ -114,8 +114,8 @@ def encode_texts(texts: DataFrame, text_col: str, key_cols: Sequence[str],
                  max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """``key_cols..., ids, n_tokens``: each text encoded whole (one prefix space).
 
-    The piece join broadcasts the segmentation only when its row count is
-    checked small; otherwise it is a shuffle join on ``piece`` whose hot
+    The piece join broadcasts the segmentation only on a checked size
+    (``join_small``); otherwise it is a shuffle join on ``piece`` whose hot
     pieces AQE splits. The regroup per text is bounded by the text's length.
     """
     key_cols = list(key_cols)

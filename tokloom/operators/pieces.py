@@ -35,19 +35,25 @@ def byte_histogram(counts: DataFrame) -> DataFrame:
     return b.groupBy("byte").agg(F.sum("cnt").cast("bigint").alias("cnt"))
 
 
+# Zero-width look-ahead: every adjacent symbol pair of ``|a||b||c|`` as the
+# overlapping substrings ``|a||b|`` and ``|b||c|``.
+_PAIR_PATTERN = r"(?=(\|\d+\|\|\d+\|))"
+
+
 def pair_counts_of(types: DataFrame, sym_col: str = "y") -> DataFrame:
     """``left, right, cnt``: adjacent symbol pairs, weighted by type count.
 
     Every adjacent position counts, so ``aaa`` holds the pair (a, a) twice.
-    ``sym_col`` is the delimited symbol string ``|a||b|...``.
+    ``sym_col`` is the delimited symbol string ``|a||b|...``; pairs are cut
+    out of it by one regular expression and aggregated as strings, and only
+    the aggregated rows are parsed into ids.
     """
-    s = T.symbols_of(sym_col)
-    n = F.size(s)
-    pairs = F.arrays_zip(F.slice(s, 1, n - 1).alias("left"), F.slice(s, 2, n - 1).alias("right"))
     multi = types.where(F.col(sym_col).contains("||"))
-    ex = multi.select("cnt", F.explode(pairs).alias("p"))
-    return (ex.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
-            .agg(F.sum("cnt").cast("bigint").alias("cnt")))
+    ex = multi.select("cnt", F.explode(F.regexp_extract_all(sym_col, F.lit(_PAIR_PATTERN), F.lit(1)))
+                      .alias("pair"))
+    agg = ex.groupBy("pair").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    lr = F.split(F.expr("substring(pair, 2, length(pair) - 2)"), r"\|\|")
+    return agg.select(lr[0].cast("int").alias("left"), lr[1].cast("int").alias("right"), "cnt")
 
 
 def initial_types(counts: DataFrame) -> DataFrame:

@@ -154,28 +154,28 @@ def q_train_windows(spark, sf_dir):
 
 
 def study_parts(spark, sf_dir) -> dict[str, DataFrame]:
-    """Per-vocabulary tables the study row is assembled from."""
+    """Per-vocabulary tables the study row is assembled from. The token tables
+    of all vocabularies are one union keyed by ``vocab``, so each measure is
+    one grouped job, not one job per vocabulary."""
     corpus, res = trained(spark, sf_dir)
     vocabs = spark.createDataFrame([(v, STUDY_ARCH) for v in QUERY_VOCABS], "vocab INT, arch STRING")
     grid = ST.with_model_params(ST.study_grid(ST.configs_table(spark), vocabs, steps=STUDY_STEPS))
     compounds, sentence = _items(spark, COMPOUNDS), _items(spark, [SAMPLE_SENTENCE])
     docs = corpus.select("doc_id", "doc", "n_bytes")
-    sizes, fert, probes, sent, loss = [], [], [], [], []
-    for v in QUERY_VOCABS:
-        t = doc_tokens(spark, sf_dir, v).join(docs, "doc_id")
-        sizes.append(t.groupBy("vocab").agg(
-            F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("corpus_bytes"),
-            F.sum(F.length("doc")).cast("bigint").alias("corpus_chars")))
-        fert.append(ST.fertility(t).select("vocab", "fertility"))
-        probes.append(ST.probe_stats(encode_items(spark, sf_dir, compounds, v)))
-        s = ST.words_per_context(encode_items(spark, sf_dir, sentence, v), "text")
-        sent.append(s.select("vocab", "words_per_256"))
-        pos = ST.positions(t, ["vocab", "doc_id", "split"])
-        ng = ST.ngram_loss(pos.where(F.col("split") == "train"), pos.where(F.col("split") == "val"))
-        loss.append(ng.select("vocab", F.col("bigram_loss").alias("val_loss"), "unigram_loss"))
+    t = _union([doc_tokens(spark, sf_dir, v) for v in QUERY_VOCABS]).join(docs, "doc_id")
+    sizes = t.groupBy("vocab").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("corpus_bytes"),
+        F.sum(F.length("doc")).cast("bigint").alias("corpus_chars"))
+    fert = ST.fertility(t).select("vocab", "fertility")
+    probes = ST.probe_stats(_union([encode_items(spark, sf_dir, compounds, v) for v in QUERY_VOCABS]))
+    sent = ST.words_per_context(
+        _union([encode_items(spark, sf_dir, sentence, v) for v in QUERY_VOCABS]), "text")
+    pos = ST.positions(t, ["vocab", "doc_id", "split"])
+    ng = ST.ngram_loss(pos.where(F.col("split") == "train"), pos.where(F.col("split") == "val"))
     return {"params": grid.select("vocab", "params", "embed_params", "embed_share"),
-            "fertility": _union(fert), "probes": _union(probes), "sentence": _union(sent),
-            "sizes": _union(sizes), "loss": _union(loss)}
+            "fertility": fert, "probes": probes, "sentence": sent.select("vocab", "words_per_256"),
+            "sizes": sizes,
+            "loss": ng.select("vocab", F.col("bigram_loss").alias("val_loss"), "unigram_loss")}
 
 
 def q_vocab_stats(spark, sf_dir):

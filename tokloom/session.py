@@ -83,11 +83,18 @@ def rows_at_most(df: DataFrame, limit: int) -> bool:
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Join, broadcasting ``small`` only after checking its row count.
-
-    Beyond the bound the planner's shuffle join is used, so correctness never
-    depends on the side being small.
+    """Join a side that is usually small, broadcasting it only on a checked size.
+
+    With adaptive execution on, the check is Spark's own: the join is planned
+    as a shuffle join and switched to a broadcast at runtime when the measured
+    size of ``small`` is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+    (no extra job). Without it, the rows are counted first (at most
+    ``max_broadcast_rows + 1`` read). Beyond the bound it stays a shuffle join,
+    so correctness never depends on the side being small.
     """
+    spark = big.sparkSession
+    if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+        return big.join(small, on=on, how=how)
     if rows_at_most(small, max_broadcast_rows):
         small = F.broadcast(small)
     return big.join(small, on=on, how=how)
