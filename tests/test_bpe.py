@@ -23,6 +23,8 @@ def _run(spark, words: dict[str, int], n: int, **kw):
 def test_small_cases(spark, words):
     mine, ref, _ = _run(spark, words, 20)
     assert mine == ref
+    inc, _, _ = _run(spark, words, 20, incremental=True)
+    assert inc == ref
 
 
 def test_german_corpus_matches_sequential(spark):
@@ -46,6 +48,15 @@ def test_german_corpus_matches_sequential(spark):
         assert ids == _merge_word([b + 1 for b in row["piece"].encode()], r40)
 
 
+def test_incremental_matches_sequential(spark):
+    from tokloom.sources.tables import read_shards
+    pc = piece_counts(read_shards(spark, "/root/testdata/sf0.001", ["de", "fr"]), "text").cache()
+    words = {r["piece"]: r["cnt"] for r in pc.collect()}
+    res = train_bpe(pc, 257 + 60, incremental=True, checkpoint_every=3)
+    assert [(l, r, nid, c) for _, l, r, nid, c in res.merge_list] == \
+        seq_bpe({w.encode(): c for w, c in words.items()}, 60)
+
+
 def test_choose_exact_rules():
     top = [(1, 2, 10), (3, 4, 9), (2, 5, 8), (6, 7, 7)]
     assert choose_exact(top, 10, False, 2) == [(1, 2, 10), (3, 4, 9)]

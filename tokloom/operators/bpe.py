@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions.constants import MAX_VOCAB, MIN_PAIR_FREQUENCY, N_BYTE_SYMBOLS
-from ..session import materialize
-from .pieces import initial_types, pair_counts_of
+from ..session import materialize, rows_at_most
+from .pieces import initial_types, pair_rows
 
 FIRST_MERGE_ID = N_BYTE_SYMBOLS + 1
 
@@ -118,6 +118,7 @@ class BpeResult:
 
 
 def _rewrite(y, chosen_with_ids):
+    """(condition: the row holds a chosen pair, rewritten symbols)."""
     cond = None
     new_y = y
     for l, r, new_id in chosen_with_ids:
@@ -125,30 +126,56 @@ def _rewrite(y, chosen_with_ids):
         new_y = F.replace(new_y, F.lit(pat), F.lit(f"|{new_id}|"))
         hit = y.contains(pat)
         cond = hit if cond is None else (cond | hit)
-    return F.when(cond, new_y).otherwise(y)
+    return cond, new_y
+
+
+def _top_pairs(pair_table: DataFrame, min_frequency: int, fetch: int) -> list[tuple[int, int, int]]:
+    """The ``fetch`` most frequent pairs by (count desc, left, right)."""
+    lr = F.split(F.expr("substring(pair, 2, length(pair) - 2)"), r"\|\|")
+    t = (pair_table.where(F.col("cnt") >= min_frequency)
+         .select(lr[0].cast("int").alias("left"), lr[1].cast("int").alias("right"), "cnt"))
+    rows = t.orderBy(F.desc("cnt"), "left", "right").limit(fetch).collect()
+    return [(int(r["left"]), int(r["right"]), int(r["cnt"])) for r in rows]
+
+
+def _pair_table(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("pair").agg(F.sum("cnt").cast("bigint").alias("cnt")).where(F.col("cnt") != 0)
 
 
 def train_bpe(piece_counts: DataFrame, vocab_size: int,
               min_frequency: int = MIN_PAIR_FREQUENCY, mode: str = "exact",
               fetch: int = 64, checkpoint_every: int = 8,
-              snapshots: list[int] | None = None) -> BpeResult:
+              snapshots: list[int] | None = None, incremental: bool | None = None,
+              incremental_min_types: int = 2_000_000) -> BpeResult:
     """Learn ``vocab_size - 257`` merges (fewer if no pair reaches ``min_frequency``).
 
     ``piece_counts``: ``piece, cnt``. ``mode='exact'`` equals one merge per
     round; ``'batched'`` takes every symbol-disjoint fetched pair per round
     (faster, approximate). ``snapshots``: smaller vocabulary sizes whose piece
     segmentation is also kept (a round never crosses a snapshot size).
+
+    ``incremental=True`` keeps the pair table persisted and each round
+    re-counts only the pieces holding a chosen pair (their old pairs
+    subtracted, new pairs added), so a round's work follows the pieces that
+    change, not the whole vocabulary state; ``False`` recounts every round.
+    ``None`` chooses: incremental from ``incremental_min_types`` distinct
+    pieces on (below that a round is dominated by fixed job costs, and the
+    plain recount has the shorter plan).
     """
     check_vocab_size(vocab_size)
     spark: SparkSession = piece_counts.sparkSession
+    level = StorageLevel.MEMORY_AND_DISK
     wanted_total = vocab_size - FIRST_MERGE_ID
     types = materialize(initial_types(piece_counts))
     aside = [types.where(~F.col("y").contains("||"))]
-    state = types.where(F.col("y").contains("||")).persist(StorageLevel.MEMORY_AND_DISK)
+    state = types.where(F.col("y").contains("||")).persist(level)
+    if incremental is None:
+        incremental = not rows_at_most(state, incremental_min_types)
+    pairs = _pair_table(pair_rows(state)).persist(level) if incremental else None
     merges: list[tuple[int, int, int, int, int]] = []
     next_id = FIRST_MERGE_ID
     rounds = 0
-    prev = None
+    stale: list[DataFrame] = []
     targets = sorted({v - FIRST_MERGE_ID for v in (snapshots or [])
                       if FIRST_MERGE_ID <= v < vocab_size})
     snaps: dict[int, DataFrame] = {}
@@ -160,12 +187,15 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
         return out
 
     while len(merges) < wanted_total:
-        pairs = pair_counts_of(state).where(F.col("cnt") >= min_frequency)
-        top_rows = pairs.orderBy(F.desc("cnt"), "left", "right").limit(fetch).collect()
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        top = [(int(r["left"]), int(r["right"]), int(r["cnt"])) for r in top_rows]
+        if incremental:
+            top = _top_pairs(pairs, min_frequency, fetch)
+        else:
+            top = _top_pairs(_pair_table(pair_rows(state)), min_frequency, fetch)
+        # Everything the new pair table and state were computed from is
+        # cached now; older copies can go.
+        for df in stale:
+            df.unpersist()
+        stale = []
         if not top:
             break
         wanted = wanted_total - len(merges)
@@ -184,16 +214,30 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
             with_ids.append((l, r, next_id))
             next_id += 1
         rounds += 1
-        new_state = state.withColumn("y", _rewrite(F.col("y"), with_ids))
+        cond, new_y = _rewrite(F.col("y"), with_ids)
+        new_state = state.withColumn("y", F.when(cond, new_y).otherwise(F.col("y")))
+        new_pairs = None
+        if incremental:
+            changed = state.where(cond).select("cnt", F.col("y").alias("y_old"), new_y.alias("y_new"))
+            delta = pair_rows(changed, "y_new").unionByName(
+                pair_rows(changed, "y_old").withColumn("cnt", -F.col("cnt")))
+            new_pairs = _pair_table(pairs.unionByName(delta))
         snap_now = len(merges) in targets
         if rounds % checkpoint_every == 0 or snap_now:
             ck = materialize(new_state)
             aside.append(ck.where(~F.col("y").contains("||")))
             new_state = ck.where(F.col("y").contains("||"))
+            if new_pairs is not None:
+                new_pairs = materialize(new_pairs)
             if snap_now:
                 snaps[len(merges) + FIRST_MERGE_ID] = union_all(aside + [new_state])
-        prev = state
-        state = new_state.persist(StorageLevel.MEMORY_AND_DISK)
+        stale.append(state)
+        state = new_state.persist(level)
+        if incremental:
+            stale.append(pairs)
+            pairs = new_pairs.persist(level)
+    for df in stale:
+        df.unpersist()
     final_types = union_all(aside + [state])
     for t in targets:
         snaps.setdefault(t + FIRST_MERGE_ID, final_types)

@@ -40,6 +40,14 @@ def byte_histogram(counts: DataFrame) -> DataFrame:
 _PAIR_PATTERN = r"(?=(\|\d+\|\|\d+\|))"
 
 
+def pair_rows(types: DataFrame, sym_col: str = "y", cnt_col: str = "cnt") -> DataFrame:
+    """``pair, cnt``: one row per adjacent symbol pair occurrence in each row's
+    symbol string (``|a||b|`` as the key), weighted by the row's count."""
+    return types.select(
+        F.explode(F.regexp_extract_all(sym_col, F.lit(_PAIR_PATTERN), F.lit(1))).alias("pair"),
+        F.col(cnt_col).cast("bigint").alias("cnt"))
+
+
 def pair_counts_of(types: DataFrame, sym_col: str = "y") -> DataFrame:
     """``left, right, cnt``: adjacent symbol pairs, weighted by type count.
 
@@ -48,9 +56,7 @@ def pair_counts_of(types: DataFrame, sym_col: str = "y") -> DataFrame:
     out of it by one regular expression and aggregated as strings, and only
     the aggregated rows are parsed into ids.
     """
-    multi = types.where(F.col(sym_col).contains("||"))
-    ex = multi.select("cnt", F.explode(F.regexp_extract_all(sym_col, F.lit(_PAIR_PATTERN), F.lit(1)))
-                      .alias("pair"))
+    ex = pair_rows(types.where(F.col(sym_col).contains("||")), sym_col)
     agg = ex.groupBy("pair").agg(F.sum("cnt").cast("bigint").alias("cnt"))
     lr = F.split(F.expr("substring(pair, 2, length(pair) - 2)"), r"\|\|")
     return agg.select(lr[0].cast("int").alias("left"), lr[1].cast("int").alias("right"), "cnt")
