@@ -230,7 +230,9 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
             if new_pairs is not None:
                 new_pairs = materialize(new_pairs)
             if snap_now:
-                snaps[len(merges) + FIRST_MERGE_ID] = union_all(aside + [new_state])
+                # One table per snapshot: later encodes scan it, not the pieces.
+                snaps[len(merges) + FIRST_MERGE_ID] = materialize(union_all(aside + [new_state]))
+                aside = [snaps[len(merges) + FIRST_MERGE_ID].where(~F.col("y").contains("||"))]
         stale.append(state)
         state = new_state.persist(level)
         if incremental:
@@ -238,7 +240,7 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
             pairs = new_pairs.persist(level)
     for df in stale:
         df.unpersist()
-    final_types = union_all(aside + [state])
+    final_types = materialize(union_all(aside + [state]))
     for t in targets:
         snaps.setdefault(t + FIRST_MERGE_ID, final_types)
     snaps[vocab_size] = final_types
