@@ -11,7 +11,9 @@ from harness import compare
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
-FAST = [k for k in ORACLE if k not in ("decode_roundtrip",)]
+# Merge learning is compared with the sequential reference in test_bpe; the
+# driver checks both against DuckDB at sf0.01.
+FAST = [k for k in ORACLE if k not in ("decode_roundtrip", "bpe_merges_docs")]
 
 
 @pytest.mark.parametrize("name", FAST)

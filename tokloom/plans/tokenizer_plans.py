@@ -74,6 +74,18 @@ def q_bpe_merges(spark, sf_dir):
     return trained(spark, sf_dir)[1].merges
 
 
+DOCS_MERGES = 256
+
+
+def q_bpe_merges_docs(spark, sf_dir):
+    """Merges learned on the cleaned German document texts (no headings, so no
+    whitespace runs: the DuckDB pieces are exact and the merge list has an SQL
+    oracle, a recursive CTE making one merge per step)."""
+    d = spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "de")
+               .select(T.clean_text("text").alias("text")))
+    return train_bpe(piece_counts(d, "text"), 257 + DOCS_MERGES).merges
+
+
 _TOKENS: dict[tuple, DataFrame] = {}
 
 
@@ -217,6 +229,7 @@ QUERIES = {
     "pair_counts": q_pair_counts,
     "context_window": q_context_window,
     "bpe_merges": q_bpe_merges,
+    "bpe_merges_docs": q_bpe_merges_docs,
     "encode_docs": q_encode_docs,
     "decode_roundtrip": q_decode_roundtrip,
     "token_totals": q_token_totals,
@@ -246,9 +259,44 @@ bl AS (
            lambda i: CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER)) AS b
   FROM pc)"""
 
+BPE_DOCS_SQL = f"""
+WITH RECURSIVE
+d AS (SELECT {CLEAN} AS text FROM documents WHERE lang = 'de'),
+pc AS (
+  SELECT piece, count(*) AS cnt FROM (
+    SELECT unnest(regexp_extract_all(CASE WHEN left(text, 1) = ' ' THEN text ELSE ' ' || text END,
+                                     '{DUCK_PATTERN}')) AS piece FROM d)
+  GROUP BY piece),
+t0 AS (
+  SELECT list(struct_pack(y := '|' || array_to_string(list_transform(range(strlen(piece)),
+           lambda i: CAST(CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER) + 1 AS VARCHAR)),
+           '||') || '|', c := cnt)) AS ys
+  FROM pc),
+st(it, ys, l, r, c) AS (
+  SELECT 0, ys, NULL::INTEGER, NULL::INTEGER, NULL::BIGINT FROM t0
+  UNION ALL
+  SELECT st.it + 1,
+         list_transform(st.ys, lambda e: struct_pack(
+           y := replace(e.y, '|' || b.l || '||' || b.r || '|', '|' || (257 + st.it) || '|'), c := e.c)),
+         b.l, b.r, b.c
+  FROM st, LATERAL (
+    SELECT pp.l AS l, pp.r AS r, sum(pp.c) AS c FROM (
+      SELECT unnest(list_transform(range(1, len(sy)), lambda i: struct_pack(
+               l := CAST(sy[i] AS INTEGER), r := CAST(sy[i + 1] AS INTEGER), c := ec))) AS pp
+      FROM (SELECT string_split(substr(e.y, 2, length(e.y) - 2), '||') AS sy, e.c AS ec
+            FROM (SELECT unnest(st.ys) AS e)))
+    GROUP BY pp.l, pp.r HAVING sum(pp.c) >= 2
+    ORDER BY c DESC, l, r LIMIT 1) b
+  WHERE st.it < {DOCS_MERGES})
+SELECT CAST(it - 1 AS INTEGER) AS rank, l AS left, r AS right, CAST(256 + it AS INTEGER) AS new_id,
+       CAST(c AS BIGINT) AS pair_count
+FROM st WHERE it > 0"""
+
 ORACLE = {
     "piece_counts": f"WITH {PIECES_CTE} SELECT piece, cnt FROM pc",
 
+    "bpe_merges_docs": BPE_DOCS_SQL,
+
     "byte_histogram": f"""
 WITH {PIECES_CTE}
 SELECT byte, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT cnt, unnest(b) AS byte FROM bl) GROUP BY byte""",
