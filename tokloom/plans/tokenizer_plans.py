@@ -77,13 +77,36 @@ def q_bpe_merges(spark, sf_dir):
 DOCS_MERGES = 256
 
 
+_TRAINED_DOCS: dict[tuple, tuple[DataFrame, BpeResult]] = {}
+
+
+def trained_docs(spark, sf_dir) -> tuple[DataFrame, BpeResult]:
+    """Cleaned German document texts and the merges learned on them (once per
+    application and directory)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED_DOCS:
+        d = spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "de")
+                   .select("doc_id", T.clean_text("text").alias("text")))
+        d = materialize(d)
+        _TRAINED_DOCS[key] = (d, train_bpe(piece_counts(d, "text"), 257 + DOCS_MERGES))
+    return _TRAINED_DOCS[key]
+
+
 def q_bpe_merges_docs(spark, sf_dir):
     """Merges learned on the cleaned German document texts (no headings, so no
     whitespace runs: the DuckDB pieces are exact and the merge list has an SQL
     oracle, a recursive CTE making one merge per step)."""
-    d = spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "de")
-               .select(T.clean_text("text").alias("text")))
-    return train_bpe(piece_counts(d, "text"), 257 + DOCS_MERGES).merges
+    return trained_docs(spark, sf_dir)[1].merges
+
+
+def q_encode_doc_texts(spark, sf_dir):
+    """Each cleaned German document encoded with the merges learned on them:
+    token count and md5 of the id sequence (ids written ``|id|``)."""
+    d, res = trained_docs(spark, sf_dir)
+    tok = E.encode_texts(d, "text", ["doc_id"], res.merge_list, known_types=res.types)
+    ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
+    return tok.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                      F.md5(ids).alias("tokens_md5"))
 
 
 _TOKENS: dict[tuple, DataFrame] = {}
@@ -230,6 +253,7 @@ QUERIES = {
     "context_window": q_context_window,
     "bpe_merges": q_bpe_merges,
     "bpe_merges_docs": q_bpe_merges_docs,
+    "encode_doc_texts": q_encode_doc_texts,
     "encode_docs": q_encode_docs,
     "decode_roundtrip": q_decode_roundtrip,
     "token_totals": q_token_totals,
@@ -259,7 +283,7 @@ bl AS (
            lambda i: CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER)) AS b
   FROM pc)"""
 
-BPE_DOCS_SQL = f"""
+BPE_DOCS_CTE = f"""
 WITH RECURSIVE
 d AS (SELECT {CLEAN} AS text FROM documents WHERE lang = 'de'),
 pc AS (
@@ -268,7 +292,7 @@ pc AS (
                                      '{DUCK_PATTERN}')) AS piece FROM d)
   GROUP BY piece),
 t0 AS (
-  SELECT list(struct_pack(y := '|' || array_to_string(list_transform(range(strlen(piece)),
+  SELECT list(struct_pack(p := piece, y := '|' || array_to_string(list_transform(range(strlen(piece)),
            lambda i: CAST(CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER) + 1 AS VARCHAR)),
            '||') || '|', c := cnt)) AS ys
   FROM pc),
@@ -277,7 +301,8 @@ st(it, ys, l, r, c) AS (
   UNION ALL
   SELECT st.it + 1,
          list_transform(st.ys, lambda e: struct_pack(
-           y := replace(e.y, '|' || b.l || '||' || b.r || '|', '|' || (257 + st.it) || '|'), c := e.c)),
+           p := e.p, y := replace(e.y, '|' || b.l || '||' || b.r || '|', '|' || (257 + st.it) || '|'),
+           c := e.c)),
          b.l, b.r, b.c
   FROM st, LATERAL (
     SELECT pp.l AS l, pp.r AS r, sum(pp.c) AS c FROM (
@@ -287,15 +312,30 @@ st(it, ys, l, r, c) AS (
             FROM (SELECT unnest(st.ys) AS e)))
     GROUP BY pp.l, pp.r HAVING sum(pp.c) >= 2
     ORDER BY c DESC, l, r LIMIT 1) b
-  WHERE st.it < {DOCS_MERGES})
+  WHERE st.it < {DOCS_MERGES})"""
+
+BPE_DOCS_SQL = BPE_DOCS_CTE + """
 SELECT CAST(it - 1 AS INTEGER) AS rank, l AS left, r AS right, CAST(256 + it AS INTEGER) AS new_id,
        CAST(c AS BIGINT) AS pair_count
 FROM st WHERE it > 0"""
 
+ENCODE_DOCS_SQL = BPE_DOCS_CTE + f""",
+fin AS (SELECT unnest(ys) AS e FROM st WHERE it = (SELECT max(it) FROM st)),
+seg AS (SELECT e.p AS piece, e.y AS y FROM fin),
+dp AS (
+  SELECT doc_id, regexp_extract_all(CASE WHEN left(text, 1) = ' ' THEN text ELSE ' ' || text END,
+                                    '{DUCK_PATTERN}') AS ps
+  FROM (SELECT doc_id, {CLEAN} AS text FROM documents WHERE lang = 'de')),
+occ AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM dp)
+SELECT doc_id, CAST(sum(len(string_split(substr(y, 2, length(y) - 2), '||'))) AS BIGINT) AS n_tokens,
+       md5(string_agg(y, '' ORDER BY pos)) AS tokens_md5
+FROM occ JOIN seg USING (piece) GROUP BY doc_id"""
+
 ORACLE = {
     "piece_counts": f"WITH {PIECES_CTE} SELECT piece, cnt FROM pc",
 
     "bpe_merges_docs": BPE_DOCS_SQL,
+    "encode_doc_texts": ENCODE_DOCS_SQL,
 
     "byte_histogram": f"""
 WITH {PIECES_CTE}
