@@ -26,7 +26,7 @@ def label_documents(shards: DataFrame) -> DataFrame:
     """
     d = shards.withColumn("clean", T.clean_text("text"))
     n_lines, n_short = T.line_counts("clean")
-    d = (d.withColumn("n_chars", T.char_len("clean"))
+    d = (d.withColumn("n_chars", T.char_len("clean").cast("bigint"))
           .withColumn("n_lines", n_lines)
           .withColumn("n_short", n_short))
     label = (F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit("empty"))

@@ -22,7 +22,8 @@ def q_clean_text(spark, sf_dir):
     d = dirty_shards(spark, sf_dir)
     from ..functions.text import clean_text
     c = clean_text("text")
-    return d.select("doc_id", F.length(c).alias("clean_chars"), F.md5(c).alias("clean_md5"))
+    return d.select("doc_id", F.length(c).cast("bigint").alias("clean_chars"),
+                    F.md5(c).alias("clean_md5"))
 
 
 def q_short_line_ratio(spark, sf_dir):

@@ -66,7 +66,8 @@ def q_context_window(spark, sf_dir):
     conv = conversation_texts(spread(read_table(spark, sf_dir, "conversations")))
     p = conv.select("conv_id", T.pieces("text").alias("pieces"))
     c = context_window(p, "pieces", CONTEXT_PIECES)
-    return c.select("conv_id", F.col("n_total").alias("n_pieces"), "n_context",
+    return c.select("conv_id", F.col("n_total").cast("bigint").alias("n_pieces"),
+                    F.col("n_context").cast("bigint").alias("n_context"),
                     F.md5(F.array_join("context", "")).alias("context_md5"))
 
 
