@@ -17,6 +17,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import text as T
 from ..session import join_small
+from ..sources.tables import spread
 from .bpe import vocab_bytes
 from .ordering import running_sum_before
 from .pieces import piece_rows
@@ -119,7 +120,7 @@ def encode_texts(texts: DataFrame, text_col: str, key_cols: Sequence[str],
     pieces AQE splits. The regroup per text is bounded by the text's length.
     """
     key_cols = list(key_cols)
-    occ = piece_rows(texts, text_col, key_cols, add_prefix_space)
+    occ = piece_rows(spread(texts), text_col, key_cols, add_prefix_space)
     seg = segmentation(known_types, occ, merges)
     joined = join_small(occ, seg, "piece", max_broadcast_rows=max_broadcast_rows)
     grouped = joined.groupBy(*key_cols).agg(

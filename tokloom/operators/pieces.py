@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import spread
 
 
 def piece_rows(texts: DataFrame, text_col: str, key_cols: Sequence[str],
@@ -25,7 +26,7 @@ def piece_rows(texts: DataFrame, text_col: str, key_cols: Sequence[str],
 def piece_counts(texts: DataFrame, text_col: str = "text",
                  add_prefix_space: bool = True) -> DataFrame:
     """``piece, cnt``: frequency of each distinct piece over all texts."""
-    p = texts.select(F.explode(T.pieces(text_col, add_prefix_space)).alias("piece"))
+    p = spread(texts).select(F.explode(T.pieces(text_col, add_prefix_space)).alias("piece"))
     return p.groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))
 
 
