@@ -8,7 +8,15 @@ from tokloom.session import build_session  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = build_session("local[8]", shuffle_partitions=8)
+import os  # noqa: E402
+if os.environ.get("PLAIN_SESSION"):
+    from pyspark.sql import SparkSession  # noqa: E402
+    spark = (SparkSession.builder.master("local[8]")
+             .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    print("ansi", spark.conf.get("spark.sql.ansi.enabled"), flush=True)
+else:
+    spark = build_session("local[8]", shuffle_partitions=8)
 Q, O = E.queries(), E.oracle_sql()
 for n in (names or list(Q)):
     t = time.time()

@@ -94,7 +94,8 @@ SELECT doc_id, length({CLEAN}) AS clean_chars, md5({CLEAN}) AS clean_md5 FROM d"
 
     "short_line_ratio": f"""
 WITH {labelled_cte()}
-SELECT doc_id, n_lines, n_short, round(n_short / n_lines, 6) AS short_ratio FROM lab""",
+SELECT doc_id, n_lines, n_short,
+       round(CASE WHEN n_lines > 0 THEN n_short / n_lines END, 6) AS short_ratio FROM lab""",
 
     "corpus_filter": f"""
 WITH {labelled_cte()}

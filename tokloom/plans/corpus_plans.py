@@ -29,7 +29,8 @@ def q_clean_text(spark, sf_dir):
 def q_short_line_ratio(spark, sf_dir):
     lab = C.label_documents(dirty_shards(spark, sf_dir))
     return lab.select("doc_id", "n_lines", "n_short",
-                      F.round(F.col("n_short") / F.col("n_lines"), 6).alias("short_ratio"))
+                      F.round(F.when(F.col("n_lines") > 0, F.col("n_short") / F.col("n_lines")), 6)
+                      .alias("short_ratio"))
 
 
 def q_corpus_filter(spark, sf_dir):
