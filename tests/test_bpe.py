@@ -81,3 +81,16 @@ def test_encode_decode_roundtrip_unseen(spark):
     dec = decode_udf(spark, res.merge_list)
     out = {r["k"]: r["d"] for r in tok.select("k", dec("ids").alias("d")).collect()}
     assert out == {1: " Hausbahnhof der Haus", 2: " ä😀 x"}
+
+
+def test_batched_mode_is_valid_and_starts_like_exact(spark):
+    words = {"abab": 9, "cdcd": 7, "efef": 5, "ab": 3, "gh": 2}
+    exact, ref, _ = _run(spark, words, 6)
+    pc = spark.createDataFrame(list(words.items()), "piece string, cnt long")
+    res = train_bpe(pc, 257 + 6, mode="batched")
+    got = res.merge_list
+    assert got[0][1:3] == exact[0][:2]                     # the first pick is the same
+    assert [m[3] for m in got] == list(range(257, 257 + len(got)))
+    assert all(m[4] >= 2 for m in got)
+    assert res.rounds <= len(got)
+    assert {(m[1], m[2]) for m in got} & {(l, r) for l, r, _, _ in ref}
