@@ -1,5 +1,5 @@
 """Run every registered query against its oracle: python tests/check_all.py [sf_dir] [names...]"""
-import sys, time, traceback
+import sys, time
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from harness import compare  # noqa: E402

@@ -17,7 +17,6 @@ from pyspark.sql import types as Ty
 from ..functions import text as T
 from ..functions.constants import (CONFIGS, CONTEXT_TOKENS, FERTILITY_SAMPLE_CHARS)
 from ..functions.numeric import embed_params, model_params
-from ..session import join_small
 from .ordering import running_agg
 
 CONFIG_SCHEMA = Ty.StructType([
