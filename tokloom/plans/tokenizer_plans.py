@@ -235,6 +235,21 @@ def q_vocab_stats(spark, sf_dir):
                      "compound_splits")
 
 
+def q_run_budget(spark, sf_dir):
+    """Per shipped configuration: tokens per step, tokens over the run and the
+    epochs that makes over the training split of the token table (largest
+    vocabulary); scalars come from scalar subqueries."""
+    cfg = ST.with_model_params(ST.configs_table(spark))
+    tok = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
+    return spark.sql("""
+        SELECT name, tokens_per_step, CAST(tokens_per_step * max_steps AS BIGINT) AS total_tokens,
+               (SELECT sum(n_tokens) FROM {t} WHERE split = 'train') AS train_tokens,
+               round(tokens_per_step * max_steps
+                     / (SELECT sum(n_tokens) FROM {t} WHERE split = 'train'), 6) AS epochs,
+               (SELECT sum(n_tokens) FROM {t} WHERE split = 'train') >= block_size + 1 AS enough_tokens
+        FROM {c}""", c=cfg, t=tok)
+
+
 def q_vocab_study(spark, sf_dir):
     return ST.study_table(study_parts(spark, sf_dir))
 
@@ -263,6 +278,7 @@ QUERIES = {
     "train_windows": q_train_windows,
     "vocab_stats": q_vocab_stats,
     "vocab_study": q_vocab_study,
+    "run_budget": q_run_budget,
     "study_winners": q_study_winners,
     "ngram_loss": q_ngram_loss,
 }
