@@ -28,14 +28,17 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "streams", run, "out"), os.path.join(base, "streams", run, "chk")
 
 
-def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str,
+                  out: str | None = None, chk: str | None = None) -> DataFrame:
     """Process every file present now and return the sink's content.
 
     ``mode='complete'``: each micro-batch holds the whole aggregate and
-    replaces the sink; ``'append'``: new rows are appended.
+    replaces the sink; ``'append'``: new rows are appended. Passing the same
+    ``out`` and ``chk`` again resumes: only files not yet seen are read.
     """
     spark = stream.sparkSession
-    out, chk = _paths(spark, name)
+    if out is None or chk is None:
+        out, chk = _paths(spark, name)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         w = batch.write.mode("overwrite" if mode == "complete" else "append")
@@ -70,16 +73,18 @@ def stream_run_summary(spark: SparkSession, sf_dir: str, watermark: str = "1 day
     return run_available(agg, "run_summary", "complete")
 
 
-def stream_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_corpus_filter(spark: SparkSession, sf_dir: str, out: str | None = None,
+                         chk: str | None = None, pattern: str = "documents*.parquet") -> DataFrame:
     """Clean and label documents as they arrive (stateless), appended to the
     sink; the size cut-off stays a batch step because it needs the order."""
     schema = spark.read.parquet(table_path(sf_dir, "documents")).schema
-    docs = spark.readStream.schema(schema).parquet(os.path.join(sf_dir, "documents*.parquet"))
+    docs = spark.readStream.schema(schema).parquet(os.path.join(sf_dir, pattern))
     shards = docs.select(F.substring("source", 4, 64).cast("int").alias("shard"), "doc_id",
                          F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"),
                          "text", "lang")
     lab = C.label_documents(shards).where(F.col("label") != "empty")
-    return run_available(lab.select("doc_id", "lang", "n_chars", "label"), "corpus_filter", "append")
+    return run_available(lab.select("doc_id", "lang", "n_chars", "label"), "corpus_filter", "append",
+                         out, chk)
 
 
 def stream_event_rates(spark: SparkSession, sf_dir: str, size: str = "1 hour",
