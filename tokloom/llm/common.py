@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -39,6 +40,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
+    """``schema`` and one more column."""
+    return T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+
+
 def fold(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k

@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, langid, mixing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_quality": quality.op5_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_language": langid.op7_language,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
