@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, quality, sharding, toxicity
+from . import decontaminate, exact_dedup, langid, mixing, quality, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,13 @@ QUERIES: dict[str, Query] = {
     "op5_quality": quality.op5_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_language": langid.op7_language,
+    "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_warc": warc.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
