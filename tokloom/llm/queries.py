@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, quality, sharding, toxicity, warc
+from . import decontaminate, exact_dedup, jaccard, langid, mixing, quality, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality": quality.op5_quality,
