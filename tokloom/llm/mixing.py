@@ -162,6 +162,17 @@ def taken(docs: DataFrame, **options) -> DataFrame:
             .withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("row"))
 
 
+def mixture(docs: DataFrame, source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as the mix takes its words, to the
+    nearest whole time (a source's last, cut document rounds up or down); columns as they were."""
+    base = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "op2-base")
+    got = taken(base, id_col="_row", source_col=source_col, text_col=text_col, **options)
+    times = (got.where("size > 0").select(F.col("doc_id").alias("_row"), F.expr("(2 * taken + size) div (2 * size)").alias("_times"))
+             .where("_times > 0"))
+    return (base.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+            .select(*docs.columns))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by weights 5, 2, 1, at most three epochs of a source."""
     return taken(common.read(spark, sf_dir, "documents")).select(
