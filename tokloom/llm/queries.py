@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard, langid, mixing, quality, sharding, toxicity, warc
+from . import decontaminate, exact_dedup, jaccard, langid, lm, mixing, quality, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_context_mixing": lm.op4_context_mixing,
     "op5_quality": quality.op5_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_language": langid.op7_language,
