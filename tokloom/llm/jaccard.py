@@ -179,6 +179,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             left = np.arange(a, z) if lo[a] == hi[a] else a + np.flatnonzero(side[a:z] == lo[a])
             right = left if lo[a] == hi[a] else a + np.flatnonzero(side[a:z] == hi[a])
+            if not len(left) or not len(right):
+                continue
             found_i, found_j = [], []
             for p in range(0, len(left), 256):
                 i = np.repeat(np.arange(p, min(p + 256, len(left))), len(right))
