@@ -230,7 +230,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         h, y = (np.concatenate(x) for x in zip(*parts))
         u, inv = np.unique(h, return_inverse=True)
-        bad, good = np.bincount(inv, y == 1, len(u)), np.bincount(inv, y == 0, len(u))
+        bad, good = (np.bincount(inv, y == c, len(u)).astype(float) for c in (1, 0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(bad), pa.array(good)],
             ["k", "h", "bad", "good"])
