@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import duckdb
-import pandas as pd
 
 from tokloom.sources.tables import TABLES, table_path
 
@@ -18,15 +17,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None or v is pd.NA or v is pd.NaT:
+    if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return None if pd.isna(v) else "nan"
-        if math.isinf(v):
+        if not math.isfinite(v):
             return str(v)
-        if False:
-            return "nan"
         return round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
@@ -35,19 +30,20 @@ def _norm(v):
     return v
 
 
-def rows_of(pdf: pd.DataFrame) -> list[tuple]:
-    cols = sorted(pdf.columns)
-    out = [tuple(_norm(x) for x in rec) for rec in pdf[cols].itertuples(index=False, name=None)]
+def rows_of(names: list[str], rows) -> list[tuple]:
+    """Rows as Python values, columns by name; NaN and NULL stay apart."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    out = [tuple(_norm(rec[i]) for i in order) for rec in rows]
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
 def compare(spark, name: str, sf_dir: str, builder, sql: str):
     sdf = builder(spark, sf_dir)
-    spdf = pd.DataFrame([r.asDict() for r in sdf.collect()], columns=sdf.columns)
     con = duck(sf_dir)
-    dpdf = con.execute(sql).df()
-    assert sorted(spdf.columns) == sorted(dpdf.columns), (name, spdf.columns, dpdf.columns)
-    a, b = rows_of(spdf), rows_of(dpdf)
+    rel = con.execute(sql)
+    cols = [d[0] for d in rel.description]
+    assert sorted(sdf.columns) == sorted(cols), (name, sdf.columns, cols)
+    a, b = rows_of(sdf.columns, sdf.collect()), rows_of(cols, rel.fetchall())
     assert len(a) == len(b), (name, len(a), len(b))
     mism = [(x, y) for x, y in zip(a, b) if x != y]
     assert not mism, (name, len(mism), mism[:3])

@@ -18,15 +18,27 @@ STUDY = [
 
 
 def test_study_params_and_bits(spark):
+    """Published rows through the assembled study table; a corpus of one unit per
+    published units-per-token stands in for sizes."""
     vocabs = spark.createDataFrame([(v, "mid") for v, *_ in STUDY], "vocab INT, arch STRING")
     grid = ST.with_model_params(ST.study_grid(ST.configs_table(spark), vocabs, steps=4000))
-    got = {r["vocab"]: r for r in grid.collect()}
-    for v, p, e, share, cpt, loss, bpc in STUDY:
-        assert got[v]["params"] == p
-        assert got[v]["embed_params"] == e
+    assert {(r["max_steps"], r["name"]) for r in grid.collect()} == {(4000, f"vocab{v}") for v, *_ in STUDY}
+    one = spark.createDataFrame([(v, 1.0) for v, *_ in STUDY], "vocab int, x double")
+    n = 1_000_000
+    parts = {"params": grid.select("vocab", "params", "embed_params", "embed_share"),
+             "fertility": one.withColumnRenamed("x", "fertility"), "probes": one.withColumnRenamed("x", "tokens_per_compound"),
+             "sentence": one.withColumnRenamed("x", "words_per_256"),
+             "sizes": spark.createDataFrame([(v, n, round(n * u), round(n * u) // 2) for v, _, _, _, u, _, _ in STUDY],
+                                            "vocab int, n_tokens long, corpus_bytes long, corpus_chars long"),
+             "loss": spark.createDataFrame([(v, x) for v, _, _, _, _, x, _ in STUDY], "vocab int, val_loss double")}
+    got = {r["vocab"]: r for r in ST.study_table(parts).collect()}
+    for v, p, e, share, units, loss, bits in STUDY:
+        assert (got[v]["params"], got[v]["embed_params"]) == (p, e)
         assert got[v]["embed_share"] == pytest.approx(share, rel=1e-12)
-        assert (loss / math.log(2)) / cpt == pytest.approx(bpc, abs=3e-4)
-        assert got[v]["max_steps"] == 4000 and got[v]["name"] == f"vocab{v}"
+        assert got[v]["bytes_per_token"] == pytest.approx(units)
+        assert got[v]["bits_per_byte"] == pytest.approx(bits, abs=3e-4)
+        assert got[v]["bits_per_char"] == pytest.approx(2 * bits, abs=1e-3)
+        assert got[v]["uniform_loss"] == pytest.approx(math.log(v))
 
 
 def test_config_params(spark):

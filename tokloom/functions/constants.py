@@ -16,7 +16,6 @@ END_OF_TEXT = "<|endoftext|>"   # id 0
 N_BYTE_SYMBOLS = 256            # ids 1..256 are the bytes 0..255
 MIN_PAIR_FREQUENCY = 2          # a pair must occur at least this often to merge
 MAX_VOCAB = 65536               # token ids must fit 16 bits
-FERTILITY_SAMPLE_CHARS = 5_000_000
 
 # Byte-level pre-tokenisation pattern (GPT-2 family), as used by the
 # tokenizer library the reference trains with.
@@ -45,10 +44,8 @@ CONTEXT_TOKENS = 256            # words per 256 tokens
 WARMUP_START_FACTOR = 0.02      # linear warmup from 0.02*lr to lr
 COSINE_END_FACTOR = 0.1         # cosine decay from lr to 0.1*lr
 EMA_DECAY = 0.9                 # running loss: 0.9*old + 0.1*new
-PROGRESS_EVERY = 10             # rate / ETA line every 10 steps
 PERPLEXITY_CLAMP = 20.0         # exp(min(loss, 20)) in the progress line
 TRAIN_SEED = 1337               # window sampling seed is 1337 + start step
-EVAL_SEED = 7
 DRAW_EPSILON = 1e-10            # added to probabilities before the draw
 FFN_MULTIPLE = 64               # feed-forward width rounded up to this
 ROPE_BASE_DEFAULT = 10000
@@ -63,6 +60,5 @@ CONFIGS = [
     ("small", 8, 8, 384, 256, 16384, 32, 12000, 0.0006, 200, 250, 40, 500),
     ("tiny", 4, 4, 128, 256, 16384, 32, 12000, 0.001039, 200, 250, 40, 500),
 ]
-STUDY_VOCABS = [4096, 8192, 16384, 32768]
 STUDY_ARCH = "mid"
 STUDY_STEPS = 4000

@@ -56,11 +56,6 @@ def perplexity(loss, clamp: bool = True) -> Column:
     return F.exp(F.least(_c(loss), F.lit(PERPLEXITY_CLAMP))) if clamp else F.exp(_c(loss))
 
 
-def scaled_lr(lr0, width, base_width: int = 384) -> Column:
-    """Learning rate scaled with 1/sqrt(width) from a base width."""
-    return _c(lr0) * F.sqrt(F.lit(float(base_width)) / _c(width))
-
-
 def md5_uniform(seed, *keys) -> Column:
     """Deterministic uniform in [0, 1) from md5 of ``seed|key...``.
 

@@ -14,7 +14,7 @@ from .constants import PIECE_PATTERN, SHORT_LINE_CHARS
 # Characters Python's str.strip() removes: Unicode White_Space plus the four
 # information separators U+001C..U+001F.
 _WS = r"[\s\x1c-\x1f]"
-_STRIP = r"(?U)\A" + _WS + r"+|" + _WS + r"+\z"
+STRIP = r"(?U)\A" + _WS + r"+|" + _WS + r"+\z"
 
 
 def _c(c) -> Column:
@@ -28,7 +28,7 @@ def clean_text(c) -> Column:
     t = F.regexp_replace(t, "\u00a0", " ")
     t = F.regexp_replace(t, "[ \t]+", " ")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    return F.regexp_replace(t, _STRIP, "")
+    return F.regexp_replace(t, STRIP, "")
 
 
 def char_len(c) -> Column:

@@ -8,7 +8,7 @@ current symbols as a delimited string (``|68||101|``). One round:
 2. the top ``fetch`` pairs by (count desc, left id, right id) to the driver
    (``TakeOrderedAndProject``: at most ``fetch`` rows leave each task),
 3. choose one or more merges that sequential one-at-a-time merging would also
-   make next (exact batching, see :func:`choose_exact`),
+   make next (see :func:`choose_exact`),
 4. rewrite ``y`` with plain string replaces, only on rows holding a chosen
    pair. Pieces reduced to one symbol can never change again; they leave the
    loop at each checkpoint and are kept aside.
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from ..functions.constants import MAX_VOCAB, MIN_PAIR_FREQUENCY, N_BYTE_SYMBOLS
-from ..session import materialize, rows_at_most
+from ..functions.constants import END_OF_TEXT, MAX_VOCAB, MIN_PAIR_FREQUENCY, N_BYTE_SYMBOLS
+from ..session import materialize
 from .pieces import initial_types, pair_rows
 
 FIRST_MERGE_ID = N_BYTE_SYMBOLS + 1
@@ -54,7 +54,7 @@ VOCAB_SCHEMA = Ty.StructType([
 def check_vocab_size(vocab_size: int) -> None:
     """Width guard: ids must fit 16 bits."""
     if vocab_size >= MAX_VOCAB:
-        raise ValueError(f"vocab {vocab_size} does not fit in uint16")
+        raise ValueError(f"a vocabulary of {vocab_size} needs ids wider than 16 bits")
     if vocab_size < FIRST_MERGE_ID:
         raise ValueError(f"vocab {vocab_size} is smaller than the {FIRST_MERGE_ID} base ids")
 
@@ -63,46 +63,36 @@ def choose_exact(top: list[tuple[int, int, int]], wanted: int, fetched_all: bool
                  min_frequency: int) -> list[tuple[int, int, int]]:
     """Merges from one round that one-at-a-time merging would make next.
 
-    ``top`` is sorted by (count desc, left, right). Take the leading run of
-    pairs whose symbols are disjoint; the first pair sharing a symbol with a
-    taken one (or any ``(a, a)`` pair after the first) stops the run and sets
-    the bound. A pair created by a merge of ``(a, b)`` occurs at most as often
-    as a pair holding ``a`` or ``b``, which conflicts and so ranks at or after
-    the stop; taken pairs counted strictly above the bound therefore stay the
-    maxima in turn. The first pair is always exact.
+    ``top`` is sorted by (count desc, left, right). Merging ``(a, b)`` takes
+    nothing from ``(a, z)`` or ``(x, b)``: an ``a`` before ``z`` is not before
+    ``b``. It changes only pairs that chain with it, ``(x, a)`` and ``(b, y)``,
+    and the pairs it creates, ``(x, ab)`` and ``(ab, y)``, occur no more often
+    than those. So the leading run of pairs that do not chain with one already
+    taken keeps its counts, and those counted strictly above the first pair
+    that does chain stay the maxima in turn. A pair ``(a, a)`` chains with
+    itself and is taken alone. The first pair is always exact.
     """
     if not top or wanted <= 0:
         return []
     taken: list[tuple[int, int, int]] = []
-    used: set[int] = set()
+    lefts: set[int] = set()
+    rights: set[int] = set()
     bound = None
     for i, (l, r, c) in enumerate(top):
-        if l == r or l in used or r in used:
+        if l == r or l in rights or r in lefts:
             if i == 0:
                 return [top[0]]
             bound = c
             break
         taken.append((l, r, c))
-        used.update((l, r))
+        lefts.add(l)
+        rights.add(r)
     if bound is None:
         bound = (min_frequency - 1) if fetched_all else top[-1][2]
     keep = [taken[0]] + [t for t in taken[1:] if t[2] > bound]
     return keep[:wanted]
 
 
-def choose_batched(top: list[tuple[int, int, int]], wanted: int) -> list[tuple[int, int, int]]:
-    """Approximate mode: every symbol-disjoint pair among the fetched ones."""
-    taken, used = [], set()
-    for l, r, c in top:
-        if l == r and taken:
-            continue
-        if l in used or r in used:
-            continue
-        taken.append((l, r, c))
-        used.update((l, r))
-    return taken[:wanted]
-
-
 @dataclass
 class BpeResult:
     merges: DataFrame
@@ -143,24 +133,19 @@ def _pair_table(rows: DataFrame) -> DataFrame:
 
 
 def train_bpe(piece_counts: DataFrame, vocab_size: int,
-              min_frequency: int = MIN_PAIR_FREQUENCY, mode: str = "exact",
-              fetch: int = 64, checkpoint_every: int = 8,
-              snapshots: list[int] | None = None, incremental: bool | None = None,
-              incremental_min_types: int = 2_000_000) -> BpeResult:
-    """Learn ``vocab_size - 257`` merges (fewer if no pair reaches ``min_frequency``).
-
-    ``piece_counts``: ``piece, cnt``. ``mode='exact'`` equals one merge per
-    round; ``'batched'`` takes every symbol-disjoint fetched pair per round
-    (faster, approximate). ``snapshots``: smaller vocabulary sizes whose piece
-    segmentation is also kept (a round never crosses a snapshot size).
-
-    ``incremental=True`` keeps the pair table persisted and each round
-    re-counts only the pieces holding a chosen pair (their old pairs
-    subtracted, new pairs added), so a round's work follows the pieces that
-    change, not the whole vocabulary state; ``False`` recounts every round.
-    ``None`` chooses: incremental from ``incremental_min_types`` distinct
-    pieces on (below that a round is dominated by fixed job costs, and the
-    plain recount has the shorter plan).
+              min_frequency: int = MIN_PAIR_FREQUENCY, fetch: int = 64, checkpoint_every: int = 8,
+              snapshots: list[int] | None = None) -> BpeResult:
+    """Learn ``vocab_size - 257`` merges (fewer if no pair reaches ``min_frequency``),
+    the same ones as merging one pair at a time.
+
+    ``piece_counts``: ``piece, cnt``. ``snapshots``: smaller vocabulary sizes whose
+    piece segmentation is also kept (a round never crosses a snapshot size).
+
+    The pair table is kept and each round re-counts only the pieces that hold a
+    chosen pair (their old pairs subtracted, new ones added), so a round's work
+    follows the pieces that change. ``fetch`` bounds the rows a round's top
+    list brings to the driver; a pair beyond it cannot be chosen that round,
+    which costs a round but never changes the merges.
     """
     check_vocab_size(vocab_size)
     spark: SparkSession = piece_counts.sparkSession
@@ -169,9 +154,7 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
     types = materialize(initial_types(piece_counts))
     aside = [types.where(~F.col("y").contains("||"))]
     state = types.where(F.col("y").contains("||")).persist(level)
-    if incremental is None:
-        incremental = not rows_at_most(state, incremental_min_types)
-    pairs = _pair_table(pair_rows(state)).persist(level) if incremental else None
+    pairs = _pair_table(pair_rows(state)).persist(level)
     merges: list[tuple[int, int, int, int, int]] = []
     next_id = FIRST_MERGE_ID
     rounds = 0
@@ -187,10 +170,7 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
         return out
 
     while len(merges) < wanted_total:
-        if incremental:
-            top = _top_pairs(pairs, min_frequency, fetch)
-        else:
-            top = _top_pairs(_pair_table(pair_rows(state)), min_frequency, fetch)
+        top = _top_pairs(pairs, min_frequency, fetch)
         # Everything the new pair table and state were computed from is
         # cached now; older copies can go.
         for df in stale:
@@ -202,42 +182,31 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
         pending = [t for t in targets if t > len(merges)]
         if pending:
             wanted = min(wanted, pending[0] - len(merges))
-        if mode == "exact":
-            chosen = choose_exact(top, wanted, len(top) < fetch, min_frequency)
-        elif mode == "batched":
-            chosen = choose_batched(top, wanted)
-        else:
-            raise ValueError(f"unknown mode {mode!r}")
         with_ids = []
-        for l, r, c in chosen:
+        for l, r, c in choose_exact(top, wanted, len(top) < fetch, min_frequency):
             merges.append((len(merges), l, r, next_id, c))
             with_ids.append((l, r, next_id))
             next_id += 1
         rounds += 1
         cond, new_y = _rewrite(F.col("y"), with_ids)
         new_state = state.withColumn("y", F.when(cond, new_y).otherwise(F.col("y")))
-        new_pairs = None
-        if incremental:
-            changed = state.where(cond).select("cnt", F.col("y").alias("y_old"), new_y.alias("y_new"))
-            delta = pair_rows(changed, "y_new").unionByName(
-                pair_rows(changed, "y_old").withColumn("cnt", -F.col("cnt")))
-            new_pairs = _pair_table(pairs.unionByName(delta))
+        changed = state.where(cond).select("cnt", F.col("y").alias("y_old"), new_y.alias("y_new"))
+        delta = pair_rows(changed, "y_new").unionByName(
+            pair_rows(changed, "y_old").withColumn("cnt", -F.col("cnt")))
+        new_pairs = _pair_table(pairs.unionByName(_pair_table(delta)))
         snap_now = len(merges) in targets
         if rounds % checkpoint_every == 0 or snap_now:
             ck = materialize(new_state)
             aside.append(ck.where(~F.col("y").contains("||")))
             new_state = ck.where(F.col("y").contains("||"))
-            if new_pairs is not None:
-                new_pairs = materialize(new_pairs)
+            new_pairs = materialize(new_pairs)
             if snap_now:
                 # One table per snapshot: later encodes scan it, not the pieces.
                 snaps[len(merges) + FIRST_MERGE_ID] = materialize(union_all(aside + [new_state]))
                 aside = [snaps[len(merges) + FIRST_MERGE_ID].where(~F.col("y").contains("||"))]
-        stale.append(state)
+        stale += [state, pairs]
         state = new_state.persist(level)
-        if incremental:
-            stale.append(pairs)
-            pairs = new_pairs.persist(level)
+        pairs = new_pairs.persist(level)
     for df in stale:
         df.unpersist()
     final_types = materialize(union_all(aside + [state]))
@@ -251,7 +220,7 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
 
 def vocab_bytes(merges: list[tuple[int, int, int, int, int]]) -> dict[int, bytes]:
     """token id -> byte string; 0 is the special, 1..256 the bytes."""
-    out = {0: b"<|endoftext|>"}
+    out = {0: END_OF_TEXT.encode()}
     for b in range(N_BYTE_SYMBOLS):
         out[b + 1] = bytes([b])
     for _, l, r, new_id, _ in merges:

@@ -1,14 +1,15 @@
-"""Text -> token ids by joining distinct pieces, ids -> text, token tables.
+"""Text -> token ids, ids -> text, token tables.
 
-Encoding segments each *distinct* piece once and joins the segmentation back
-to the piece occurrences. Pieces seen in vocabulary learning already carry
-their final symbols in the learning state; only unseen pieces go through the
-small pandas helper that applies merges lowest rank first.
+Encoding is one narrow pass: pieces are cut by the built-in pattern, and an
+Arrow-batched helper segments each distinct piece of a task once (for all
+vocabularies, smaller ones being prefixes of the merge list) and looks the
+others up. Nothing is shuffled but what the caller's keys need. Decoding looks the
+ids' bytes up in an array of the vocabulary and stays in built-in expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import text as T
-from ..session import join_small
 from ..sources.tables import spread
-from .bpe import vocab_bytes
-from .ordering import running_sum_before
-from .pieces import piece_rows
+from .bpe import FIRST_MERGE_ID, vocab_bytes
+from .ordering import running_agg
 
 
 def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -47,98 +46,94 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return ids
 
 
-def encode_udf(spark, merges: list[tuple[int, int, int, int, int]]):
-    """Pandas UDF ``piece -> array<int>`` with the merge ranks broadcast once."""
-    ranks = {(l, r): (rank, new_id) for rank, l, r, new_id, _ in merges}
-    bc = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf(Ty.ArrayType(Ty.IntegerType()))
-    def _enc(pieces: pd.Series) -> pd.Series:
-        rk = bc.value
-        return pieces.map(lambda p: _merge_word([b + 1 for b in p.encode("utf-8")], rk))
+#: Distinct pieces that one task keeps the segmentation of; the table starts anew beyond.
+CACHED_PIECES = 1 << 19
+
+
+def encode_udf(spark, merges: list[tuple[int, int, int, int, int]], sizes: Sequence[int] | None = None):
+    """Pandas UDF ``array<string> of pieces -> array<array<int>>``: the ids by each
+    vocabulary in ``sizes`` (ascending; default: all merges). The merge list is
+    bounded by the width guard and broadcast once."""
+    counts = [len(merges)] if sizes is None else [max(0, v - FIRST_MERGE_ID) for v in sizes]
+    levels = []
+    for n in counts:
+        levels.append({(l, r): (rank, new_id) for rank, l, r, new_id, _ in merges[:n]})
+    bc = spark.sparkContext.broadcast(levels)
+
+    @F.pandas_udf(Ty.ArrayType(Ty.ArrayType(Ty.IntegerType())))
+    def _enc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen: dict[str, list[list[int]]] = {}
+
+        def segment(piece: str) -> list[list[int]]:
+            ids, out = [b + 1 for b in piece.encode("utf-8")], []
+            for ranks in bc.value:
+                ids = _merge_word(ids, ranks)
+                out.append(ids)
+            if len(seen) >= CACHED_PIECES:
+                seen.clear()
+            seen[piece] = out
+            return out
+
+        for s in texts:
+            rows = []
+            for pieces in s:
+                segs = [seen.get(p) or segment(p) for p in pieces] if pieces is not None else []
+                rows.append([[i for x in segs for i in x[k]] for k in range(len(counts))])
+            yield pd.Series(rows)
 
     return _enc
 
 
-def decode_udf(spark, merges: list[tuple[int, int, int, int, int]], strip: bool = False):
-    """Pandas UDF ``array<int> -> string``; broken UTF-8 becomes U+FFFD."""
-    bc = spark.sparkContext.broadcast(vocab_bytes(merges))
-
-    @F.pandas_udf(Ty.StringType())
-    def _dec(ids: pd.Series) -> pd.Series:
-        vb = bc.value
-
-        def one(a):
-            s = b"".join(vb[int(i)] for i in a).decode("utf-8", errors="replace")
-            return s.strip() if strip else s
-
-        return ids.map(one)
-
-    return _dec
-
+def vocab_hex(merges: list[tuple[int, int, int, int, int]]) -> list[str]:
+    """Per id the hex code of its bytes."""
+    return [b.hex().upper() for _, b in sorted(vocab_bytes(merges).items())]
 
-def decode_pieces_udf(spark, merges: list[tuple[int, int, int, int, int]], sep: str = " · "):
-    """Pandas UDF ``array<int> -> string``: each id decoded alone (possibly half a
-    character, shown as U+FFFD), stripped, joined by ``sep``."""
-    bc = spark.sparkContext.broadcast(vocab_bytes(merges))
 
-    @F.pandas_udf(Ty.StringType())
-    def _dec(ids: pd.Series) -> pd.Series:
-        vb = bc.value
-        return ids.map(lambda a: sep.join(vb[int(i)].decode("utf-8", errors="replace").strip()
-                                          for i in a))
-
-    return _dec
+def decoded(df: DataFrame, merges: list[tuple[int, int, int, int, int]], out: str, ids_col: str = "ids",
+            sep: str | None = None) -> DataFrame:
+    """``df`` with ``out``, the text of ``ids_col``; broken UTF-8 becomes U+FFFD.
 
+    With ``sep`` each id is decoded by itself (possibly half a character),
+    stripped, and the parts are joined by it.
+    """
+    table = F.split(F.lit(",".join(vocab_hex(merges))), ",")     # a constant, folded once
 
-def segmentation(known_types: DataFrame | None, pieces: DataFrame,
-                 merges: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """``piece, ids`` for every distinct piece in ``pieces``.
+    def text(h):
+        return F.make_valid_utf8(F.unhex(h).cast("string"))
 
-    ``known_types`` (``piece, y`` from vocabulary learning) supplies pieces
-    already segmented; the rest are segmented by the pandas helper.
-    """
-    spark = pieces.sparkSession
-    distinct = pieces.select("piece").distinct()
-    enc = encode_udf(spark, merges)
-    if known_types is None:
-        return distinct.select("piece", enc("piece").alias("ids"))
-    known = known_types.select("piece", T.symbols_of("y").alias("ids"))
-    missing = distinct.join(known.select("piece"), "piece", "left_anti")
-    return known.unionByName(missing.select("piece", enc("piece").alias("ids")))
+    if sep is None:
+        h = F.array_join(F.transform(ids_col, lambda i: F.element_at(table, i + 1)), "")
+        return df.withColumn(out, text(h))
+    parts = F.transform(ids_col, lambda i: F.regexp_replace(text(F.element_at(table, i + 1)), T.STRIP, ""))
+    return df.withColumn(out, F.array_join(parts, sep))
 
 
 def encode_texts(texts: DataFrame, text_col: str, key_cols: Sequence[str],
-                 merges: list[tuple[int, int, int, int, int]],
-                 known_types: DataFrame | None = None,
-                 add_prefix_space: bool = True,
-                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                 merges: list[tuple[int, int, int, int, int]], sizes: Sequence[int] | None = None,
+                 add_prefix_space: bool = True) -> DataFrame:
     """``key_cols..., ids, n_tokens``: each text encoded whole (one prefix space).
 
-    The piece join broadcasts the segmentation only on a checked size
-    (``join_small``); otherwise it is a shuffle join on ``piece`` whose hot
-    pieces AQE splits. The regroup per text is bounded by the text's length.
+    With ``sizes`` a row per text and vocabulary size, named in ``vocab``.
     """
-    key_cols = list(key_cols)
-    occ = piece_rows(spread(texts), text_col, key_cols, add_prefix_space)
-    seg = segmentation(known_types, occ, merges)
-    joined = join_small(occ, seg, "piece", max_broadcast_rows=max_broadcast_rows)
-    grouped = joined.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
-    ids = F.flatten(F.transform("_p", lambda x: x["ids"]))
-    return grouped.select(*key_cols, ids.alias("ids")).withColumn("n_tokens", F.size("ids"))
+    enc = encode_udf(texts.sparkSession, merges, sizes)
+    rows = spread(texts).select(*key_cols, enc(T.pieces(text_col, add_prefix_space)).alias("_ids"))
+    if sizes is None:
+        rows = rows.select(*key_cols, F.col("_ids")[0].alias("ids"))
+    else:
+        rows = rows.select(*key_cols, F.posexplode("_ids").alias("_k", "ids"))
+        rows = rows.withColumn("vocab", F.element_at(F.array(*[F.lit(v) for v in sizes]), F.col("_k") + 1)).drop("_k")
+    return rows.withColumn("n_tokens", F.size("ids"))
 
 
-def token_table(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``doc_id, split, start_byte, start_pos, n_tokens, ids``.
-
-    ``start_pos`` is the document's first token position in the token stream
-    in corpus order (prefix sum in two levels, no global window).
-    """
-    t = tokens.join(corpus.select("doc_id", "split", "start_byte"), "doc_id")
-    return running_sum_before(t, ["start_byte"], "n_tokens", "start_pos")
+def token_positions(tokens: DataFrame) -> DataFrame:
+    """``vocab, doc_id, start_pos``: each document's first token position in its
+    vocabulary's stream in corpus order. The prefix sum reads three narrow columns
+    of the stored token table."""
+    narrow = tokens.select("vocab", "doc_id", "start_byte", F.col("n_tokens").cast("long").alias("n_tokens"))
+    pos = running_agg(narrow, ["vocab"], ["start_byte"], "n_tokens", "start_pos")
+    return pos.select("vocab", "doc_id", F.col("start_pos").cast("bigint").alias("start_pos"))
 
 
 def token_totals(tokens: DataFrame) -> DataFrame:
-    """``split, n_tokens`` per split plus the total (split NULL) via rollup."""
-    return tokens.rollup("split").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"))
+    """``vocab, split, n_tokens`` per split plus each vocabulary's total (split NULL)."""
+    return tokens.cube("split", "vocab").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens")).where("vocab is not null")

@@ -70,13 +70,6 @@ def running_sum_before(df: DataFrame, order_cols: Sequence[str], value_col: str,
     return running_agg(df, [], order_cols, value_col, out_col, "sum", False, num_partitions)
 
 
-def rank_in_order(df: DataFrame, order_cols: Sequence[str], out_col: str = "grank",
-                  num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the total order ``order_cols``."""
-    one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_sum_before(one, order_cols, "_one", out_col, num_partitions).drop("_one")
-
-
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                 out_col: str = "k") -> DataFrame:
     """1-based position of each row within its group (``row_number`` without

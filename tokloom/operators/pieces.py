@@ -7,8 +7,6 @@ per distinct piece after a partial (map-side) aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +14,6 @@ from ..functions import text as T
 from ..sources.tables import spread
 
 
-def piece_rows(texts: DataFrame, text_col: str, key_cols: Sequence[str],
-               add_prefix_space: bool = True) -> DataFrame:
-    """One row per piece occurrence: ``key_cols..., pos, piece`` (pos 0-based)."""
-    return texts.select(*key_cols, F.posexplode(T.pieces(text_col, add_prefix_space))
-                        .alias("pos", "piece"))
-
-
 def piece_counts(texts: DataFrame, text_col: str = "text",
                  add_prefix_space: bool = True) -> DataFrame:
     """``piece, cnt``: frequency of each distinct piece over all texts."""

@@ -5,20 +5,18 @@ The log is ``run_id, seq, k, step, val, train, elapsed, event_type`` where
 ``k`` is the 1-based position in the run. Per-run orderings never use a
 window partitioned by run alone (one run may hold a third of all rows):
 positions come from the two-level prefix helpers, the previous row from an
-equi-join on ``(run_id, k - 1)``, and the moving average from fixed-size
-blocks.
+equi-join on ``(run_id, k - 1)``, and the moving average from affine maps
+composed in blocks.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import EMA_DECAY
 from ..functions.numeric import lr_at, perplexity
-from ..session import join_small
+from ..session import join_small, materialize
 from ..sources.tables import read_table
 from .ordering import rank_within, running_agg
 
@@ -59,7 +57,7 @@ def run_summary(log: DataFrame) -> DataFrame:
         F.min("step").alias("first_step"),
         F.max("step").alias("last_step"),
         F.min("val").alias("best_val"),
-        F.min(F.struct("val", "step"))["step"].alias("best_step"),
+        F.min(F.when(F.col("val").isNotNull(), F.struct("val", "step")))["step"].alias("best_step"),
         F.max_by("val", "step").alias("final_val"),
         F.min_by("val", "step").alias("first_val"),
         F.max("elapsed").alias("max_elapsed"))
@@ -74,40 +72,51 @@ def run_summary(log: DataFrame) -> DataFrame:
         F.round(drop, 9).alias("loss_drop_per_sec"))
 
 
+def affine_scan(rows: DataFrame, group: str, k: str, a: str, b: str, out: str, block: int = 256) -> DataFrame:
+    """Add ``out``: ``y(k) = a(k) * y(k-1) + b(k)`` along ``k`` = 1, 2, ... of each group, y(0) = 0.
+
+    Every row is an affine map. Inside a block of ``block`` positions the maps
+    are composed in order (one array of at most ``block`` entries); the blocks'
+    own maps form a carry table ``block`` times smaller, which is scanned in the
+    same way. No power of a factor is ever inverted, so nothing overflows.
+    """
+    x = rows.withColumn("_blk", F.floor((F.col(k) - 1) / block).cast("long"))
+    first = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")))
+    steps = F.aggregate(F.sort_array(F.collect_list(F.struct(F.col(k).alias("k"), F.col(a).alias("a"), F.col(b).alias("b")))),
+                        first, lambda acc, m: F.concat(acc, F.array(F.struct(
+                            (m["a"] * F.element_at(acc, -1)["a"]).alias("a"),
+                            (m["a"] * F.element_at(acc, -1)["b"] + m["b"]).alias("b")))))
+    maps = materialize(x.groupBy(group, "_blk").agg(steps.alias("_maps")))
+    local = maps.select(group, "_blk", F.posexplode("_maps").alias("_i", "_m")).where("_i > 0").select(
+        group, (F.col("_blk") * block + F.col("_i")).alias(k), "_blk", "_m")
+    if maps.where("_blk > 0").take(1):
+        ends = maps.select(group, (F.col("_blk") + 1).alias("_n"), F.element_at("_maps", -1).alias("_e")).select(
+            group, "_n", F.col("_e.a").alias("_a"), F.col("_e.b").alias("_b"))
+        carry = affine_scan(ends, group, "_n", "_a", "_b", "_carry", block).select(group, F.col("_n").alias("_blk"), "_carry")
+        local = local.join(carry, [group, "_blk"], "left")
+    else:
+        local = local.withColumn("_carry", F.lit(0.0))
+    y = F.col("_m.a") * F.coalesce("_carry", F.lit(0.0)) + F.col("_m.b")
+    return rows.join(local.select(group, k, y.alias(out)), [group, k])
+
+
 def loss_ema(log: DataFrame, value_col: str = "val", decay: float = EMA_DECAY,
              block: int = 256) -> DataFrame:
-    """Exponential moving average per run: first value seeds, then
-    ``decay*r + (1-decay)*x``. Adds ``ema``.
-
-    Computed in blocks of ``block`` positions: inside a block a discounted
-    running sum (window partitioned by run and block, at most ``block`` rows);
-    across blocks the end values of as many earlier blocks as still weigh
-    more than 1e-18 relative (three at decay 0.9 and 256 rows) are joined in
-    by block number, so no task holds a whole run.
-    """
+    """Exponential moving average per run: the first value seeds, then
+    ``decay*r + (1-decay)*x``. Adds ``ema``. A null value changes nothing; before
+    a run's first value the average is null."""
     d = float(decay)
     if not 0 <= d < 1:
         raise ValueError("decay must be in [0, 1)")
-    # Blocks carried: enough that the weight of older ones is below 1e-18
-    # relative, i.e. below double precision.
-    carried = 1 if d == 0 else math.ceil(-18 / (block * math.log10(d))) + 1
-    c = F.when(F.col("k") == 1, F.col(value_col)).otherwise((1 - d) * F.col(value_col))
-    b = F.floor((F.col("k") - 1) / block)
-    x = log.withColumn("_b", b).withColumn("_i", F.col("k") - 1 - F.col("_b") * block)
-    w = (Window.partitionBy("run_id", "_b").orderBy("k")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_local", F.pow(F.lit(d), F.col("_i"))
-                     * F.sum(c * F.pow(F.lit(d), -F.col("_i"))).over(w))
-    totals = x.groupBy("run_id", "_b").agg(F.max_by("_local", "k").alias("_t"))
-    shifted = None
-    for m in range(1, carried + 1):
-        s = totals.select("run_id", (F.col("_b") + m).alias("_b"),
-                          (F.col("_t") * F.lit(d ** ((m - 1) * block))).alias("_w"))
-        shifted = s if shifted is None else shifted.unionByName(s)
-    carry = shifted.groupBy("run_id", "_b").agg(F.sum("_w").alias("_carry"))
-    out = x.join(carry, ["run_id", "_b"], "left")
-    ema = F.col("_local") + F.pow(F.lit(d), F.col("_i") + 1) * F.coalesce("_carry", F.lit(0.0))
-    return out.withColumn("ema", ema).drop("_b", "_i", "_local", "_carry")
+    v = F.col(value_col)
+    seed = log.where(v.isNotNull()).groupBy("run_id").agg(F.min("k").alias("_seed"))
+    x = join_small(log, seed, "run_id", "left")
+    a = F.when(v.isNull(), 1.0).when(F.col("k") == F.col("_seed"), 0.0).otherwise(d)
+    b = F.when(v.isNull(), 0.0).when(F.col("k") == F.col("_seed"), v).otherwise((1 - d) * v)
+    x = materialize(x.withColumn("_fa", a).withColumn("_fb", b.cast("double")))
+    out = affine_scan(x, "run_id", "k", "_fa", "_fb", "ema", block)
+    return (out.withColumn("ema", F.when(F.col("k") >= F.col("_seed"), F.col("ema")))
+            .drop("_seed", "_fa", "_fb"))
 
 
 def best_so_far(log: DataFrame, value_col: str = "val") -> DataFrame:
@@ -173,17 +182,19 @@ def lr_audit(log: DataFrame, lr: float, warmup: int, tolerance: float = 0.01) ->
 def power_fit(points: DataFrame, group_col: str, x_col: str, y_col: str) -> DataFrame:
     """Least squares of ln(y) on ln(x) per group: y ~ exp(c) * x^-a.
 
-    Returns ``exponent`` (a), ``log_c``, ``r2``, ``n`` and the x range.
+    Returns ``exponent`` (a), ``log_c``, ``r2``, ``n``, the x range and
+    ``n_dropped``, the points without a logarithm (not positive, or null).
     """
-    lx, ly = F.ln(F.col(x_col)), F.ln(F.col(y_col))
-    ok = points.where((F.col(x_col) > 0) & (F.col(y_col) > 0))
-    return ok.groupBy(group_col).agg(
+    ok = (F.col(x_col) > 0) & (F.col(y_col) > 0)
+    lx, ly = F.when(ok, F.ln(F.col(x_col))), F.when(ok, F.ln(F.col(y_col)))
+    return points.groupBy(group_col).agg(
         (-F.regr_slope(ly, lx)).alias("exponent"),
         F.regr_intercept(ly, lx).alias("log_c"),
         F.regr_r2(ly, lx).alias("r2"),
-        F.count(F.lit(1)).alias("n"),
-        F.min(x_col).alias("x_min"),
-        F.max(x_col).alias("x_max"))
+        F.count(F.when(ok, 1)).alias("n"),
+        F.min(F.when(ok, F.col(x_col))).alias("x_min"),
+        F.max(F.when(ok, F.col(x_col))).alias("x_max"),
+        (F.count(F.lit(1)) - F.count(F.when(ok, 1))).alias("n_dropped"))
 
 
 def fit_curve(fit: DataFrame, group_col: str, points: int = 50,

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import text as T
-from ..functions.constants import (CONFIGS, CONTEXT_TOKENS, FERTILITY_SAMPLE_CHARS)
+from ..functions.constants import CONFIGS, CONTEXT_TOKENS, ROPE_BASE_DEFAULT
 from ..functions.numeric import embed_params, model_params
-from .ordering import running_agg
 
 CONFIG_SCHEMA = Ty.StructType([
     Ty.StructField("name", Ty.StringType()),
@@ -41,12 +40,12 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     """Model configurations from JSON files: a fixed schema (unknown keys are
     ignored) and defaults for missing keys. A missing path raises."""
     df = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
-    return df.withColumn("rope_base", F.coalesce("rope_base", F.lit(10000)))
+    return df.withColumn("rope_base", F.coalesce("rope_base", F.lit(ROPE_BASE_DEFAULT)))
 
 
 def configs_table(spark: SparkSession) -> DataFrame:
     """The five configurations shipped with the reference, as a table."""
-    rows = [tuple(c) + (10000,) for c in CONFIGS]
+    rows = [tuple(c) + (ROPE_BASE_DEFAULT,) for c in CONFIGS]
     return spark.createDataFrame(rows, CONFIG_SCHEMA)
 
 
@@ -68,24 +67,20 @@ def study_grid(configs: DataFrame, vocabs: DataFrame, steps: int, eval_every: in
     """One configuration per vocabulary: the architecture named in ``vocabs.arch``
     with vocabulary, name and step overrides (equi-join on the name)."""
     base = configs.drop("vocab_size").withColumnRenamed("name", "arch")
-    g = vocabs.join(F.broadcast(base), "arch")
+    g = vocabs.join(base, "arch")
     return (g.withColumn("vocab_size", F.col("vocab").cast("int"))
             .withColumn("name", F.concat(F.lit("vocab"), F.col("vocab").cast("string")))
             .withColumn("max_steps", F.lit(steps)).withColumn("eval_every", F.lit(eval_every))
             .withColumn("checkpoint_every", F.lit(checkpoint_every)))
 
 
-def fertility(docs_tokens: DataFrame, sample_chars: int = FERTILITY_SAMPLE_CHARS) -> DataFrame:
-    """Tokens per whitespace word over the documents that start within the first
-    ``sample_chars`` characters of the corpus (in corpus order).
+def fertility(docs_tokens: DataFrame) -> DataFrame:
+    """Tokens per whitespace word over the whole corpus.
 
-    ``docs_tokens``: ``vocab, doc_id, start_byte, doc, n_tokens``.
+    ``docs_tokens``: ``vocab, n_tokens, n_words``, a row per document and vocabulary.
     """
-    d = docs_tokens.withColumn("_chars", F.length("doc").cast("bigint"))
-    d = running_agg(d, ["vocab"], ["start_byte"], "_chars", "start_char", "sum")
-    d = d.where(F.col("start_char") < sample_chars).withColumn("_words", T.whitespace_words("doc"))
-    return d.groupBy("vocab").agg(
-        (F.sum("n_tokens") / F.greatest(F.sum("_words"), F.lit(1))).alias("fertility"),
+    return docs_tokens.groupBy("vocab").agg(
+        (F.sum("n_tokens") / F.greatest(F.sum("n_words"), F.lit(1))).alias("fertility"),
         F.count(F.lit(1)).alias("sample_docs"))
 
 
@@ -102,41 +97,47 @@ def words_per_context(text_tokens: DataFrame, text_col: str = "text",
         / F.greatest(F.col("n_tokens"), F.lit(1)))
 
 
-def positions(tokens: DataFrame, key_cols) -> DataFrame:
-    """Explode ``ids`` to ``key_cols..., pos, id``."""
-    return tokens.select(*key_cols, F.posexplode("ids").alias("pos", "id"))
-
-
-def ngram_loss(train_ids: DataFrame, val_ids: DataFrame, vocab_size_col: str = "vocab") -> DataFrame:
+def ngram_loss(tokens: DataFrame, vocab_size_col: str = "vocab") -> DataFrame:
     """Held-out loss of add-one unigram and bigram count models (a stand-in for a
     trained network): ``vocab, unigram_loss, bigram_loss, n_val``.
 
-    Inputs: ``vocab, doc_id, pos, id``. Bigrams are adjacent positions of one
-    document, paired by an equi-join on ``(doc_id, pos + 1)``.
+    ``tokens``: ``vocab, split, ids`` per document. Neighbours are paired inside
+    each array; validation pairs are counted first, so counts meet counts and a
+    frequent id is one row, and the loss is their weighted mean.
     """
     V = F.col(vocab_size_col).cast("double")
-
-    def bigrams(x):
-        nxt = x.select("vocab", "doc_id", (F.col("pos") - 1).alias("pos"), F.col("id").alias("nxt"))
-        return x.join(nxt, ["vocab", "doc_id", "pos"]).select("vocab", F.col("id").alias("prv"), "nxt")
-
-    uni = train_ids.groupBy("vocab", "id").agg(F.count(F.lit(1)).alias("c"))
-    n_train = train_ids.groupBy("vocab").agg(F.count(F.lit(1)).alias("n_train"))
-    bi = bigrams(train_ids).groupBy("vocab", "prv", "nxt").agg(F.count(F.lit(1)).alias("c2"))
-    ctx = bigrams(train_ids).groupBy("vocab", "prv").agg(F.count(F.lit(1)).alias("c1"))
-
-    vu = (val_ids.join(uni, ["vocab", "id"], "left").join(F.broadcast(n_train), "vocab")
-          .select("vocab", (-F.log((F.coalesce("c", F.lit(0)) + 1) / (F.col("n_train") + V)))
-                  .alias("nll")))
-    uni_loss = vu.groupBy("vocab").agg(F.avg("nll").alias("unigram_loss"),
-                                       F.count(F.lit(1)).alias("n_val"))
-    vb = (bigrams(val_ids).join(bi, ["vocab", "prv", "nxt"], "left").join(ctx, ["vocab", "prv"], "left")
-          .select("vocab", (-F.log((F.coalesce("c2", F.lit(0)) + 1)
-                                   / (F.coalesce("c1", F.lit(0)) + V))).alias("nll")))
-    bi_loss = vb.groupBy("vocab").agg(F.avg("nll").alias("bigram_loss"))
+    uni = (tokens.select("vocab", "split", F.explode("ids").alias("id"))
+           .groupBy("vocab", "split", "id").agg(F.count(F.lit(1)).alias("c")))
+    n = F.greatest(F.size("ids") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("ids", F.lit(1), n), F.slice("ids", F.lit(2), n),
+                       lambda a, b: F.struct(a.alias("prv"), b.alias("nxt")))
+    bi = (tokens.select("vocab", "split", F.explode(pairs).alias("p"))
+          .groupBy("vocab", "split", "p.prv", "p.nxt").agg(F.count(F.lit(1)).alias("c")))
+
+    def part(df, split, name):
+        return df.where(F.col("split") == split).drop("split").withColumnRenamed("c", name)
+
+    n_train = part(uni, "train", "c").groupBy("vocab").agg(F.sum("c").alias("n_train"))
+    vu = (part(uni, "val", "m").join(part(uni, "train", "c"), ["vocab", "id"], "left").join(n_train, "vocab")
+          .withColumn("nll", -F.log((F.coalesce("c", F.lit(0)) + 1) / (F.col("n_train") + V))))
+    uni_loss = vu.groupBy("vocab").agg((F.sum(F.col("nll") * F.col("m")) / F.sum("m")).alias("unigram_loss"),
+                                       F.sum("m").alias("n_val"))
+    train_bi = part(bi, "train", "c2")
+    ctx = train_bi.groupBy("vocab", "prv").agg(F.sum("c2").alias("c1"))
+    vb = (part(bi, "val", "m").join(train_bi, ["vocab", "prv", "nxt"], "left").join(ctx, ["vocab", "prv"], "left")
+          .withColumn("nll", -F.log((F.coalesce("c2", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + V))))
+    bi_loss = vb.groupBy("vocab").agg((F.sum(F.col("nll") * F.col("m")) / F.sum("m")).alias("bigram_loss"))
     return uni_loss.join(bi_loss, "vocab", "left")
 
 
+def heldout_loss(scored: DataFrame, scores_col: str, target_col: str) -> DataFrame:
+    """Add ``nll``: the cross entropy of each scored token, log-sum-exp of its score
+    vector less the score of its target (0-based). A null target is not scored."""
+    top = F.array_max(scores_col)
+    lse = top + F.log(F.aggregate(scores_col, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top)))
+    return scored.withColumn("nll", lse - F.get(scores_col, F.col(target_col)).cast("double"))
+
+
 def study_table(parts: dict[str, DataFrame]) -> DataFrame:
     """Assemble one row per vocabulary from the per-vocabulary tables in
     ``parts`` (all keyed by ``vocab``) and derive the bit measures.
@@ -147,7 +148,7 @@ def study_table(parts: dict[str, DataFrame]) -> DataFrame:
     """
     t = parts["params"]
     for k in ("fertility", "probes", "sentence", "sizes", "loss"):
-        t = t.join(F.broadcast(parts[k]), "vocab")
+        t = t.join(parts[k], "vocab")
     bpt = F.col("corpus_bytes") / F.col("n_tokens")
     cpt = F.col("corpus_chars") / F.col("n_tokens")
     bits = F.col("val_loss") / F.lit(math.log(2))

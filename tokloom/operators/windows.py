@@ -27,52 +27,53 @@ def context_window(seqs: DataFrame, arr_col: str, n: int) -> DataFrame:
             .withColumn("context", ctx))
 
 
-def stream_chunks(tokens: DataFrame, chunk: int) -> DataFrame:
-    """Cut the token stream into fixed-size chunks: ``chunk_id, ids``.
-
-    ``tokens``: ``start_pos, ids`` per document. Every group holds at most
-    ``chunk`` tokens whatever the document sizes.
-    """
-    pos = tokens.select("start_pos", F.posexplode("ids").alias("i", "id"))
-    p = pos.select((F.col("start_pos") + F.col("i")).alias("p"), "id")
-    g = (p.groupBy((F.floor(F.col("p") / chunk)).alias("chunk_id"))
-         .agg(F.sort_array(F.collect_list(F.struct("p", "id"))).alias("_c")))
-    return g.select("chunk_id", F.transform("_c", lambda x: x["id"]).alias("ids"))
-
-
 def sample_windows(tokens: DataFrame, steps: int, batch: int, block: int,
                    seed: int = TRAIN_SEED, start_step: int = 0, compat: bool = False,
                    chunk: int = 4096) -> DataFrame:
     """Random fixed-length windows with replacement: ``step, slot, start_pos, x, y``
     with ``y`` = ``x`` shifted by one.
 
-    Starts are uniform over the valid range from md5 uniforms of
-    ``(seed + start_step, step, slot)``: every window start in
-    ``[0, n - block - 1]`` (``compat=True``: ``[0, n - block - 1)``, which
-    never samples the last valid start). Windows are gathered by joining the
-    two chunks a window can touch; the stream must hold at least ``block + 1``
-    tokens.
+    ``tokens``: ``start_pos, n_tokens, ids`` of documents that follow each other
+    without a gap, from any position on (a validation split starts where the
+    training split ends). Starts are uniform over the valid range from md5
+    uniforms of ``(seed + start_step, step, slot)``: every window start that
+    leaves ``block + 1`` tokens (``compat=True`` never samples the last one).
+
+    Windows and documents meet on the chunks of ``chunk`` positions that both
+    touch; only documents that a window touches give up tokens, as slices. A
+    window that comes out short (a gap in the stream) is an error.
     """
-    chunk = max(chunk, block + 1)
     spark = tokens.sparkSession
-    n = tokens.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).first()["n"]
+    span = tokens.agg(F.min("start_pos").alias("lo"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()
+    n, lo = span["n"], span["lo"]
     if n < block + 1:
-        raise ValueError(f"stream has too few tokens ({n})")
+        raise ValueError(f"{n} tokens cannot fill a window of {block} and its target")
     n_starts = n - block - (1 if compat else 0)
     if n_starts <= 0:
         raise ValueError(f"no window start for {n} tokens and block {block}")
     w = spark.range(steps * batch).select(
-        (F.col("id") / batch).cast("bigint").alias("step"),
-        (F.col("id") % batch).alias("slot"))
+        F.expr(f"id div {batch}").alias("step"), (F.col("id") % batch).alias("slot"))
     u = md5_uniform(seed + start_step, "step", "slot")
-    w = w.withColumn("start_pos", F.floor(u * F.lit(n_starts)).cast("bigint"))
-    w = w.withColumn("c0", F.floor(F.col("start_pos") / chunk)).withColumn(
-        "off", F.col("start_pos") - F.col("c0") * chunk)
-    ch = stream_chunks(tokens, chunk)
-    a = ch.select(F.col("chunk_id").alias("c0"), F.col("ids").alias("ids0"))
-    b = ch.select((F.col("chunk_id") - 1).alias("c0"), F.col("ids").alias("ids1"))
-    j = w.join(a, "c0").join(b, "c0", "left")
-    arr = F.concat("ids0", F.coalesce("ids1", F.array().cast("array<int>")))
-    return j.select("step", "slot", "start_pos",
-                    F.slice(arr, F.col("off").cast("int") + 1, block).alias("x"),
-                    F.slice(arr, F.col("off").cast("int") + 2, block).alias("y"))
+    w = w.withColumn("w0", F.lit(lo) + F.floor(u * F.lit(n_starts)).cast("bigint"))
+
+    def chunks(start, end):
+        return F.explode(F.sequence(F.floor(start / chunk), F.floor(end / chunk)))
+
+    wc = w.withColumn("c", chunks(F.col("w0"), F.col("w0") + block))
+    docs = tokens.where("n_tokens > 0").select("start_pos", "n_tokens")
+    dc = docs.withColumn("c", chunks(F.col("start_pos"), F.col("start_pos") + F.col("n_tokens") - 1))
+    # A pair meets in every chunk they share; it counts in the first one.
+    pair = (wc.join(dc, "c")
+            .where((F.col("start_pos") <= F.col("w0") + block) & (F.col("start_pos") + F.col("n_tokens") > F.col("w0"))
+                   & (F.col("c") == F.floor(F.greatest("w0", "start_pos") / chunk))))
+    part = pair.join(tokens.select("start_pos", "ids"), "start_pos")
+    a = F.greatest(F.col("w0") - F.col("start_pos"), F.lit(0))
+    z = F.least(F.col("w0") + block + 1 - F.col("start_pos"), F.col("n_tokens"))
+    part = part.select("step", "slot", "w0", "start_pos", F.slice("ids", (a + 1).cast("int"), (z - a).cast("int")).alias("p"))
+    got = part.groupBy("step", "slot", "w0").agg(F.sort_array(F.collect_list(F.struct("start_pos", "p"))).alias("_p"))
+    arr = F.flatten(F.transform("_p", lambda x: x["p"]))
+    full = w.join(got, ["step", "slot", "w0"], "left").withColumn("_a", arr)
+    full = full.withColumn("_a", F.when(F.size("_a") == block + 1, F.col("_a")).otherwise(
+        F.raise_error(F.lit("a window lacks tokens"))))
+    return full.select("step", "slot", F.col("w0").alias("start_pos"),
+                       F.slice("_a", 1, block).alias("x"), F.slice("_a", 2, block).alias("y"))

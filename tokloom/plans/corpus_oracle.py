@@ -52,9 +52,9 @@ f AS (
 fb AS (SELECT *, CAST(coalesce(strlen(doc), 0) AS BIGINT) AS n_bytes FROM f)"""
 
 
-def batches_cte(batch_rows: int = QUERY_BATCH_ROWS, target: int | None = None) -> str:
+def batches_cte(batch_rows: int = QUERY_BATCH_ROWS, target: int | None = None, dirtied: bool = True) -> str:
     processed = "TRUE" if target is None else f"bytes_before < {int(target)}"
-    return labelled_cte() + f""",
+    return labelled_cte(dirtied) + f""",
 kb AS (
   SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1) // {batch_rows} AS batch_id
   FROM fb),
@@ -78,8 +78,8 @@ o AS (
   WHERE kb.label = 'kept' AND b.processed)"""
 
 
-def split_cte(target: int | None) -> str:
-    return batches_cte(target=target) + """,
+def split_cte(target: int | None, dirtied: bool = True) -> str:
+    return batches_cte(target=target, dirtied=dirtied) + """,
 t AS (SELECT coalesce(sum(n_bytes), 0) AS total FROM o),
 sp AS (
   SELECT o.*, CASE WHEN start_byte < floor(CAST(t.total AS DOUBLE) * (1.0::DOUBLE - 0.01::DOUBLE))
@@ -128,7 +128,7 @@ WITH {batches_cte(target=QUERY_TARGET_BYTES)}
 SELECT shard, batch_id, n_rows, kept, batch_bytes, bytes_before, processed FROM b""",
 
     "train_val_split": f"""
-WITH {split_cte(QUERY_TARGET_BYTES)}
+WITH {split_cte(None)}
 SELECT doc_id, start_byte, n_bytes, split FROM sp""",
 
     "corpus_docs": f"""

@@ -68,7 +68,7 @@ def q_corpus_cutoff(spark, sf_dir):
 
 
 def q_train_val_split(spark, sf_dir):
-    o = _built(spark, sf_dir, QUERY_TARGET_BYTES)["offsets"]
+    o = _built(spark, sf_dir)["offsets"]
     return o.select("doc_id", "start_byte", "n_bytes", "split")
 
 

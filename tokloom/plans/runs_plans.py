@@ -26,11 +26,8 @@ def q_run_summary(spark, sf_dir):
 
 def q_loss_ema(spark, sf_dir):
     e = R.loss_ema(_log(spark, sf_dir), "val")
-    # The average of two-decimal losses is often an exact decimal tie at the
-    # 6th place; a small nudge with many digits (no decimal tie of its own)
-    # before rounding keeps last-bit differences
-    # between engines from rounding such ties apart (same rule in the oracle).
-    return e.select("run_id", "step", F.round(F.col("ema") + 1.2345678e-10, 6).alias("ema"))
+    # Single precision: decimal digits of two-decimal losses tie, binary ones do not.
+    return e.select("run_id", "step", F.col("ema").cast("float").alias("ema"))
 
 
 def q_best_so_far(spark, sf_dir):
@@ -58,7 +55,7 @@ def q_loss_power_fit(spark, sf_dir):
     f = R.power_fit(_log(spark, sf_dir), "run_id", "step", "val")
     return f.select("run_id", F.round("exponent", 6).alias("exponent"),
                     F.round("log_c", 6).alias("log_c"), F.round("r2", 6).alias("r2"),
-                    "n", "x_min", "x_max")
+                    "n", "x_min", "x_max", "n_dropped")
 
 
 def q_loss_fit_curve(spark, sf_dir):
@@ -108,7 +105,7 @@ ORACLE = {
     "run_summary": f"""
 WITH {LOG_CTE}
 SELECT run_id, count(*) AS n_evals, min(step) AS first_step, max(step) AS last_step,
-       (min(struct_pack(v := val, s := step))).s AS best_step,
+       (min(struct_pack(v := val, s := step)) FILTER (WHERE val IS NOT NULL)).s AS best_step,
        round(min(val), 6) AS best_val, round(arg_max(val, step), 6) AS final_val,
        round(exp(least(min(val), 20)), 3) AS ppl_best, round(max(elapsed), 3) AS max_elapsed,
        round(CASE WHEN max(elapsed) > 0 THEN (arg_min(val, step) - min(val)) / max(elapsed) END, 9)
@@ -119,7 +116,7 @@ FROM lg GROUP BY run_id""",
 WITH {LOG_CTE},
 l AS (SELECT run_id, list(val ORDER BY k) AS vals FROM lg GROUP BY run_id)
 SELECT lg.run_id, lg.step,
-       round(list_reduce(l.vals[1:lg.k], lambda acc, x: 0.9 * acc + 0.1 * x) + 1.2345678e-10, 6) AS ema
+       CAST(list_reduce(l.vals[1:lg.k], lambda acc, x: 0.9 * acc + 0.1 * x) AS FLOAT) AS ema
 FROM lg JOIN l USING (run_id)""",
 
     "best_so_far": f"""
@@ -176,7 +173,9 @@ WITH {LOG_CTE}
 SELECT run_id, round(-regr_slope(ln(val), ln(step)), 6) AS exponent,
        round(regr_intercept(ln(val), ln(step)), 6) AS log_c,
        round(regr_r2(ln(val), ln(step)), 6) AS r2,
-       count(*) AS n, min(step) AS x_min, max(step) AS x_max
+       count(*) AS n, min(step) AS x_min, max(step) AS x_max,
+       any_value((SELECT count(*) FROM lg z WHERE z.run_id = lg.run_id AND NOT (z.step > 0 AND coalesce(z.val, 0) > 0)))
+         AS n_dropped
 FROM lg WHERE step > 0 AND val > 0 GROUP BY run_id""",
 
     "loss_fit_curve": f"""

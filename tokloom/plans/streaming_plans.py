@@ -34,11 +34,18 @@ def q_stream_event_rates_sliding(spark, sf_dir):
     return _rates(S.stream_event_rates(spark, sf_dir, "2 hours", "1 hour"))
 
 
+def q_stream_sessions(spark, sf_dir):
+    s = S.stream_sessions(spark, sf_dir)
+    return s.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "user_id", "n",
+                    F.round("value_sum", 6).alias("value_sum"))
+
+
 QUERIES = {
     "stream_run_summary": q_stream_run_summary,
     "stream_corpus_filter": q_stream_corpus_filter,
     "stream_event_rates": q_stream_event_rates,
     "stream_event_rates_sliding": q_stream_event_rates_sliding,
+    "stream_sessions": q_stream_sessions,
 }
 
 ORACLE = {
@@ -64,4 +71,13 @@ SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS
 FROM (SELECT unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts)]) AS w,
              event_type, value FROM events)
 GROUP BY 1, 2""",
+
+    # The watermark, a day behind the last event, has passed the sessions given.
+    "stream_sessions": """
+WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS first
+           FROM events),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, user_id, count(*) AS n, round(sum(value), 6) AS value_sum
+FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
 }

@@ -1,7 +1,9 @@
-"""Registered tokenizer queries: pieces, byte and pair histograms and the
-context window (SQL-checked); merges learned on the prepared German corpus,
-encoding, decoding, token totals, training windows and the vocabulary study
-(checked against sequential references in the tests).
+"""Registered tokenizer queries: pieces, byte and pair histograms and the context
+window; merges learned on the prepared corpus of all documents, encoding,
+decoding, token totals, training windows and the vocabulary study.
+
+The corpus, the learned tokenizer and the token table are stored stages
+(``sources.stages``): each query reads what an earlier one wrote.
 """
 
 from __future__ import annotations
@@ -14,35 +16,59 @@ from ..functions import text as T
 from ..functions.constants import COMPOUNDS, PIECE_PATTERN, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS
 from ..operators import encode as E
 from ..operators import study as ST
-from ..operators.bpe import BpeResult, train_bpe
+from ..operators.bpe import merges_from_df, train_bpe
 from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
 from ..operators.windows import context_window, conversation_texts, sample_windows
-from ..session import materialize
+from ..sources import sinks, stages
 from ..sources.tables import read_shards, read_table, spread
-from .corpus_oracle import CLEAN, labelled_cte
+from .corpus_oracle import CLEAN, split_cte
 from .corpus_plans import QUERY_BATCH_ROWS
 
 # Vocabulary sizes of the registered study: 32, 64, 128 and 256 merges on top
 # of the 257 base ids, learned once (smaller sizes are prefixes of the list).
 QUERY_VOCABS = [289, 321, 385, 513]
-TOKENIZER_LANGS = ["de"]
 WINDOW_BLOCK, WINDOW_BATCH, WINDOW_STEPS = 64, 8, 4
 CONTEXT_PIECES = 256
 
-_TRAINED: dict[tuple, tuple[DataFrame, BpeResult]] = {}
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared corpus of all documents, as stored."""
+    path = stages.stage_path(spark, "corpus", stages.fingerprint(spark, sf_dir, "documents"), QUERY_BATCH_ROWS)
+    return stages.stored(spark, path, lambda p: sinks.write_corpus(
+        build_corpus(read_shards(spark, sf_dir), batch_rows=QUERY_BATCH_ROWS)["corpus"], p))
+
+
+def learned(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int, int, int]]:
+    """The merge list learned on the prepared corpus, loaded from where it is stored."""
+    path = stages.stage_path(spark, "tokenizer", stages.fingerprint(spark, sf_dir, "documents"), QUERY_VOCABS[-1])
+
+    def write(_: str) -> None:
+        res = train_bpe(piece_counts(prepared(spark, sf_dir), "doc"), QUERY_VOCABS[-1])
+        sinks.write_tokenizer(res.merges, res.types, path)
+
+    if not stages.finished(spark, f"{path}/types"):
+        write(path)
+    return merges_from_df(sinks.read_tokenizer(spark, path)[0])
 
 
-def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, BpeResult]:
-    """Prepared German corpus and the merges learned on it (computed once per
-    application and directory; both live in the checkpoint folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        built = build_corpus(read_shards(spark, sf_dir, TOKENIZER_LANGS), batch_rows=QUERY_BATCH_ROWS)
-        corpus = materialize(built["corpus"])
-        res = train_bpe(piece_counts(corpus, "doc"), QUERY_VOCABS[-1], snapshots=QUERY_VOCABS[:-1])
-        _TRAINED[key] = (corpus, res)
-    return _TRAINED[key]
+def merges_for(merges: list, vocab: int) -> list:
+    """Merges of a smaller vocabulary: a prefix of the list."""
+    return merges[:max(0, vocab - 257)]
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str, vocab: int | None = None) -> DataFrame:
+    """The stored token table: ``vocab, split, doc_id, start_byte, n_bytes, n_chars, n_words, n_tokens, ids``."""
+    path = stages.stage_path(spark, "tokens", stages.fingerprint(spark, sf_dir, "documents"), QUERY_VOCABS)
+
+    def write(p: str) -> None:
+        corpus = prepared(spark, sf_dir).withColumn("n_doc_chars", F.length("doc").cast("bigint")).withColumn(
+            "n_words", T.whitespace_words("doc"))
+        cols = ["doc_id", "split", "start_byte", "n_bytes", "n_doc_chars", "n_words"]
+        sinks.write_tokens(E.encode_texts(corpus, "doc", cols, learned(spark, sf_dir), QUERY_VOCABS), p)
+
+    t = stages.stored(spark, path, write)
+    return t if vocab is None else t.where(F.col("vocab") == vocab)
 
 
 def _raw_clean(spark, sf_dir):
@@ -72,69 +98,23 @@ def q_context_window(spark, sf_dir):
 
 
 def q_bpe_merges(spark, sf_dir):
-    return trained(spark, sf_dir)[1].merges
-
-
-DOCS_MERGES = 256
-
-
-_TRAINED_DOCS: dict[tuple, tuple[DataFrame, BpeResult]] = {}
-
-
-def trained_docs(spark, sf_dir) -> tuple[DataFrame, BpeResult]:
-    """Cleaned German document texts and the merges learned on them (once per
-    application and directory)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED_DOCS:
-        d = spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "de")
-                   .select("doc_id", T.clean_text("text").alias("text")))
-        d = materialize(d)
-        _TRAINED_DOCS[key] = (d, train_bpe(piece_counts(d, "text"), 257 + DOCS_MERGES))
-    return _TRAINED_DOCS[key]
-
-
-def q_bpe_merges_docs(spark, sf_dir):
-    """Merges learned on the cleaned German document texts (no headings, so no
-    whitespace runs: the DuckDB pieces are exact and the merge list has an SQL
-    oracle, a recursive CTE making one merge per step)."""
-    return trained_docs(spark, sf_dir)[1].merges
-
-
-def q_encode_doc_texts(spark, sf_dir):
-    """Each cleaned German document encoded with the merges learned on them:
-    token count and md5 of the id sequence (ids written ``|id|``)."""
-    d, res = trained_docs(spark, sf_dir)
-    tok = E.encode_texts(d, "text", ["doc_id"], res.merge_list, known_types=res.types)
-    ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
-    return tok.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
-                      F.md5(ids).alias("tokens_md5"))
-
-
-_TOKENS: dict[tuple, DataFrame] = {}
-
-
-def doc_tokens(spark, sf_dir, vocab: int) -> DataFrame:
-    """Token table of the prepared corpus for one vocabulary size, written once
-    to the checkpoint folder and shared by the queries that read it."""
-    key = (spark.sparkContext.applicationId, sf_dir, vocab)
-    if key not in _TOKENS:
-        corpus, res = trained(spark, sf_dir)
-        tok = E.encode_texts(corpus, "doc", ["doc_id"], res.merges_for(vocab),
-                             known_types=res.snapshots[vocab])
-        _TOKENS[key] = materialize(E.token_table(corpus, tok).withColumn("vocab", F.lit(vocab)))
-    return _TOKENS[key]
+    return spark.createDataFrame(learned(spark, sf_dir), "rank int, left int, right int, new_id int, pair_count long")
 
 
 def q_encode_docs(spark, sf_dir):
+    """Every document of the corpus by the largest vocabulary: where its tokens
+    start in the stream, how many, and the md5 of their ids (written ``|id|``)."""
     t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
-    return t.select("doc_id", "split", "start_byte", "start_pos", "n_tokens")
+    ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
+    return t.join(E.token_positions(t), ["vocab", "doc_id"]).select(
+        "doc_id", "split", "start_byte", "start_pos", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+        F.md5(ids).alias("tokens_md5"))
 
 
 def q_decode_roundtrip(spark, sf_dir):
-    corpus, res = trained(spark, sf_dir)
-    t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1]).join(corpus.select("doc_id", "doc"), "doc_id")
-    dec = E.decode_udf(spark, res.merge_list)
-    return t.select("doc_id", (dec("ids") == T.with_prefix_space("doc")).alias("roundtrip_ok"))
+    """md5 and length of every document's text as decoded from its ids."""
+    t = E.decoded(doc_tokens(spark, sf_dir, QUERY_VOCABS[-1]), learned(spark, sf_dir), "text")
+    return t.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def _union(xs):
@@ -145,8 +125,7 @@ def _union(xs):
 
 
 def q_token_totals(spark, sf_dir):
-    return _union([E.token_totals(doc_tokens(spark, sf_dir, v)).withColumn("vocab", F.lit(v))
-                   for v in QUERY_VOCABS])
+    return E.token_totals(doc_tokens(spark, sf_dir))
 
 
 def _items(spark, texts: list[str]) -> DataFrame:
@@ -155,80 +134,71 @@ def _items(spark, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), schema)
 
 
-def encode_items(spark, sf_dir, items: DataFrame, vocab: int) -> DataFrame:
-    """``item_id, text, ids, n_tokens, vocab`` for a probe table."""
-    _, res = trained(spark, sf_dir)
-    tok = E.encode_texts(items, "text", ["item_id"], res.merges_for(vocab),
-                         known_types=res.snapshots[vocab])
-    return tok.join(items.select("item_id", "text"), "item_id").withColumn("vocab", F.lit(vocab))
+def encode_items(spark, sf_dir, items: DataFrame) -> DataFrame:
+    """``item_id, text, vocab, ids, n_tokens`` for a probe table, by every vocabulary."""
+    return E.encode_texts(items, "text", ["item_id", "text"], learned(spark, sf_dir), QUERY_VOCABS)
 
 
 def q_probe_splits(spark, sf_dir):
-    """Benchmark items as probe words: pieces per item and the decoded pieces."""
-    _, res = trained(spark, sf_dir)
+    """Benchmark items as probe words: tokens per item and the decoded pieces."""
     items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
-    outs = []
-    for v in QUERY_VOCABS:
-        dec = E.decode_pieces_udf(spark, res.merges_for(v))
-        t = encode_items(spark, sf_dir, items, v)
-        outs.append(t.select("vocab", "item_id", "n_tokens", dec("ids").alias("pieces")))
-    return _union(outs)
+    t = E.decoded(encode_items(spark, sf_dir, items), learned(spark, sf_dir), "pieces", sep=" · ")
+    return t.select("vocab", "item_id", "n_tokens", "pieces")
 
 
 def q_context_words(spark, sf_dir):
-    corpus, _ = trained(spark, sf_dir)
-    t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1]).join(corpus.select("doc_id", "doc"), "doc_id")
-    w = ST.words_per_context(t, "doc")
-    return w.select("doc_id", "n_tokens", F.round("words_per_256", 6).alias("words_per_256"))
+    t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
+    w = F.lit(float(ST.CONTEXT_TOKENS)) * F.col("n_words") / F.greatest(F.col("n_tokens"), F.lit(1))
+    return t.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.round(w, 6).alias("words_per_256"))
 
 
-def q_train_windows(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1]).where(F.col("split") == "train")
-    w = sample_windows(t, WINDOW_STEPS, WINDOW_BATCH, WINDOW_BLOCK)
+def _windows(spark, sf_dir, split):
+    t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
+    t = t.join(E.token_positions(t), ["vocab", "doc_id"]).where(F.col("split") == split)
+    w = sample_windows(t.select("start_pos", "n_tokens", "ids"), WINDOW_STEPS, WINDOW_BATCH, WINDOW_BLOCK)
     return w.select("step", "slot", "start_pos", F.size("x").alias("n_x"),
                     F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
+def q_train_windows(spark, sf_dir):
+    return _windows(spark, sf_dir, "train")
+
+
+def q_val_windows(spark, sf_dir):
+    return _windows(spark, sf_dir, "val")
+
+
 def study_parts(spark, sf_dir) -> dict[str, DataFrame]:
-    """Per-vocabulary tables the study row is assembled from. The token tables
-    of all vocabularies are one union keyed by ``vocab``, so each measure is
-    one grouped job, not one job per vocabulary."""
-    corpus, res = trained(spark, sf_dir)
+    """Per-vocabulary tables the study row is assembled from; each measure is one
+    grouped job over the stored token table."""
     vocabs = spark.createDataFrame([(v, STUDY_ARCH) for v in QUERY_VOCABS], "vocab INT, arch STRING")
     grid = ST.with_model_params(ST.study_grid(ST.configs_table(spark), vocabs, steps=STUDY_STEPS))
     compounds, sentence = _items(spark, COMPOUNDS), _items(spark, [SAMPLE_SENTENCE])
-    docs = corpus.select("doc_id", "doc", "n_bytes")
-    t = _union([doc_tokens(spark, sf_dir, v) for v in QUERY_VOCABS]).join(docs, "doc_id")
+    t = doc_tokens(spark, sf_dir)
     sizes = t.groupBy("vocab").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("corpus_bytes"),
-        F.sum(F.length("doc")).cast("bigint").alias("corpus_chars"))
-    fert = ST.fertility(t).select("vocab", "fertility")
-    probes = ST.probe_stats(_union([encode_items(spark, sf_dir, compounds, v) for v in QUERY_VOCABS]))
-    sent = ST.words_per_context(
-        _union([encode_items(spark, sf_dir, sentence, v) for v in QUERY_VOCABS]), "text")
-    pos = ST.positions(t, ["vocab", "doc_id", "split"])
-    ng = ST.ngram_loss(pos.where(F.col("split") == "train"), pos.where(F.col("split") == "val"))
+        F.sum("n_doc_chars").cast("bigint").alias("corpus_chars"))
+    probes = ST.probe_stats(encode_items(spark, sf_dir, compounds))
+    sent = ST.words_per_context(encode_items(spark, sf_dir, sentence), "text")
+    ng = ST.ngram_loss(t.select("vocab", "split", "ids"))
     return {"params": grid.select("vocab", "params", "embed_params", "embed_share"),
-            "fertility": fert, "probes": probes, "sentence": sent.select("vocab", "words_per_256"),
-            "sizes": sizes,
-            "loss": ng.select("vocab", F.col("bigram_loss").alias("val_loss"), "unigram_loss")}
+            "fertility": ST.fertility(t).select("vocab", "fertility"), "probes": probes,
+            "sentence": sent.select("vocab", "words_per_256"), "sizes": sizes,
+            "loss": ng.select("vocab", F.col("bigram_loss").alias("val_loss"), "unigram_loss", "n_val")}
+
+
+def q_fertility(spark, sf_dir):
+    f = ST.fertility(doc_tokens(spark, sf_dir))
+    return f.select("vocab", F.round("fertility", 9).alias("fertility"), "sample_docs")
 
 
 def q_vocab_stats(spark, sf_dir):
-    """Tokenizer statistics per vocabulary, with the nine compounds' splits as a
-    JSON map (the shape of the reference's stats file)."""
+    """Tokenizer statistics per vocabulary, with the nine compounds' splits as a JSON map."""
     parts = study_parts(spark, sf_dir)
-    _, res = trained(spark, sf_dir)
-    compounds = _items(spark, COMPOUNDS)
-    splits = []
-    for v in QUERY_VOCABS:
-        dec = E.decode_pieces_udf(spark, res.merges_for(v))
-        t = encode_items(spark, sf_dir, compounds, v)
-        t = t.select("vocab", "item_id", "text", F.split(dec("ids"), " · ").alias("pieces"))
-        splits.append(t.groupBy("vocab").agg(F.to_json(F.map_from_entries(F.sort_array(
-            F.collect_list(F.struct("text", "pieces"))))).alias("compound_splits")))
-    st = (parts["fertility"].join(parts["probes"], "vocab").join(parts["sentence"], "vocab")
-          .join(_union(splits), "vocab"))
+    t = E.decoded(encode_items(spark, sf_dir, _items(spark, COMPOUNDS)), learned(spark, sf_dir), "_d", sep=" · ")
+    splits = t.select("vocab", "text", F.split("_d", " · ").alias("pieces")).groupBy("vocab").agg(
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("text", "pieces"))))).alias("compound_splits"))
+    st = (parts["fertility"].join(parts["probes"], "vocab").join(parts["sentence"], "vocab").join(splits, "vocab"))
     return st.select(F.col("vocab").alias("vocab_size"), F.round("fertility", 3).alias("fertility"),
                      F.round("tokens_per_compound", 2).alias("tokens_per_compound"),
                      F.round("words_per_256", 1).alias("german_words_per_256_tokens"),
@@ -251,7 +221,9 @@ def q_run_budget(spark, sf_dir):
 
 
 def q_vocab_study(spark, sf_dir):
-    return ST.study_table(study_parts(spark, sf_dir))
+    s = ST.study_table(study_parts(spark, sf_dir))
+    exact = {"vocab", "params", "embed_params"}
+    return s.select(*[F.col(c) if c in exact else F.round(c, 9).alias(c) for c in s.columns])
 
 
 def q_study_winners(spark, sf_dir):
@@ -259,7 +231,15 @@ def q_study_winners(spark, sf_dir):
 
 
 def q_ngram_loss(spark, sf_dir):
-    return study_parts(spark, sf_dir)["loss"]
+    n = study_parts(spark, sf_dir)["loss"]
+    return n.select("vocab", F.round("val_loss", 9).alias("val_loss"), F.round("unigram_loss", 9).alias("unigram_loss"), "n_val")
+
+
+def q_heldout_loss(spark, sf_dir):
+    """Mean cross entropy of the score vectors by their target."""
+    e = ST.heldout_loss(read_table(spark, sf_dir, "embeddings"), "embedding", "label")
+    return e.groupBy(F.col("label").alias("target")).agg(
+        F.count("nll").alias("n"), F.round(F.avg("nll"), 5).alias("mean_loss"))
 
 
 QUERIES = {
@@ -268,14 +248,15 @@ QUERIES = {
     "pair_counts": q_pair_counts,
     "context_window": q_context_window,
     "bpe_merges": q_bpe_merges,
-    "bpe_merges_docs": q_bpe_merges_docs,
-    "encode_doc_texts": q_encode_doc_texts,
     "encode_docs": q_encode_docs,
     "decode_roundtrip": q_decode_roundtrip,
     "token_totals": q_token_totals,
     "probe_splits": q_probe_splits,
     "context_words": q_context_words,
     "train_windows": q_train_windows,
+    "val_windows": q_val_windows,
+    "fertility": q_fertility,
+    "heldout_loss": q_heldout_loss,
     "vocab_stats": q_vocab_stats,
     "vocab_study": q_vocab_study,
     "run_budget": q_run_budget,
@@ -300,14 +281,24 @@ bl AS (
            lambda i: CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER)) AS b
   FROM pc)"""
 
-BPE_DOCS_CTE = f"""
+# In the formatted corpus whitespace runs do occur: an unused character between the last two
+# characters of a run that a non-blank follows lets plain ``\\s+`` cut like the look-ahead.
+RUN_PATTERN = PIECE_PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s+").replace("'", "''")
+
+
+def pieces_sql(text: str) -> str:
+    spaced = f"(CASE WHEN left({text}, 1) = ' ' THEN {text} ELSE ' ' || {text} END)"
+    return (f"flatten(list_transform(string_split(regexp_replace({spaced}, '(\\s)(\\s[^\\s])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), "
+            f"lambda x: regexp_extract_all(x, '{RUN_PATTERN}')))")
+
+
+N_MERGES = QUERY_VOCABS[-1] - 257
+
+BPE_CTE = f"""
 WITH RECURSIVE
-d AS (SELECT {CLEAN} AS text FROM documents WHERE lang = 'de'),
-pc AS (
-  SELECT piece, count(*) AS cnt FROM (
-    SELECT unnest(regexp_extract_all(CASE WHEN left(text, 1) = ' ' THEN text ELSE ' ' || text END,
-                                     '{DUCK_PATTERN}')) AS piece FROM d)
-  GROUP BY piece),
+{split_cte(None, dirtied=False)},
+dp AS (SELECT doc_id, split, start_byte, n_bytes, doc, {pieces_sql('doc')} AS ps FROM sp),
+pc AS (SELECT piece, count(*) AS cnt FROM (SELECT unnest(ps) AS piece FROM dp) GROUP BY piece),
 t0 AS (
   SELECT list(struct_pack(p := piece, y := '|' || array_to_string(list_transform(range(strlen(piece)),
            lambda i: CAST(CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER) + 1 AS VARCHAR)),
@@ -329,30 +320,45 @@ st(it, ys, l, r, c) AS (
             FROM (SELECT unnest(st.ys) AS e)))
     GROUP BY pp.l, pp.r HAVING sum(pp.c) >= 2
     ORDER BY c DESC, l, r LIMIT 1) b
-  WHERE st.it < {DOCS_MERGES})"""
+  WHERE st.it < {N_MERGES})"""
 
-BPE_DOCS_SQL = BPE_DOCS_CTE + """
+BPE_SQL = BPE_CTE + """
 SELECT CAST(it - 1 AS INTEGER) AS rank, l AS left, r AS right, CAST(256 + it AS INTEGER) AS new_id,
        CAST(c AS BIGINT) AS pair_count
 FROM st WHERE it > 0"""
 
-ENCODE_DOCS_SQL = BPE_DOCS_CTE + f""",
-fin AS (SELECT unnest(ys) AS e FROM st WHERE it = (SELECT max(it) FROM st)),
-seg AS (SELECT e.p AS piece, e.y AS y FROM fin),
-dp AS (
-  SELECT doc_id, regexp_extract_all(CASE WHEN left(text, 1) = ' ' THEN text ELSE ' ' || text END,
-                                    '{DUCK_PATTERN}') AS ps
-  FROM (SELECT doc_id, {CLEAN} AS text FROM documents WHERE lang = 'de')),
-occ AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM dp)
-SELECT doc_id, CAST(sum(len(string_split(substr(y, 2, length(y) - 2), '||'))) AS BIGINT) AS n_tokens,
-       md5(string_agg(y, '' ORDER BY pos)) AS tokens_md5
-FROM occ JOIN seg USING (piece) GROUP BY doc_id"""
+SEG_CTE = BPE_CTE + f""",
+seg AS (SELECT vocab, e.p AS piece, e.y AS y, len(string_split(substr(e.y, 2, length(e.y) - 2), '||')) AS k
+        FROM (SELECT 257 + it AS vocab, unnest(ys) AS e FROM st WHERE it IN ({', '.join(str(v - 257) for v in QUERY_VOCABS)}))),
+occ AS (SELECT doc_id, split, start_byte, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM dp)"""
 
 ORACLE = {
     "piece_counts": f"WITH {PIECES_CTE} SELECT piece, cnt FROM pc",
 
-    "bpe_merges_docs": BPE_DOCS_SQL,
-    "encode_doc_texts": ENCODE_DOCS_SQL,
+    "bpe_merges": BPE_SQL,
+    "encode_docs": SEG_CTE + f"""
+, tk AS (SELECT doc_id, any_value(split) AS split, any_value(start_byte) AS start_byte, CAST(sum(k) AS BIGINT) AS n_tokens,
+                md5(string_agg(y, '' ORDER BY pos)) AS tokens_md5
+         FROM occ JOIN seg USING (piece) WHERE vocab = {QUERY_VOCABS[-1]} GROUP BY doc_id)
+SELECT doc_id, split, start_byte, CAST(coalesce(sum(n_tokens) OVER (ORDER BY start_byte
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos, n_tokens, tokens_md5
+FROM tk""",
+    "token_totals": SEG_CTE + """
+SELECT split, CAST(vocab AS INTEGER) AS vocab, CAST(sum(k) AS BIGINT) AS n_tokens
+FROM occ JOIN seg USING (piece) GROUP BY GROUPING SETS ((split, vocab), (vocab))""",
+    "fertility": SEG_CTE + r"""
+, wd AS (SELECT sum(len(regexp_extract_all(doc, '[^\s]+'))) AS n_words, count(*) AS n FROM dp)
+SELECT CAST(vocab AS INTEGER) AS vocab, round(sum(k) / any_value(wd.n_words), 9) AS fertility, any_value(wd.n) AS sample_docs
+FROM occ JOIN seg USING (piece), wd GROUP BY vocab""",
+    "context_words": SEG_CTE + rf"""
+, tk AS (SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_tokens
+         FROM occ JOIN seg USING (piece) WHERE vocab = {QUERY_VOCABS[-1]} GROUP BY doc_id)
+SELECT doc_id, n_tokens, round(256.0::DOUBLE * len(regexp_extract_all(doc, '[^\s]+')) / n_tokens, 6) AS words_per_256
+FROM tk JOIN dp USING (doc_id)""",
+    "heldout_loss": """
+SELECT label AS target, count(*) AS n, round(avg(m + ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - m)))) - embedding[label + 1]), 5)
+         AS mean_loss
+FROM (SELECT label, embedding, list_max(embedding)::DOUBLE AS m FROM embeddings) GROUP BY label""",
 
     "byte_histogram": f"""
 WITH {PIECES_CTE}
@@ -377,6 +383,6 @@ SELECT conv_id, len(ps) AS n_pieces, least(len(ps), {CONTEXT_PIECES}) AS n_conte
 FROM p""",
 
     "decode_roundtrip": f"""
-WITH {labelled_cte(dirtied=False)}
-SELECT doc_id, TRUE AS roundtrip_ok FROM fb WHERE label = 'kept' AND lang = 'de'""",
+WITH {split_cte(None, dirtied=False)}
+SELECT doc_id, length(' ' || doc) AS n_chars, md5(' ' || doc) AS text_md5 FROM sp""",
 }

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "tokloom",
@@ -46,8 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value is
-    always used. Only when nothing is configured (local tests) is a fresh
-    scratch folder created.
+    always used. Where nothing is configured a scratch folder serves a local
+    master; on any other master executors could not see it, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tokloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -76,25 +77,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows (reads at most limit+1)."""
-    return df.limit(limit + 1).count() <= limit
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a side that is usually small.
 
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Join a side that is usually small, broadcasting it only on a checked size.
-
-    With adaptive execution on, the check is Spark's own: the join is planned
-    as a shuffle join and switched to a broadcast at runtime when the measured
-    size of ``small`` is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-    (no extra job). Without it, the rows are counted first (at most
-    ``max_broadcast_rows + 1`` read). Beyond the bound it stays a shuffle join,
-    so correctness never depends on the side being small.
+    It is planned as a shuffle join; adaptive execution turns it into a broadcast
+    when the bytes measured at run time are under its threshold, and splits
+    skewed keys otherwise. Nothing depends on the side being small.
     """
-    spark = big.sparkSession
-    if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
-        return big.join(small, on=on, how=how)
-    if rows_at_most(small, max_broadcast_rows):
-        small = F.broadcast(small)
     return big.join(small, on=on, how=how)

@@ -4,12 +4,15 @@ token tables, run history, tokenizer statistics and the study.
 Each stage writes Parquet (JSON where the reference's consumers read JSON)
 partitioned by the columns later stages filter on, through Spark's file
 committer, which gives the all-or-nothing publish the reference gets from a
-temporary name and a rename. ``mode='ignore'`` reuses a finished stage.
+temporary name and a rename. A write replaces what it writes; a finished stage
+is reused by reading it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -18,6 +21,8 @@ HISTORY_SCHEMA = Ty.StructType([
     Ty.StructField("train", Ty.DoubleType()),
     Ty.StructField("val", Ty.DoubleType()),
     Ty.StructField("elapsed", Ty.DoubleType()),
+    Ty.StructField("appended", Ty.LongType()),
+    Ty.StructField("place", Ty.LongType()),
 ])
 
 STATS_SCHEMA = Ty.StructType([
@@ -29,40 +34,70 @@ STATS_SCHEMA = Ty.StructType([
 ])
 
 
-def write_corpus(corpus: DataFrame, path: str, mode: str = "ignore") -> None:
-    """Corpus rows partitioned by split; order is kept as ``start_byte``."""
+def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Corpus rows partitioned by split; order is kept as ``start_byte``. Returns what was stored."""
     corpus.write.mode(mode).partitionBy("split").parquet(path)
+    return corpus.sparkSession.read.parquet(path)
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Token tables partitioned by vocabulary and split (ids as ``array<int>``).
+
+    Replaces the vocabularies and splits that ``tokens`` holds and no others.
+    """
+    (tokens.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("vocab", "split").parquet(path))
 
 
-def write_tokens(tokens: DataFrame, path: str, mode: str = "ignore") -> None:
-    """Token tables partitioned by vocabulary and split (ids as ``array<int>``)."""
-    tokens.write.mode(mode).partitionBy("vocab", "split").parquet(path)
+def read_tokens(spark: SparkSession, path: str, vocab: int, split: str | None = None) -> DataFrame:
+    """One vocabulary (and split); the filters prune partitions."""
+    t = spark.read.parquet(path).where(F.col("vocab") == vocab)
+    return t if split is None else t.where(F.col("split") == split)
 
 
-def read_tokens(spark: SparkSession, path: str, vocab: int, split: str) -> DataFrame:
-    """One vocabulary's split; both filters prune partitions."""
-    return spark.read.parquet(path).where((F.col("vocab") == vocab) & (F.col("split") == split))
+def write_tokenizer(merges: DataFrame, types: DataFrame, path: str) -> None:
+    """A learned tokenizer: its merge list and the segmentation of the pieces it was learned on."""
+    merges.write.mode("overwrite").parquet(f"{path}/merges")
+    types.write.mode("overwrite").parquet(f"{path}/types")
 
 
-def write_merges(merges: DataFrame, vocab: DataFrame, path: str, mode: str = "ignore") -> None:
-    """Merge list and vocabulary tables of a learned tokenizer."""
-    merges.write.mode(mode).parquet(f"{path}/merges")
-    vocab.write.mode(mode).parquet(f"{path}/vocab")
+def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``merges, types`` as stored by :func:`write_tokenizer`."""
+    return spark.read.parquet(f"{path}/merges"), spark.read.parquet(f"{path}/types")
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Append evaluation rows (``step, train, val, elapsed``) as JSON lines."""
-    rows.select(*[f.name for f in HISTORY_SCHEMA]).write.mode("append").json(path)
+def append_history(rows: DataFrame, path: str, order_col: str = "step") -> None:
+    """Append evaluation rows (``step, train, val, elapsed``) as JSON lines, with the
+    time of the append and each row's place in it: file names do not keep an order."""
+    cols = [f.name for f in HISTORY_SCHEMA][:4]
+    (rows.select(*cols, F.lit(time.time_ns()).alias("appended"))
+     .orderBy(order_col).withColumn("place", F.monotonically_increasing_id()).write.mode("append").json(path))
 
 
 def read_history(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """Run history with a fixed schema; ``seq`` follows the read order of the
-    appended files, so replayed steps after a resume can be told apart."""
+    """Run history with a fixed schema, in append order by ``(appended, place)``."""
     h = spark.read.schema(HISTORY_SCHEMA).json(path)
-    h = h.withColumn("seq", F.monotonically_increasing_id())
-    if run_id is not None:
-        h = h.withColumn("run_id", F.lit(run_id))
-    return h
+    return h if run_id is None else h.withColumn("run_id", F.lit(run_id))
+
+
+def resumed_history(history: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """History of runs that were resumed: of a step logged more than once the last
+    append counts, and ``elapsed``, which starts anew in each session, continues.
+
+    A session is one append whose ``elapsed`` starts below the end of the one before it.
+    """
+    keys = list(keys)
+    last = history.groupBy(*keys, "step").agg(
+        F.max_by(F.struct("train", "val", "elapsed", "appended", "place"), F.struct("appended", "place")).alias("r"))
+    rows = last.select(*keys, "step", "r.*")
+    # One row per append: sessions follow each other by the time of their append.
+    ends = rows.groupBy(*keys, "appended").agg(F.min("elapsed").alias("_lo"), F.max("elapsed").alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("appended")
+    ends = ends.withColumn("_prev", F.lag("_hi").over(w)).withColumn(
+        "_restart", F.when(F.col("_lo") < F.col("_prev"), F.col("_prev")).otherwise(F.lit(0.0)))
+    ends = ends.withColumn("_shift", F.sum("_restart").over(w))
+    return (rows.join(ends.select(*keys, "appended", "_shift"), [*keys, "appended"])
+            .withColumn("elapsed", F.col("elapsed") + F.col("_shift")).drop("_shift"))
 
 
 def write_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:

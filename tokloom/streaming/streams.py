@@ -1,12 +1,12 @@
-"""Structured Streaming forms of the run-log summary, the corpus filter and
-the event-rate windows.
-
-Sources are file streams (new Parquet files in a folder); sinks are Parquet
-files in the shared checkpoint folder, written per micro-batch by
-``foreachBatch`` (overwrite of the complete aggregate, or append of new rows),
-with the stream's own checkpoint next to them, so a restarted query resumes
-where it stopped. ``run_available`` drains what is there (``availableNow``)
-and returns the sink as a batch DataFrame.
+"""Structured Streaming forms of the run-log summary, the corpus filter, the
+event-rate windows and the sessions.
+
+Sources are file streams (new Parquet files in a folder). Each micro-batch is
+written by ``foreachBatch`` to a folder of its own number, replacing it: a batch
+that is played again after a lost commit writes the same folder, so nothing is
+doubled and nothing is ever half replaced. The stream's checkpoint lies next to
+the sink; passing the same ``out`` and ``chk`` resumes. ``run_available`` drains
+what is there (``availableNow``) and returns the sink as a batch DataFrame.
 """
 
 from __future__ import annotations
@@ -28,41 +28,45 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "streams", run, "out"), os.path.join(base, "streams", run, "chk")
 
 
-def run_available(stream: DataFrame, name: str, mode: str,
+def run_available(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None,
                   out: str | None = None, chk: str | None = None) -> DataFrame:
     """Process every file present now and return the sink's content.
 
-    ``mode='complete'``: each micro-batch holds the whole aggregate and
-    replaces the sink; ``'append'``: new rows are appended. Passing the same
-    ``out`` and ``chk`` again resumes: only files not yet seen are read.
+    ``mode='append'``: every batch holds new rows. ``'update'``: every batch holds
+    the rows of the ``keys`` that changed; the last one of each key counts. State
+    that the watermark has passed is dropped in both.
     """
     spark = stream.sparkSession
     if out is None or chk is None:
         out, chk = _paths(spark, name)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        w = batch.write.mode("overwrite" if mode == "complete" else "append")
-        w.parquet(out)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", chk).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(stream.schema.add("epoch", "long")).option("basePath", out).parquet(out)
+    if mode == "append":
+        return rows.drop("epoch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
-    ev = spark.readStream.schema(schema).parquet(os.path.join(sf_dir, "events*.parquet"))
+def event_stream(spark: SparkSession, sf_dir: str, pattern: str = "events*.parquet") -> DataFrame:
+    schema = spark.read.parquet(os.path.join(sf_dir, pattern)).schema
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(sf_dir, pattern))
     # Event time must be a session-zone TIMESTAMP for watermarks; the table
     # stores wall-clock TIMESTAMP_NTZ, read in the session zone.
     return ev.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_run_summary(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> DataFrame:
+def stream_run_summary(spark: SparkSession, sf_dir: str, watermark: str = "1 day", out: str | None = None,
+                       chk: str | None = None, pattern: str = "events*.parquet") -> DataFrame:
     """Per run (``user_id``): rows, best (lowest) and last-seen values, first and
     last time. Replayed rows (same ``event_id``) are dropped within the
     watermark."""
-    ev = (event_stream(spark, sf_dir).withWatermark("ts", watermark)
+    ev = (event_stream(spark, sf_dir, pattern).withWatermark("ts", watermark)
           .dropDuplicatesWithinWatermark(["event_id"]))
     agg = ev.groupBy(F.col("user_id").alias("run_id")).agg(
         F.count(F.lit(1)).alias("n_evals"),
@@ -70,7 +74,7 @@ def stream_run_summary(spark: SparkSession, sf_dir: str, watermark: str = "1 day
         F.max("value").alias("worst_val"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"))
-    return run_available(agg, "run_summary", "complete")
+    return run_available(agg, "run_summary", "update", ["run_id"], out, chk)
 
 
 def stream_corpus_filter(spark: SparkSession, sf_dir: str, out: str | None = None,
@@ -84,15 +88,26 @@ def stream_corpus_filter(spark: SparkSession, sf_dir: str, out: str | None = Non
                          "text", "lang")
     lab = C.label_documents(shards).where(F.col("label") != "empty")
     return run_available(lab.select("doc_id", "lang", "n_chars", "label"), "corpus_filter", "append",
-                         out, chk)
+                         None, out, chk)
 
 
 def stream_event_rates(spark: SparkSession, sf_dir: str, size: str = "1 hour",
-                       slide: str | None = None, watermark: str = "2 hours") -> DataFrame:
-    """Events per event-time window and type (tumbling, or sliding with
-    ``slide``), with a watermark for late rows."""
-    ev = event_stream(spark, sf_dir).withWatermark("ts", watermark)
+                       slide: str | None = None, watermark: str = "2 hours", out: str | None = None,
+                       chk: str | None = None, pattern: str = "events*.parquet") -> DataFrame:
+    """Events per event-time window and type (tumbling, or sliding with ``slide``);
+    rows later than the watermark are not counted."""
+    ev = event_stream(spark, sf_dir, pattern).withWatermark("ts", watermark)
     win = F.window("ts", size, slide) if slide else F.window("ts", size)
     agg = ev.groupBy(win.alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
-    return run_available(agg, "event_rates", "complete")
+    return run_available(agg, "event_rates", "update", ["w", "event_type"], out, chk)
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str, gap: str = "6 hours", watermark: str = "1 day",
+                    out: str | None = None, chk: str | None = None, pattern: str = "events*.parquet") -> DataFrame:
+    """Sessions per user: events no further apart than ``gap``. A session is
+    given once, when the watermark has passed its end."""
+    ev = event_stream(spark, sf_dir, pattern).withWatermark("ts", watermark)
+    agg = ev.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
+    return run_available(agg, "sessions", "append", None, out, chk)
