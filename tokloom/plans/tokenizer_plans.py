@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import text as T
-from ..functions.constants import COMPOUNDS, PIECE_PATTERN, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS
+from ..functions.constants import COMPOUNDS, CONFIGS, PIECE_PATTERN, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS, TRAIN_SEED
 from ..operators import encode as E
 from ..operators import study as ST
 from ..operators.bpe import merges_from_df, train_bpe
@@ -332,6 +332,72 @@ seg AS (SELECT vocab, e.p AS piece, e.y AS y, len(string_split(substr(e.y, 2, le
         FROM (SELECT 257 + it AS vocab, unnest(ys) AS e FROM st WHERE it IN ({', '.join(str(v - 257) for v in QUERY_VOCABS)}))),
 occ AS (SELECT doc_id, split, start_byte, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM dp)"""
 
+# Ids of every document in order, by each vocabulary, and neighbours within a document.
+IDS_CTE = SEG_CTE + """,
+ids AS (SELECT vocab, doc_id, split, start_byte, pos, i, CAST(string_split(substr(y, 2, length(y) - 2), '||')[i] AS INTEGER) AS id
+        FROM (SELECT seg.vocab, occ.doc_id, occ.split, occ.start_byte, occ.pos, seg.y, unnest(range(1, seg.k + 1)) AS i
+              FROM occ JOIN seg USING (piece))),
+nx AS (SELECT *, lead(id) OVER (PARTITION BY vocab, doc_id ORDER BY pos, i) AS nxt FROM ids),
+uni AS (SELECT vocab, split, id, count(*) AS c FROM ids GROUP BY ALL),
+bi AS (SELECT vocab, split, id AS prv, nxt, count(*) AS c FROM nx WHERE nxt IS NOT NULL GROUP BY ALL),
+nt AS (SELECT vocab, sum(c) AS n FROM uni WHERE split = 'train' GROUP BY vocab),
+ul AS (SELECT v.vocab, sum(v.c * -ln((coalesce(t.c, 0) + 1) / (nt.n + v.vocab))) / sum(v.c) AS unigram_loss, sum(v.c) AS n_val
+       FROM uni v JOIN nt ON nt.vocab = v.vocab LEFT JOIN uni t ON t.vocab = v.vocab AND t.id = v.id AND t.split = 'train'
+       WHERE v.split = 'val' GROUP BY v.vocab),
+cx AS (SELECT vocab, prv, sum(c) AS c FROM bi WHERE split = 'train' GROUP BY ALL),
+bl2 AS (SELECT v.vocab, sum(v.c * -ln((coalesce(t.c, 0) + 1) / (coalesce(cx.c, 0) + v.vocab))) / sum(v.c) AS bigram_loss
+       FROM bi v LEFT JOIN bi t ON t.vocab = v.vocab AND t.prv = v.prv AND t.nxt = v.nxt AND t.split = 'train'
+       LEFT JOIN cx ON cx.vocab = v.vocab AND cx.prv = v.prv WHERE v.split = 'val' GROUP BY v.vocab)"""
+
+
+def _probe_cte(name: str, texts: list[str]) -> str:
+    """Tokens of some texts by each vocabulary: the merges applied in rank order."""
+    values = ", ".join("('" + t.replace("'", "''") + "')" for t in texts)
+    return f""",
+{name}_p AS (SELECT t, unnest({pieces_sql('t')}) AS piece FROM (VALUES {values}) x(t)),
+{name} AS (
+  SELECT v.vocab, t, sum(len(string_split(list_reduce(list_prepend(
+           '|' || array_to_string(list_transform(range(strlen(piece)),
+             lambda i: CAST(CAST(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2)) AS INTEGER) + 1 AS VARCHAR)), '||') || '|',
+           (SELECT list('|' || l || '||' || r || '|>|' || (256 + it) || '|' ORDER BY it) FROM st WHERE it BETWEEN 1 AND v.vocab - 257)),
+           lambda y, m: replace(y, string_split(m, '>')[1], string_split(m, '>')[2])), '||'))) AS n
+  FROM {name}_p, (SELECT DISTINCT vocab FROM seg) v GROUP BY v.vocab, t)"""
+
+
+STUDY_CTE = IDS_CTE + _probe_cte("cm", COMPOUNDS) + _probe_cte("sn", [SAMPLE_SENTENCE]) + rf""",
+wd AS (SELECT sum(len(regexp_extract_all(doc, '[^\s]+'))) AS n_words, sum(n_bytes) AS n_bytes, sum(length(doc)) AS n_chars FROM dp),
+tt AS (SELECT vocab, count(*) AS n FROM ids GROUP BY vocab),
+-- 5 layers of width 256: 4,016,896 parameters beside the embedding, which is tied
+study AS (
+  SELECT CAST(tt.vocab AS INTEGER) AS vocab, 4016896 + 256 * tt.vocab AS params, 256 * tt.vocab AS embed_params,
+         round(256 * tt.vocab / (4016896 + 256 * tt.vocab), 9) AS embed_share, round(tt.n / wd.n_words, 9) AS fertility,
+         round(c.m, 9) AS tokens_per_compound,
+         round(256.0::DOUBLE * {len(SAMPLE_SENTENCE.split())} / s.n, 9) AS words_per_256,
+         round(wd.n_bytes / tt.n, 9) AS bytes_per_token, round(wd.n_chars / tt.n, 9) AS chars_per_token,
+         round(bl2.bigram_loss, 9) AS val_loss, round(bl2.bigram_loss / ln(2) / (wd.n_bytes / tt.n), 9) AS bits_per_byte,
+         round(bl2.bigram_loss / ln(2) / (wd.n_chars / tt.n), 9) AS bits_per_char, round(ln(tt.vocab), 9) AS uniform_loss
+  FROM tt, wd, bl2, (SELECT vocab, avg(n) AS m FROM cm GROUP BY vocab) c, sn s
+  WHERE bl2.vocab = tt.vocab AND c.vocab = tt.vocab AND s.vocab = tt.vocab)"""
+
+
+def windows_sql(split: str) -> str:
+    """The stream of one split as a list of ids; starts from the md5 uniforms."""
+    return IDS_CTE + f""",
+sl AS (SELECT list(id ORDER BY start_byte, pos, i) AS a, count(*) AS n FROM ids WHERE vocab = {QUERY_VOCABS[-1]} AND split = '{split}'),
+lo AS (SELECT CASE WHEN '{split}' = 'train' THEN 0 ELSE (SELECT count(*) FROM ids WHERE vocab = {QUERY_VOCABS[-1]} AND split = 'train') END AS at0),
+wn AS (SELECT CAST(k // {WINDOW_BATCH} AS BIGINT) AS step, CAST(k % {WINDOW_BATCH} AS BIGINT) AS slot
+       FROM (SELECT unnest(range({WINDOW_STEPS * WINDOW_BATCH})) AS k)),
+wu AS (SELECT step, slot, CAST(floor(CAST(CAST('0x' || substr(md5({TRAIN_SEED} || '|' || step || '|' || slot), 1, 13) AS BIGINT) AS DOUBLE)
+              / 4503599627370496.0 * (n - {WINDOW_BLOCK})) AS BIGINT) AS off FROM wn, sl)
+SELECT step, slot, CAST(at0 + off AS BIGINT) AS start_pos, {WINDOW_BLOCK} AS n_x,
+       array_to_string(a[off + 1 : off + {WINDOW_BLOCK}], ',') AS x, array_to_string(a[off + 2 : off + {WINDOW_BLOCK} + 1], ',') AS y
+FROM wu, sl, lo"""
+
+
+def _configs_sql() -> str:
+    return ", ".join(f"('{c[0]}', {c[4]}, {c[6]}, {c[7]})" for c in CONFIGS)
+
+
 ORACLE = {
     "piece_counts": f"WITH {PIECES_CTE} SELECT piece, cnt FROM pc",
 
@@ -355,6 +421,20 @@ FROM occ JOIN seg USING (piece), wd GROUP BY vocab""",
          FROM occ JOIN seg USING (piece) WHERE vocab = {QUERY_VOCABS[-1]} GROUP BY doc_id)
 SELECT doc_id, n_tokens, round(256.0::DOUBLE * len(regexp_extract_all(doc, '[^\s]+')) / n_tokens, 6) AS words_per_256
 FROM tk JOIN dp USING (doc_id)""",
+    "ngram_loss": IDS_CTE + """
+SELECT CAST(vocab AS INTEGER) AS vocab, round(bigram_loss, 9) AS val_loss, round(unigram_loss, 9) AS unigram_loss, CAST(n_val AS BIGINT) AS n_val
+FROM ul JOIN bl2 USING (vocab)""",
+    "vocab_study": STUDY_CTE + " SELECT * FROM study",
+    "study_winners": STUDY_CTE + """
+SELECT arg_min(vocab, val_loss) AS best_by_loss, arg_min(vocab, bits_per_byte) AS best_by_bits,
+       arg_min(vocab, val_loss) <> arg_min(vocab, bits_per_byte) AS disagree FROM study""",
+    "train_windows": windows_sql("train"),
+    "val_windows": windows_sql("val"),
+    "run_budget": SEG_CTE + f"""
+, tr AS (SELECT CAST(sum(k) AS BIGINT) AS n FROM occ JOIN seg USING (piece) WHERE vocab = {QUERY_VOCABS[-1]} AND split = 'train')
+SELECT name, CAST(block * batch AS BIGINT) AS tokens_per_step, CAST(block * batch * steps AS BIGINT) AS total_tokens, tr.n AS train_tokens,
+       round(block * batch * steps / tr.n, 6) AS epochs, tr.n >= block + 1 AS enough_tokens
+FROM (VALUES {_configs_sql()}) c(name, block, batch, steps), tr""",
     "heldout_loss": """
 SELECT label AS target, count(*) AS n, round(avg(m + ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - m)))) - embedding[label + 1]), 5)
          AS mean_loss
