@@ -10,6 +10,10 @@ from ..functions.constants import TRAIN_SEED
 from ..functions.numeric import md5_uniform
 
 
+#: Up to so many window pieces (a few dozen bytes each) are broadcast to the documents.
+MAX_BROADCAST_PAIRS = 1_000_000
+
+
 def conversation_texts(conv: DataFrame, sep: str = "\n") -> DataFrame:
     """``conv_id, text``: the turns of each conversation in order, joined by
     ``sep`` (one group per conversation, bounded by its length)."""
@@ -29,12 +33,12 @@ def context_window(seqs: DataFrame, arr_col: str, n: int) -> DataFrame:
 
 def sample_windows(tokens: DataFrame, steps: int, batch: int, block: int,
                    seed: int = TRAIN_SEED, start_step: int = 0, compat: bool = False,
-                   chunk: int = 4096) -> DataFrame:
+                   chunk: int = 4096, ids: DataFrame | None = None, key: str = "start_pos") -> DataFrame:
     """Random fixed-length windows with replacement: ``step, slot, start_pos, x, y``
     with ``y`` = ``x`` shifted by one.
 
-    ``tokens``: ``start_pos, n_tokens, ids`` of documents that follow each other
-    without a gap, from any position on (a validation split starts where the
+    ``tokens``: ``start_pos, n_tokens, ids`` of documents (or ``key, start_pos,
+    n_tokens``, with ``key, ids`` in ``ids``) that follow each other without a gap, from any position on (a validation split starts where the
     training split ends). Starts are uniform over the valid range from md5
     uniforms of ``(seed + start_step, step, slot)``: every window start that
     leaves ``block + 1`` tokens (``compat=True`` never samples the last one).
@@ -60,13 +64,16 @@ def sample_windows(tokens: DataFrame, steps: int, batch: int, block: int,
         return F.explode(F.sequence(F.floor(start / chunk), F.floor(end / chunk)))
 
     wc = w.withColumn("c", chunks(F.col("w0"), F.col("w0") + block))
-    docs = tokens.where("n_tokens > 0").select("start_pos", "n_tokens")
+    docs = tokens.where("n_tokens > 0").select(*dict.fromkeys([key, "start_pos", "n_tokens"]))
     dc = docs.withColumn("c", chunks(F.col("start_pos"), F.col("start_pos") + F.col("n_tokens") - 1))
     # A pair meets in every chunk they share; it counts in the first one.
     pair = (wc.join(dc, "c")
             .where((F.col("start_pos") <= F.col("w0") + block) & (F.col("start_pos") + F.col("n_tokens") > F.col("w0"))
                    & (F.col("c") == F.floor(F.greatest("w0", "start_pos") / chunk))))
-    part = pair.join(tokens.select("start_pos", "ids"), "start_pos")
+    # Every document of a pair gives a token, so pairs are bounded by the tokens asked for.
+    if steps * batch * (block + 1) <= MAX_BROADCAST_PAIRS:
+        pair = F.broadcast(pair)
+    part = (tokens if ids is None else ids).select(key, "ids").join(pair, key)
     a = F.greatest(F.col("w0") - F.col("start_pos"), F.lit(0))
     z = F.least(F.col("w0") + block + 1 - F.col("start_pos"), F.col("n_tokens"))
     part = part.select("step", "slot", "w0", "start_pos", F.slice("ids", (a + 1).cast("int"), (z - a).cast("int")).alias("p"))

@@ -106,9 +106,10 @@ def q_encode_docs(spark, sf_dir):
     start in the stream, how many, and the md5 of their ids (written ``|id|``)."""
     t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
     ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
-    return t.join(E.token_positions(t), ["vocab", "doc_id"]).select(
-        "doc_id", "split", "start_byte", "start_pos", F.col("n_tokens").cast("bigint").alias("n_tokens"),
-        F.md5(ids).alias("tokens_md5"))
+    rows = t.select("vocab", "doc_id", "split", "start_byte", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                    F.md5(ids).alias("tokens_md5"))
+    return rows.join(E.token_positions(t), ["vocab", "doc_id"]).select(
+        "doc_id", "split", "start_byte", "start_pos", "n_tokens", "tokens_md5")
 
 
 def q_decode_roundtrip(spark, sf_dir):
@@ -154,8 +155,9 @@ def q_context_words(spark, sf_dir):
 
 def _windows(spark, sf_dir, split):
     t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
-    t = t.join(E.token_positions(t), ["vocab", "doc_id"]).where(F.col("split") == split)
-    w = sample_windows(t.select("start_pos", "n_tokens", "ids"), WINDOW_STEPS, WINDOW_BATCH, WINDOW_BLOCK)
+    pos = t.select("vocab", "doc_id", "split", "n_tokens").join(E.token_positions(t), ["vocab", "doc_id"])
+    w = sample_windows(pos.where(F.col("split") == split).select("doc_id", "start_pos", "n_tokens"), WINDOW_STEPS,
+                       WINDOW_BATCH, WINDOW_BLOCK, ids=t.where(F.col("split") == split), key="doc_id")
     return w.select("step", "slot", "start_pos", F.size("x").alias("n_x"),
                     F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
