@@ -39,6 +39,9 @@ SEEK_FRAME_MAGIC, SEEK_TABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF2 = b"\r\n\r\n"
 
+#: Reading tasks at most; beyond it a task reads several bundles in turn.
+MAX_READ_TASKS = 100_000
+
 INDEX = "page_id long, bundle string, frame long, frame_offset long, frame_bytes long, at long, length long"
 
 
@@ -198,6 +201,8 @@ def read_bundles(index: DataFrame, path: str, with_payload: bool = True) -> Data
     """
     folder = f"{path.rstrip('/')}/bundles"
     bundles = index.select("bundle").distinct()
+    # Names are small, bundles are not: a number given outright is not coalesced by their bytes.
+    tasks = max(1, min(bundles.count(), MAX_READ_TASKS))
 
     def page(urn: str) -> int | None:
         v = urn[len("<urn:page:"):-1]
@@ -226,7 +231,7 @@ def read_bundles(index: DataFrame, path: str, with_payload: bool = True) -> Data
                             ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "bundle", "frame",
                              "at", "payload"])
 
-    return bundles.repartition("bundle").mapInArrow(read, READ)
+    return bundles.repartition(tasks).mapInArrow(read, READ)
 
 
 def read_record(path: str, place: dict) -> tuple[dict[str, str], dict[str, str], bytes]:
