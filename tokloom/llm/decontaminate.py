@@ -77,29 +77,37 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     for k in lengths:
         key = F.when(F.col("len") == k, F.get(F.col(col[k]), F.lit(0))).otherwise(key)
     grams = hashed.select(F.col("len").alias("g_len"), "gram", key.alias("g_key"))
-    if grams.count() <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
+    few = grams.count() <= BROADCAST_WINDOWS
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("k1"),
                        F.crc32(F.encode(text, "UTF-8")).alias("k2"), words(F.col(text_col)).alias("w"))
-    rows, col = _with_grams(rows, lengths)
+    rows, col = _with_grams(rows.withColumn("n_words", F.size("w")), lengths)
     # The last element, a null, carries the document itself through the lookup.
     all_keys = F.concat(*[F.col(col[k]) for k in lengths], F.array(F.lit(None).cast("long")))
-    rows = rows.select("doc_id", "k1", "k2", "w", F.size("w").alias("n_words"),
-                       F.posexplode(all_keys).alias("at", "key"))
+    at = rows.select("doc_id", "k1", "k2", "w", "n_words", F.posexplode(all_keys).alias("at", "key"))
     pos, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for k in lengths:
         count = F.greatest(F.col("n_words") - (k - 1), F.lit(0))
         here = (F.col("at") >= before) & (F.col("at") < before + count)
         pos, length = F.when(here, F.col("at") - before).otherwise(pos), F.when(here, F.lit(k)).otherwise(length)
         before = before + count
-    rows = rows.withColumn("pos", pos).withColumn("len", length)
+    at = at.withColumn("pos", pos).withColumn("len", length)
     said = F.concat_ws(" ", *[F.when(F.col("len") > i, F.get("w", F.col("pos") + i)) for i in range(n)])
-    found = (rows.join(grams, (F.col("key") == F.col("g_key")) & (F.col("len") == F.col("g_len"))
-                       & (said == F.col("gram")), "left")
-             .where(F.col("key").isNull() | F.col("gram").isNotNull())
-             .select("doc_id", "k1", "k2", "n_words", "pos", "len", "gram"))
+    out = ["doc_id", "k1", "k2", "n_words", "pos", "len", "gram"]
+    if few:
+        # The hash alone is the key of the lookup: words are put together only where it matches.
+        same = F.col("gram").isNotNull() & (F.col("len") == F.col("g_len")) & (said == F.col("gram"))
+        found = (at.join(F.broadcast(grams), F.col("key") == F.col("g_key"), "left")
+                 .where(F.col("key").isNull() | same).select(*out))
+    else:
+        # A window goes through the shuffle with its own words, never with its document's.
+        hits = (at.where(F.col("key").isNotNull()).withColumn("said", said).drop("w")
+                .join(grams, (F.col("key") == F.col("g_key")) & (F.col("len") == F.col("g_len")) & (F.col("said") == F.col("gram"))))
+        none = F.lit(None)
+        found = hits.select(*out).unionByName(rows.select(
+            "doc_id", "k1", "k2", "n_words", none.cast("int").alias("pos"), none.cast("int").alias("len"),
+            none.cast("string").alias("gram")))
     found = common.stage(found, "op3-found")
 
     id_ = ["doc_id", "k1", "k2"]
