@@ -249,3 +249,23 @@ def test_no_local_scratch_on_a_cluster(monkeypatch):
     spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="yarn"))
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(spark)
+
+
+def test_context_of_odd_conversations(spark):
+    """Parts cut at white space give the pieces of the whole text, whatever the turns hold."""
+    from tokloom.functions.text import pieces
+    from tokloom.operators.windows import conversation_context
+    rows = [(1, 0, " a b "), (1, 1, None), (1, 2, "  "), (1, 3, "\n c's\t"), (1, 4, ""), (1, 5, "d  "), (1, 6, " \n"),
+            (2, 0, ""), (3, 0, " "), (3, 1, "x"), (4, 0, None), (None, 1, "u v"), (None, 0, "w "), (None, 2, " y z"),
+            (5, 0, "e f "), (5, 0, "e f "), (5, 1, "g")] + [(6, i, f"turn {i}, 'll  do　") for i in range(300)]
+    schema = "conv_id long, turn int, text string"
+    texts = {}
+    for c, _, t in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        texts.setdefault(c, []).extend([] if t is None else [t])
+    whole = spark.createDataFrame([(c, "\n".join(t)) for c, t in texts.items()], "conv_id long, text string")
+    want = {r["conv_id"]: r["p"] for r in whole.select("conv_id", pieces("text").alias("p")).collect()}
+    conv = spark.createDataFrame(rows, schema).repartition(5).selectExpr("*", "'x' as part", "1 as n", "'y' as s")
+    for n in (1, 3, 40):
+        got = {r["conv_id"]: (r["n_total"], r["n_context"], r["context"]) for r in conversation_context(conv, n).collect()}
+        assert got == {c: (len(p), min(n, len(p)), p[-n:]) for c, p in want.items()}
+    assert conversation_context(conv.where("false"), 5).count() == 0

@@ -3,32 +3,60 @@ windows with shifted targets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import TRAIN_SEED
 from ..functions.numeric import md5_uniform
-
+from ..functions.text import pieces
+from .ordering import running_agg
 
 #: Up to so many window pieces (a few dozen bytes each) are broadcast to the documents.
 MAX_BROADCAST_PAIRS = 1_000_000
 
 
-def conversation_texts(conv: DataFrame, sep: str = "\n") -> DataFrame:
-    """``conv_id, text``: the turns of each conversation in order, joined by
-    ``sep`` (one group per conversation, bounded by its length)."""
-    g = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_t"))
-    return g.select("conv_id", F.array_join(F.transform("_t", lambda x: x["text"]), sep).alias("text"))
+def conversation_context(conv: DataFrame, n: int, sep: str = "\n") -> DataFrame:
+    """``conv_id, n_total, n_context, context``: the last ``n`` pieces of each
+    conversation, its turns joined by ``sep`` (white space) in the order of ``turn``.
+
+    No conversation is gathered: a piece always ends where white space follows
+    something else, so a conversation is cut there into parts, each with the words
+    of one turn and the white space before them (blank turns are part of that).
+    Parts are counted from the end, and only the last that fill the context
+    meet, at most ``n`` pieces of each.
+
+    A null turn adds nothing; a conversation of no text has the prefix space alone;
+    null ids are one conversation; turns that tie follow a hash of their text.
+    """
+    text = F.col("text")
+    turns = conv.select(F.struct("conv_id").alias("conv"), "turn", F.xxhash64("text").alias("h"), "text",
+                        F.coalesce(text.rlike(r"(?U)\S"), F.lit(False)).cast("bigint").alias("filled"))
+    turns = running_agg(turns, ["conv"], ["turn", "h"], "filled", "before")
+    core = F.regexp_replace(text, r"(?U)\s+\z", "")
+    head = F.struct((F.col("before") + 1).alias("part"), F.coalesce(F.concat(F.lit(sep), F.when(
+        F.col("filled") == 1, core).otherwise(text)), F.lit("")).alias("s"))
+    tail = F.struct((F.col("before") + 2).alias("part"), F.substring(text, F.length(core) + 1, F.length(text)).alias("s"))
+    cuts = F.when((F.col("filled") == 1) & (F.length(core) < F.length(text)), F.array(head, tail)).otherwise(F.array(head))
+    parts = (turns.select("conv", "before", "turn", "h", F.inline(cuts)).groupBy("conv", "part")
+             .agg(F.sort_array(F.collect_list(F.struct("before", "turn", "h", "s"))).alias("_s")))
+    s = F.array_join(F.transform("_s", lambda x: x["s"]), "")
+    first = F.substring(s, len(sep) + 1, F.length(s))
+    ps = F.when(F.col("part") == 1, pieces(first)).otherwise(pieces(s, add_prefix_space=False))
+    parts = parts.select("conv", (-F.col("part")).alias("from_end"), ps.alias("ps"))
+    parts = parts.select("conv", "from_end", F.size("ps").cast("bigint").alias("n"), _last("ps", F.lit(n)).alias("ps"))
+    parts = running_agg(parts, ["conv"], ["from_end"], "n", "after")
+    total = parts.groupBy("conv").agg(F.sum("n").alias("n_total"))
+    kept = (parts.where(F.col("after") < n).select("conv", "from_end", _last("ps", F.lit(n) - F.col("after")).alias("ps"))
+            .groupBy("conv").agg(F.sort_array(F.collect_list(F.struct((-F.col("from_end")).alias("part"), "ps"))).alias("_p")))
+    context = F.flatten(F.transform("_p", lambda x: x["ps"]))
+    return total.join(kept, "conv").select("conv.conv_id", "n_total", F.size(context).cast("bigint").alias("n_context"),
+                                           context.alias("context"))
 
 
-def context_window(seqs: DataFrame, arr_col: str, n: int) -> DataFrame:
-    """Keep the last ``n`` elements of an ordered array (the model's context);
-    adds ``n_total``, ``n_context`` and ``context``."""
-    size = F.size(arr_col)
-    keep = F.least(size, F.lit(n))
-    ctx = F.when(keep > 0, F.slice(arr_col, -keep, keep)).otherwise(F.array())
-    return (seqs.withColumn("n_total", size).withColumn("n_context", keep)
-            .withColumn("context", ctx))
+def _last(arr: str, n) -> Column:
+    """The last ``n`` elements of an array."""
+    keep = F.least(F.size(arr), n.cast("int"))
+    return F.when(keep > 0, F.slice(arr, -keep, keep)).otherwise(F.slice(arr, 1, 0))
 
 
 def sample_windows(tokens: DataFrame, steps: int, batch: int, block: int,

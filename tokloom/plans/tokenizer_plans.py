@@ -19,7 +19,7 @@ from ..operators import study as ST
 from ..operators.bpe import merges_from_df, train_bpe
 from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
-from ..operators.windows import context_window, conversation_texts, sample_windows
+from ..operators.windows import conversation_context, sample_windows
 from ..sources import sinks, stages
 from ..sources.tables import read_shards, read_table, spread
 from .corpus_oracle import CLEAN, split_cte
@@ -89,11 +89,8 @@ def q_pair_counts(spark, sf_dir):
 
 
 def q_context_window(spark, sf_dir):
-    conv = conversation_texts(spread(read_table(spark, sf_dir, "conversations")))
-    p = conv.select("conv_id", T.pieces("text").alias("pieces"))
-    c = context_window(p, "pieces", CONTEXT_PIECES)
-    return c.select("conv_id", F.col("n_total").cast("bigint").alias("n_pieces"),
-                    F.col("n_context").cast("bigint").alias("n_context"),
+    c = conversation_context(spread(read_table(spark, sf_dir, "conversations")), CONTEXT_PIECES)
+    return c.select("conv_id", F.col("n_total").alias("n_pieces"), "n_context",
                     F.md5(F.array_join("context", "")).alias("context_md5"))
 
 
