@@ -275,6 +275,14 @@ def test_damage_is_noticed(spark, tmp_path):
         warc.read_bundles(index, str(tmp_path / "w")).collect()
 
 
+def test_bundles_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(60).selectExpr("id as page_id", "'u' as url", "concat('page ', id) as html").repartition(4)
+    index = warc.write_bundles(pages, str(tmp_path / "w"), frame_bytes=64, bundle_bytes=100)
+    assert index.select("bundle").distinct().count() > 8
+    got = warc.read_bundles(index, str(tmp_path / "w")).select("page_id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(60)) and len({r["p"] for r in got}) > 3
+
+
 def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     index = warc.write_bundles(pages, str(tmp_path / "w"))
