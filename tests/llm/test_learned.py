@@ -218,6 +218,32 @@ def test_packed_numbers_return():
     assert (lm.unpack_hashes(lm.pack_hashes(h)) == h).all()
 
 
+def test_long_unseen_words_cost_their_whole_spelling():
+    r = np.random.default_rng(6)
+    zero, one = (r.integers(0, 5, lm.SLOTS).astype(np.float32) for _ in range(2))
+    speller, totals = lm.Speller(lm.huffman(r.integers(0, 1000, 256)), zero, one), lm.Totals(1000, 100, 10, 0.5)
+    words = pa.array(["".join(r.choice(list("abcxyz"), n)) for n in (60, 10_000, 200_000)])
+    full = totals.log10(np.zeros(3, np.int64), speller.log10(words))
+    assert full[1] < -1000 and full[2] < -20_000
+    off, data = common.text_bytes(words)
+    w = common.cut_words(off, data, 0, 3, common.NOT_SPACE)
+    o = np.argsort(w.hash)
+    cell = lm.zstandard.ZstdCompressor().compress("\n".join(words.take(pa.array(o)).to_pylist()).encode())
+    n = lm.pack(np.zeros(3))
+    ask = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([-1, 0]), pa.array([cell] * 2), pa.array([n, n])],
+                                     ["bucket", "block", "words", "n"])
+    table = lm.BlockTable()
+    for b in lm._answer_words(speller, totals)(iter([ask])):
+        for x in b.to_pylist():
+            table.add(0, x["bucket"], x["keys"], x["n"], x["lp"])
+    table.close()
+    texts = pa.array([*words.to_pylist(), f"{words[2]} {words[2]}"])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([True] * 4), texts], ["doc_id", "held_out", "text"])
+    got = np.asarray(lm._mixed([lm._look_up(docs, table, totals, 1)]).column("score"))
+    assert got[:3] == pytest.approx(full + totals.end(), abs=3)
+    assert got[3] == pytest.approx(full[2] + totals.end(), abs=5)     # said again, it is the text's own word
+
+
 # --- 5: quality ----------------------------------------------------------------------------
 
 def test_quality_on_held_out_rows(spark):
