@@ -99,6 +99,23 @@ def test_join_of_edge_rows(spark):
     assert kept.columns == edge(spark).columns and kept.count() == len(ROWS) - 2
 
 
+def test_slices_of_few_words():
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+
+    def measured(*texts):
+        n = range(len(texts))
+        rows = [r for b in jaccard._measure(iter([pa.record_batch([pa.array(n), pa.array(n), pa.array(texts)], schema=schema)]))
+                for r in b.to_pylist()]
+        return [(r["words"], r["k1"], r["k2"], r["sig"]) for r in rows]
+
+    few = ["one", "two words", "three small words", "these are four words"]
+    together = measured(*few, "and here are more than five words")[:4]
+    assert [r[0] for r in together] == [1, 2, 3, 4]
+    for text, want in zip(few, together):
+        assert measured(text) == [want]
+        assert measured("word " * 400_000, text)[1] == want         # a slice of its own, after a long text
+
+
 def test_bayesian_bound():
     least = jaccard.least_matches()
     # the posterior after n of n matches is near one, so a perfect run is never dropped

@@ -69,7 +69,7 @@ def shingles(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
     if not len(w.start):
         return w.hash, w.doc
     h = np.zeros(len(w.hash), np.uint64)
-    for k in range(N):
+    for k in range(min(N, len(h))):
         h[:len(h) - k] += w.hash[k:] * _W[k]
     left = n[w.doc] - (np.arange(len(h)) - first[w.doc])      # words from here to the end of the text
     use = left >= N
