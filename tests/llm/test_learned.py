@@ -390,6 +390,25 @@ def test_clauses_are_weighed():
     assert weight("idiots") == 0
 
 
+def test_threats_count_with_a_target_on_either_side():
+    model = toxicity.Model({0: (np.sort(toxicity._hashes(toxicity.SEED_INSULTS)), np.full(len(toxicity.SEED_INSULTS.split()), 3.0))})
+
+    def weight(text):
+        return float(model.evidence_of(pa.array([text]))[0])
+
+    full = toxicity.THREATENED
+    assert weight("i will kill you") == pytest.approx(full)
+    assert weight("we are going to murder them") == pytest.approx(full)
+    assert weight("you i will kill") == pytest.approx(full) and weight("you i will kill, you") == pytest.approx(full)
+    assert weight("i will hurt and kill you") == pytest.approx(2 * full)
+    assert weight("i will not kill you") == pytest.approx(full * toxicity.NEGATED)
+    assert weight("john said i will kill you") == pytest.approx(full * toxicity.REPORTED)
+    assert weight("you will not kill") == pytest.approx(full * toxicity.NEGATED)
+    assert weight("we kill time") == 0
+    assert weight("i kill a lot of time for you") == 0      # out of reach
+    assert weight("i will kill. you") == 0                  # another clause
+
+
 def test_composition_multiplies_scopes():
     state, total = toxicity.GRAMMAR.start, 1.0
     for tag in (toxicity.REPORT, toxicity.TARGET, toxicity.NEGATION, toxicity.INSULT):

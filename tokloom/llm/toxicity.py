@@ -4,8 +4,9 @@ Words are read by a lexical transducer: insults (patterns with weights, learned
 from labelled rows), threats, targets, negations and verbs of reported speech.
 Three small transducers over these tags (negation scope, reported speech,
 target) are composed into one table, which reads each clause that holds a
-matched word and gives it a weight; a document's evidence is the sum over its
-clauses, and a logistic curve fitted on the labelled sample turns it into a
+matched word and gives it a weight. A threat counts when a target stands within
+reach on either side: the target transducer also reads the clause from its end.
+A document's evidence is the sum over its clauses, and a logistic curve fitted on the labelled sample turns it into a
 score.
 
 Defined results: null, empty and wordless texts have no evidence; a table
@@ -95,6 +96,8 @@ def target_scope() -> Transducer:
 
 
 GRAMMAR = negation_scope().compose(reported_speech()).compose(target_scope())
+#: Read from a clause's end: which threats a target follows.
+AHEAD = target_scope()
 
 _CLAUSE_END = np.zeros(256, np.int64)
 _CLAUSE_END[[ord(c) for c in ".!?;\n\r"]] = 1
@@ -177,13 +180,21 @@ class Model:
         """The weight of one clause: runs the composed grammar over its tags."""
         at = np.minimum(np.searchsorted(self.tag_hash, h), len(self.tag_hash) - 1)
         tags = np.where(weight > 0, INSULT, np.where(self.tag_hash[at] == h, self.tag[at], OTHER))
+        tags = tags.tolist()
+        followed = [False] * len(tags)
+        if THREAT in tags:
+            state = AHEAD.start
+            for i in range(len(tags) - 1, -1, -1):
+                state, _, factor = AHEAD.arcs[state, tags[i]]
+                followed[i] = factor > 1
         state, total = GRAMMAR.start, 0.0
-        for tag, wt in zip(tags.tolist(), weight.tolist()):
+        for tag, wt, later in zip(tags, weight.tolist(), followed):
+            earlier = state[1] > 0                   # a target stands shortly before
             state, tag, factor = GRAMMAR.arcs[state, tag]
             if tag == INSULT:
                 total += wt * factor
-            elif tag == THREAT and factor >= TARGETED:
-                total += THREATENED * factor / TARGETED
+            elif tag == THREAT and (earlier or later):
+                total += THREATENED * (factor / TARGETED if earlier else factor)
         return total
 
     def score_texts(self, col: pa.Array) -> np.ndarray:
