@@ -339,3 +339,14 @@ def test_written_shards(spark, tmp_path):
     docs = edge(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).drop("curve", "shard", "slot")
     out = sharding.write_shards(docs, sharding.place(docs, n_shards=3), str(tmp_path / "s"))
     assert out.count() == docs.count() and {r["shard"] for r in out.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_sources_that_share_a_prefix_get_their_own_cells(spark):
+    rows = [(i, f"text {i}", f"https://example.org/{i % 8}", "en") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    dims = {"source": F.col("source"), "nothing": F.lit(0.0)}
+    curve = {r["doc_id"]: r["curve"] for r in sharding.place(docs, dims).collect()}
+    assert all(curve[i] == curve[i % 8] for i in range(160)) and len(set(curve.values())) == 8
+    by_default = sharding.place(docs.withColumn("text", F.concat(F.lit("text "), F.lpad("doc_id", 3, "0")))).collect()
+    assert len({r["curve"] for r in by_default}) == 8
+    assert sharding.text_cuts(docs, "source", 4, "test-cuts") == [f"https://example.org/{i}" for i in (1, 3, 5)]

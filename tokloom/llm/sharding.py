@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common
 
@@ -58,17 +59,25 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_key(col: Column) -> Column:
-    """A number that keeps the order of strings by their first seven bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+def text_cuts(rows: DataFrame, name: str, parts: int, label: str) -> list[str]:
+    """The least values of a string column with 1, 2, ... of ``parts`` equal shares of its rows at or below them.
+
+    Whole strings are ranked, so values that share a prefix are told apart; at most ``parts - 1`` are gathered.
+    """
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = common.global_rank(counts, ["_s"], "_rank", label, "_c", "_before")
+    total = ranked.agg(F.sum("_c")).first()[0] or 1
+    passed = f"_before * {parts} div {total}", f"least({parts - 1}, (_before + _c) * {parts} div {total})"
+    return sorted((r["_s"] for r in ranked.where(F.expr(f"{passed[0]} < {passed[1]}")).select("_s").collect()),
+                  key=lambda v: v.encode("utf-8", "surrogatepass"))
 
 
 def place(docs: DataFrame, dims: dict[str, Column] | None = None, n_shards: int = 8, bits: int = 5,
           law: str = "rows", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, size, text_crc32, curve, shard, slot.
 
-    ``dims``: numeric expressions over ``docs`` (default: source and language by
-    their leading bytes, and size). ``law``: ``rows`` makes counts differ by one
+    ``dims``: numeric or string expressions over ``docs`` (default: source and
+    language, by their whole strings, and size). ``law``: ``rows`` makes counts differ by one
     at most, ``bytes`` cuts where the running size passes equal shares. Size is
     the text's UTF-8 bytes plus 1.
     """
@@ -76,21 +85,28 @@ def place(docs: DataFrame, dims: dict[str, Column] | None = None, n_shards: int
         raise ValueError("law is rows or bytes")
     t = F.col(text_col)
     if dims is None:
-        dims = {"source": text_key(F.col("source")), "lang": text_key(F.col("lang")),
-                "size": F.octet_length(t).cast("double")}
+        dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.octet_length(t)}
     names = [f"_d{i}" for i in range(len(dims))]
+    kinds = docs.select(*[c.alias(n) for n, c in zip(names, dims.values())]).schema
+    texts = [n for n in names if isinstance(kinds[n].dataType, StringType)]
     raw = F.coalesce(t, F.lit(""))
     narrow = common.stage(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"),
         F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"), F.xxhash64(raw).alias("_h"),
-        *[c.cast("double").alias(n) for n, c in zip(names, dims.values())]), "op10-narrow")
+        *[(c if n in texts else c.cast("double")).alias(n) for n, c in zip(names, dims.values())]), "op10-narrow")
     # One place per text: the least metadata of its rows (partial sums first, so a hot text is cheap).
     key = ["_h", "text_crc32", "size"]
-    group = narrow.groupBy(*key).agg(*[F.min(n).alias(n) for n in names])
+    group = common.stage(narrow.groupBy(*key).agg(*[F.min(n).alias(n) for n in names]), "op10-groups")
     cells = (1 << bits) - 1
-    cut = group.agg(*[F.percentile_approx(n, [(i + 1) / (cells + 1) for i in range(cells)], 10000).alias(n)
-                      for n in names]).first()
-    cuts = [np.unique(np.array(c if c is not None else [], float)) for c in cut]
+    for n in texts:
+        # The cell is the number of cuts below the value; the cuts of that number are 0, 1, ..., which leave it as it is.
+        below = [(F.col(n) > F.lit(c)).cast("double") for c in text_cuts(group, n, cells + 1, "op10-values")]
+        group = group.withColumn(n, sum(below, F.lit(0.0)))
+    numbers = [n for n in names if n not in texts]
+    cut = group.agg(F.count(F.lit(1)), *[F.percentile_approx(n, [(i + 1) / (cells + 1) for i in range(cells)], 10000).alias(n)
+                                         for n in numbers]).first()
+    cuts = [np.arange(cells, dtype=float) if n in texts else np.unique(np.array(cut[n] if cut[n] is not None else [], float))
+            for n in names]
 
     @F.pandas_udf("long")
     def curve(*cols: pd.Series) -> pd.Series:
