@@ -246,8 +246,8 @@ def test_long_unseen_words_cost_their_whole_spelling():
     w = common.cut_words(off, data, 0, 3, common.NOT_SPACE)
     o = np.argsort(w.hash)
     cell = lm.zstandard.ZstdCompressor().compress("\n".join(words.take(pa.array(o)).to_pylist()).encode())
-    n = lm.pack(np.zeros(3))
-    ask = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([-1, 0]), pa.array([cell] * 2), pa.array([n, n])],
+    n, own = lm.pack_long(np.zeros(3)), lm.pack(np.zeros(3))
+    ask = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([-1, 0]), pa.array([cell] * 2), pa.array([n, own])],
                                      ["bucket", "block", "words", "n"])
     table = lm.BlockTable()
     for b in lm._answer_words(speller, totals)(iter([ask])):
@@ -261,6 +261,21 @@ def test_long_unseen_words_cost_their_whole_spelling():
     assert got[3] == pytest.approx(full[2] + totals.end(), abs=5)     # said again, it is the text's own word
 
 
+def test_counts_beyond_32_bits():
+    big = 3_000_000_000
+    cell = lm.zstandard.ZstdCompressor().compress(b"the")
+    rows = pa.RecordBatch.from_pydict({"bucket": [0, 0], "words": [cell] * 2, "n": [lm.pack(np.array([big]))] * 2})
+    r = next(lm._merge_words(iter([rows]))).to_pylist()[0]
+    assert lm.unpack_long(r["n"]).tolist() == [r["tokens"]] == [2 * big]
+    pairs = pa.RecordBatch.from_pydict({"bucket": [0, 0], "block": [1, 2], "keys": [lm.pack(np.array([7]))] * 2,
+                                        "n": [lm.pack(np.array([big]))] * 2, "held": [lm.pack(np.array([0]))] * 2})
+    table = lm.BlockTable()
+    x = next(lm._count_pairs(iter([pairs]))).to_pylist()[0]
+    table.add(1, x["bucket"], x["keys"], x["n"], None)
+    table.close()
+    assert table.pair(np.array([7], np.uint64)).tolist() == [2 * big]
+
+
 # --- 5: quality ----------------------------------------------------------------------------
 
 def test_quality_on_held_out_rows(spark):
