@@ -184,3 +184,15 @@ def cut_words(off: np.ndarray, data: np.ndarray, a: int, b: int,
     h = mix64(np.add.reduceat(val, k) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     doc = np.searchsorted(rel, start, "right") - 1
     return Words(buf, start, end, doc, h, n_docs, rel)
+
+
+def word_strings(w: Words, word: np.ndarray) -> pa.Array:
+    """The words as an Arrow array, in order; ``word`` is the table they were cut with."""
+    ends = np.concatenate([[0], np.cumsum(w.end - w.start)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(w.start),
+                                 [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(w.buf[word[w.buf]]))])
+
+
+def exact_ids(strings: pa.Array) -> np.ndarray:
+    """Numbers that are equal exactly where the strings are (told by content, not by a hash)."""
+    return strings.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
