@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard, langid, lm, mixing, quality, sharding, toxicity, warc
+from . import decontaminate, exact_dedup, jaccard, langid, lm, mixing, quality, rules, runs, search, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,14 @@ QUERIES: dict[str, Query] = {
     "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
+    "op11_quality_rules": rules.op11_quality_rules,
+    "op12_lexical_search": search.op12_lexical_search,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
     "op8_warc": warc.ORACLE,
+    "op12_lexical_search": search.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
