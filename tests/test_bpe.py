@@ -116,3 +116,38 @@ def test_stored_tokenizer_encodes_alike(spark, tmp_path):
     _, _, res = _run(spark, {"abab": 9, "cdcd": 7}, 6)
     write_tokenizer(res.merges, res.types, str(tmp_path / "t"))
     assert merges_from_df(read_tokenizer(spark, str(tmp_path / "t"))[0]) == res.merge_list
+
+
+@pytest.mark.parametrize("segments, symbols", [(200_000, 1_000_000), (40, 200), (3, 9), (0, 0)])
+def test_rounds_of_any_size_merge_alike(spark, monkeypatch, segments, symbols):
+    """The bound on the driver's table changes how many merges a round finds, never which."""
+    from tokloom.operators import bpe
+    from tokloom.sources.tables import read_shards
+    monkeypatch.setattr(bpe, "MAX_SEGMENTS", segments)
+    monkeypatch.setattr(bpe, "MAX_SYMBOLS", symbols)
+    pc = piece_counts(read_shards(spark, "/root/testdata/sf0.001", ["es"]).limit(12), "text").cache()
+    words = {r["piece"].encode(): r["cnt"] for r in pc.collect()}
+    n = 400 if segments > 1000 else 60
+    res = train_bpe(pc, 257 + n, checkpoint_every=2)
+    assert [(l, r, nid, c) for _, l, r, nid, c in res.merge_list] == seq_bpe(words, n)
+    assert res.rounds < (8 if segments > 1000 else 60)
+
+
+def test_many_pairs_of_one_count(spark, monkeypatch):
+    """A fetch that ends inside a run of equal counts is widened, and past the widest one rounds go on one by one."""
+    from tokloom.operators import bpe
+    words = {"".join(p): 7 for p in zip("abcdefghijklm", "nopqrstuvwxyz")} | {"ABAB": 5}
+    mine, ref, res = _run(spark, words, 16, fetch=2)
+    assert mine == ref and res.rounds <= 3
+    monkeypatch.setattr(bpe, "MAX_FETCH", 2)
+    mine, ref, _ = _run(spark, words, 16, fetch=2)
+    assert mine == ref
+
+
+def test_merges_stop_at_the_floor():
+    from tokloom.operators.bpe import merge_segments
+    # (1, 2) occurs 9 times, then (257, 3) 6 times; (4, 5) is not above the floor.
+    got = merge_segments(["1||2||3", "1||2", "4||5", "1||2||1||2"], [6, 1, 2, 1], 2, 10, 257)
+    assert got == [(1, 2, 257, 9), (257, 3, 258, 6)]
+    assert merge_segments(["7||7||7||7||7"], [3], 1, 10, 300) == [(7, 7, 300, 12), (300, 300, 301, 3), (301, 7, 302, 3)]
+    assert merge_segments([], [], 1, 5, 257) == []

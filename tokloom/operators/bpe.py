@@ -1,22 +1,26 @@
 """Byte-level pair-merge (BPE) vocabulary learning as an iterative Spark job.
 
 State: one row per distinct piece, ``piece, cnt, y`` with ``y`` the piece's
-current symbols as a delimited string (``|68||101|``). One round:
-
-1. adjacent-pair counts over the state (explode + partial/final hash
-   aggregate, shuffled on the pair),
-2. the top ``fetch`` pairs by (count desc, left id, right id) to the driver
-   (``TakeOrderedAndProject``: at most ``fetch`` rows leave each task),
-3. choose one or more merges that sequential one-at-a-time merging would also
-   make next (see :func:`choose_exact`),
-4. rewrite ``y`` with plain string replaces, only on rows holding a chosen
-   pair. Pieces reduced to one symbol can never change again; they leave the
-   loop at each checkpoint and are kept aside.
+current symbols as a delimited string (``|68||101|``). One round learns many merges,
+the same ones as merging one pair at a time:
+
+1. Adjacent-pair counts over the state; the top ``fetch`` pairs by (count desc, left id,
+   right id) come to the driver. Those counted above ``floor``, the last fetched
+   count, are *active*; every other pair occurs at most ``floor`` times.
+2. Pieces are cut where two neighbours are no active pair, and equal segments are summed.
+   A pair that a merge creates across a cut consists of what an inactive pair became, so it
+   occurs at most ``floor`` times too. As long as the most frequent pair is
+   counted above ``floor``, the segments therefore hold every occurrence of it.
+3. The driver merges on the table of segments (:func:`merge_segments`) until the best pair is no longer above ``floor``. The
+   table is bounded: segments are counted first, and while there are more than
+   ``MAX_SEGMENTS`` (or their symbols are more than ``MAX_SYMBOLS``) the floor is raised, which leaves
+   fewer active pairs and shorter segments. If even that is too much, the round takes what
+   the pair counts alone prove (:func:`choose_exact`).
+4. The state is rewritten by the round's merges. Pairs are counted anew, or, when
+   fewer than half of the pieces changed, the pairs of those pieces are subtracted and added.
 
 The state is persisted each round and written to the reliable checkpoint
 folder every few rounds, which cuts the lineage and survives executor loss.
-Only the chosen merges (bounded by the vocabulary width guard, < 65,536) live
-on the driver.
 
 Ids: 0 is the end-of-text special, 1..256 the bytes 0..255, merges follow in
 rank order. Ties are broken by (left id, right id), smallest first.
@@ -24,8 +28,12 @@ rank order. Ties are broken by (left id, right id), smallest first.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +45,11 @@ from .pieces import initial_types, pair_rows
 
 FIRST_MERGE_ID = N_BYTE_SYMBOLS + 1
 
+#: Bounds of the table of segments that a round merges on.
+MAX_SEGMENTS, MAX_SYMBOLS = 200_000, 1_000_000
+#: A round fetches at most so many pairs, also to get past pairs of one count.
+MAX_FETCH = 1 << 16
+
 MERGE_SCHEMA = Ty.StructType([
     Ty.StructField("rank", Ty.IntegerType(), False),
     Ty.StructField("left", Ty.IntegerType(), False),
@@ -107,16 +120,124 @@ class BpeResult:
         return self.merge_list[:max(0, vocab_size - FIRST_MERGE_ID)]
 
 
-def _rewrite(y, chosen_with_ids):
-    """(condition: the row holds a chosen pair, rewritten symbols)."""
-    cond = None
-    new_y = y
-    for l, r, new_id in chosen_with_ids:
-        pat = f"|{l}||{r}|"
-        new_y = F.replace(new_y, F.lit(pat), F.lit(f"|{new_id}|"))
-        hit = y.contains(pat)
-        cond = hit if cond is None else (cond | hit)
-    return cond, new_y
+def merge_segments(segments: list[str], counts: list[int], floor: int, wanted: int,
+                   next_id: int) -> list[tuple[int, int, int, int]]:
+    """``left, right, new id, count`` of the merges that one-at-a-time merging makes
+    next, while the most frequent pair of the segments is counted above ``floor``.
+
+    ``segments``: symbols joined by ``||``. All segments lie in one array; a merge compares it with the pair, and only the pairs
+    around the places found are counted again.
+    """
+    if not segments:
+        return []
+    size = np.array([s.count("||") + 1 for s in segments])
+    sym = np.array("||".join(segments).split("||"), dtype=np.int64)
+    seg, weight = np.repeat(np.arange(len(size)), size), np.array(counts, np.int64)
+
+    def tally(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that begin at the places ``i``, and how often each occurs."""
+        i = np.unique(i[(i >= 0) & (i < len(sym) - 1)])
+        i = i[seg[i] == seg[i + 1]]
+        key, inv = np.unique(sym[i] * MAX_VOCAB + sym[i + 1], return_inverse=True)
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, inv, weight[seg[i]])
+        return key, n
+
+    held = dict(zip(*(x.tolist() for x in tally(np.arange(len(sym))))))
+    heap = [(-c, *divmod(k, MAX_VOCAB)) for k, c in held.items() if c > floor]
+    heapq.heapify(heap)
+    out: list[tuple[int, int, int, int]] = []
+    while heap and len(out) < wanted:
+        c, left, right = heapq.heappop(heap)
+        now = held.get(left * MAX_VOCAB + right, 0)
+        if now != -c:                       # counted when it still occurred more often
+            if now > floor:
+                heapq.heappush(heap, (-now, left, right))
+            continue
+        out.append((left, right, next_id, now))
+        at = np.flatnonzero((sym[:-1] == left) & (sym[1:] == right) & (seg[:-1] == seg[1:]))
+        if left == right:                   # of overlapping places every other one, from the left
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            at = at[nth % 2 == 0]
+        for k, n in zip(*(x.tolist() for x in tally(np.concatenate([at - 1, at, at + 1])))):
+            held[k] -= n
+        sym[at] = next_id
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        sym, seg = sym[keep], seg[keep]
+        at = at - np.arange(len(at))
+        for k, n in zip(*(x.tolist() for x in tally(np.concatenate([at - 1, at])))):
+            held[k] = held.get(k, 0) + n
+            if held[k] > floor:
+                heapq.heappush(heap, (-held[k], *divmod(k, MAX_VOCAB)))
+        next_id += 1
+    return out
+
+
+def segment_counts(state: DataFrame, active: list[tuple[int, int, int]]) -> DataFrame:
+    """``seg, cnt``: the stretches of symbols (joined by ``||``) whose neighbours are all active
+    pairs, equal ones summed."""
+    pairs = ",".join(f"'{left}|{right}'" for left, right, _ in active)
+    parts = state.select("cnt", F.split(F.expr("substring(y, 2, length(y) - 2)"), r"\|\|").alias("s"))
+    joined = F.expr("array_join(zip_with(s, slice(s, 2, size(s)), (a, b) -> concat(a, CASE WHEN b IS NULL THEN '' "
+                    f"WHEN concat(a, '|', b) IN ({pairs}) THEN '||' ELSE '#' END)), '')")
+    return (parts.select("cnt", F.explode(F.split(joined, "#")).alias("seg")).where(F.col("seg").contains("||"))
+            .groupBy("seg").agg(F.sum("cnt").cast("bigint").alias("cnt")))
+
+
+def _round(state: DataFrame, pairs: DataFrame, wanted: int, next_id: int, min_frequency: int,
+           fetch: int, most: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Merges of one round (none when no pair is frequent enough), and how many pairs were active.
+
+    At most ``most`` pairs are tried as active ones, where their counts allow to stop there.
+    """
+    while True:
+        top = _top_pairs(pairs, min_frequency, fetch)
+        if not top:
+            return [], 0
+        floor = min_frequency - 1 if len(top) < fetch else top[-1][2]
+        active = [t for t in top if t[2] > floor]
+        if active or fetch >= MAX_FETCH:
+            break
+        fetch = min(fetch * 8, MAX_FETCH)             # all of one count: fetch past them
+    if len(active) > most and active[0][2] > active[most][2]:
+        floor = active[most][2]
+        active = [t for t in active if t[2] > floor]
+    while active:
+        table = segment_counts(state, active).persist(StorageLevel.MEMORY_AND_DISK)
+        size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seg")).alias("chars"),
+                         F.sum(F.size(F.split("seg", r"\|\|"))).alias("symbols")).first()
+        if size["n"] <= MAX_SEGMENTS and size["symbols"] <= MAX_SYMBOLS:
+            rows = table.collect()
+            table.unpersist()
+            return merge_segments([r["seg"] for r in rows], [r["cnt"] for r in rows], floor, wanted, next_id), len(active)
+        table.unpersist()
+        floor = active[len(active) // 2][2]
+        active = [t for t in active if t[2] > floor]
+    got = choose_exact(top, wanted, len(top) < fetch, min_frequency)
+    return [(left, right, next_id + i, c) for i, (left, right, c) in enumerate(got)], 1
+
+
+def rewritten(state: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFrame:
+    """``piece, cnt, y, old``: symbols after ``merges`` in their order; ``old`` is what they were, null if unchanged."""
+    ranks = state.sparkSession.sparkContext.broadcast(
+        {(str(left), str(right)): (i, str(new)) for i, (left, right, new, _) in enumerate(merges)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .encode import _merge_word
+        for b in batches:
+            was = b.column("y").to_pylist()
+            now, old = [], []
+            for y in was:
+                s = y[1:-1].split("||")
+                t = _merge_word(s, ranks.value)
+                now.append(y if t is s else f"|{'||'.join(t)}|")
+                old.append(None if t is s else y)
+            yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("cnt"), pa.array(now, pa.string()), pa.array(old, pa.string())],
+                                             ["piece", "cnt", "y", "old"])
+
+    return state.select("piece", "cnt", "y").mapInArrow(run, "piece string, cnt long, y string, old string")
 
 
 def _top_pairs(pair_table: DataFrame, min_frequency: int, fetch: int) -> list[tuple[int, int, int]]:
@@ -133,34 +254,28 @@ def _pair_table(rows: DataFrame) -> DataFrame:
 
 
 def train_bpe(piece_counts: DataFrame, vocab_size: int,
-              min_frequency: int = MIN_PAIR_FREQUENCY, fetch: int = 64, checkpoint_every: int = 8,
+              min_frequency: int = MIN_PAIR_FREQUENCY, fetch: int = 4096, checkpoint_every: int = 4,
               snapshots: list[int] | None = None) -> BpeResult:
     """Learn ``vocab_size - 257`` merges (fewer if no pair reaches ``min_frequency``),
     the same ones as merging one pair at a time.
 
     ``piece_counts``: ``piece, cnt``. ``snapshots``: smaller vocabulary sizes whose
     piece segmentation is also kept (a round never crosses a snapshot size).
-
-    The pair table is kept and each round re-counts only the pieces that hold a
-    chosen pair (their old pairs subtracted, new ones added), so a round's work
-    follows the pieces that change. ``fetch`` bounds the rows a round's top
-    list brings to the driver; a pair beyond it cannot be chosen that round,
-    which costs a round but never changes the merges.
+    ``fetch`` bounds the pairs that are active in a round: a smaller number costs
+    rounds but never changes the merges.
     """
     check_vocab_size(vocab_size)
     spark: SparkSession = piece_counts.sparkSession
     level = StorageLevel.MEMORY_AND_DISK
     wanted_total = vocab_size - FIRST_MERGE_ID
     types = materialize(initial_types(piece_counts))
+    # Pieces of one symbol never change again.
     aside = [types.where(~F.col("y").contains("||"))]
     state = types.where(F.col("y").contains("||")).persist(level)
     pairs = _pair_table(pair_rows(state)).persist(level)
     merges: list[tuple[int, int, int, int, int]] = []
-    next_id = FIRST_MERGE_ID
-    rounds = 0
-    stale: list[DataFrame] = []
-    targets = sorted({v - FIRST_MERGE_ID for v in (snapshots or [])
-                      if FIRST_MERGE_ID <= v < vocab_size})
+    rounds, most = 0, 256
+    targets = sorted({v - FIRST_MERGE_ID for v in (snapshots or []) if FIRST_MERGE_ID <= v < vocab_size})
     snaps: dict[int, DataFrame] = {}
 
     def union_all(parts):
@@ -170,46 +285,45 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
         return out
 
     while len(merges) < wanted_total:
-        top = _top_pairs(pairs, min_frequency, fetch)
-        # Everything the new pair table and state were computed from is
-        # cached now; older copies can go.
-        for df in stale:
-            df.unpersist()
-        stale = []
-        if not top:
-            break
-        wanted = wanted_total - len(merges)
         pending = [t for t in targets if t > len(merges)]
-        if pending:
-            wanted = min(wanted, pending[0] - len(merges))
-        with_ids = []
-        for l, r, c in choose_exact(top, wanted, len(top) < fetch, min_frequency):
-            merges.append((len(merges), l, r, next_id, c))
-            with_ids.append((l, r, next_id))
-            next_id += 1
+        wanted = (pending[0] if pending else wanted_total) - len(merges)
+        got, active = _round(state, pairs, wanted, FIRST_MERGE_ID + len(merges), min_frequency, fetch, most)
+        most = max(64, 8 * active)
+        if not got:
+            break
+        merges += [(len(merges) + i, left, right, new, c) for i, (left, right, new, c) in enumerate(got)]
         rounds += 1
-        cond, new_y = _rewrite(F.col("y"), with_ids)
-        new_state = state.withColumn("y", F.when(cond, new_y).otherwise(F.col("y")))
-        changed = state.where(cond).select("cnt", F.col("y").alias("y_old"), new_y.alias("y_new"))
-        delta = pair_rows(changed, "y_new").unionByName(
-            pair_rows(changed, "y_old").withColumn("cnt", -F.col("cnt")))
-        new_pairs = _pair_table(pairs.unionByName(_pair_table(delta)))
+        new_state = rewritten(state, got)
         snap_now = len(merges) in targets
         if rounds % checkpoint_every == 0 or snap_now:
-            ck = materialize(new_state)
-            aside.append(ck.where(~F.col("y").contains("||")))
-            new_state = ck.where(F.col("y").contains("||"))
-            new_pairs = materialize(new_pairs)
+            new_state = materialize(new_state)
+            aside.append(new_state.where(~F.col("y").contains("||")).drop("old"))
             if snap_now:
                 # One table per snapshot: later encodes scan it, not the pieces.
-                snaps[len(merges) + FIRST_MERGE_ID] = materialize(union_all(aside + [new_state]))
-                aside = [snaps[len(merges) + FIRST_MERGE_ID].where(~F.col("y").contains("||"))]
-        stale += [state, pairs]
-        state = new_state.persist(level)
-        pairs = new_pairs.persist(level)
-    for df in stale:
-        df.unpersist()
-    final_types = materialize(union_all(aside + [state]))
+                snap = materialize(union_all([*aside, new_state.where(F.col("y").contains("||")).drop("old")]))
+                snaps[len(merges) + FIRST_MERGE_ID] = snap
+                aside = [snap.where(~F.col("y").contains("||"))]
+            whole = new_state
+            new_state = new_state.where(F.col("y").contains("||"))
+        else:
+            whole = new_state = new_state.persist(level)
+        n = whole.agg(F.count(F.lit(1)).alias("all"), F.count("old").alias("changed")).first()
+        if 2 * n["changed"] < n["all"]:
+            changed = whole.where(F.col("old").isNotNull())
+            delta = pair_rows(changed, "y").unionByName(pair_rows(changed, "old").withColumn("cnt", -F.col("cnt")))
+            new_pairs = _pair_table(pairs.unionByName(_pair_table(delta)))
+            if rounds % checkpoint_every == 0:
+                new_pairs = materialize(new_pairs)
+        else:
+            new_pairs = _pair_table(pair_rows(new_state))
+        new_pairs = new_pairs.persist(level)
+        new_pairs.count()
+        state.unpersist()
+        pairs.unpersist()
+        state, pairs = new_state, new_pairs
+    final_types = materialize(union_all([*aside, state.select("piece", "cnt", "y")]))
+    state.unpersist()
+    pairs.unpersist()
     for t in targets:
         snaps.setdefault(t + FIRST_MERGE_ID, final_types)
     snaps[vocab_size] = final_types

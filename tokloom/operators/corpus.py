@@ -2,8 +2,9 @@
 
 Cleaning and filtering are narrow (map-only) projections over the scan. The
 order-dependent parts (batch numbers, byte offsets, the size cut-off and the
-positional split) run on a narrow key table ``(shard, doc_id, n_bytes,
-label)``; the text is joined back once, on ``doc_id``.
+positional split) run on a narrow key table ``(row, shard, doc_id, n_bytes,
+label)``; the text is joined back once, on ``row``, the number of a row in the
+order of the corpus. Ids may repeat or be null: rows are told by ``row`` alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BATCH_ROWS, BYTES_PER_TOKEN_ESTIMATE, MIN_CHARS, VAL_FRACTION
+from ..session import staged
 from .ordering import rank_within, running_sum_before
 
 
@@ -59,20 +61,28 @@ def corpus_summary(labelled: DataFrame) -> DataFrame:
         "est_mtokens", F.round(F.col("bytes") / F.lit(BYTES_PER_TOKEN_ESTIMATE) / F.lit(1e6), 6))
 
 
+def in_order(shards: DataFrame) -> DataFrame:
+    """Rows of the corpus by shard, id and a hash of the text, divided by ranges of that order."""
+    order = ["shard", "doc_id", F.xxhash64("text")]
+    return shards.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def batch_numbers(keys: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Add ``row_in_shard`` (0-based) and ``batch_id`` to a table holding ``shard, doc_id``.
+    """Add ``row_in_shard`` (0-based) and ``batch_id`` to a table holding ``shard, doc_id``
+    and, where ids may repeat, ``row``.
 
     The position is a two-level prefix count, so one huge shard is spread over
     as many range partitions as its size needs.
     """
-    ranked = rank_within(keys, ["shard"], ["doc_id"], "row_in_shard")
+    order = ["doc_id", "row"] if "row" in keys.columns else ["doc_id"]
+    ranked = rank_within(keys, ["shard"], order, "row_in_shard")
     return (ranked.withColumn("row_in_shard", F.col("row_in_shard") - 1)
             .withColumn("batch_id", F.floor(F.col("row_in_shard") / F.lit(batch_rows)).cast("bigint")))
 
 
 def key_table(labelled_fmt: DataFrame) -> DataFrame:
     """Narrow key table over *all* raw rows (batches count every row read)."""
-    return labelled_fmt.select("shard", "doc_id", "label", "n_bytes")
+    return labelled_fmt.select("row", "shard", "doc_id", "label", "n_bytes")
 
 
 def batch_table(keys_b: DataFrame) -> DataFrame:
@@ -104,7 +114,7 @@ def doc_offsets(keys_b: DataFrame, batches: DataFrame) -> DataFrame:
     Within a batch the running sum is a window partitioned by (shard, batch):
     at most ``batch_rows`` rows per group.
     """
-    w = (Window.partitionBy("shard", "batch_id").orderBy("doc_id")
+    w = (Window.partitionBy("shard", "batch_id").orderBy("doc_id", "row")
          .rowsBetween(Window.unboundedPreceding, -1))
     kept = keys_b.where(F.col("label") == "kept")
     within = kept.withColumn("_in_batch", F.coalesce(F.sum("n_bytes").over(w), F.lit(0)))
@@ -135,17 +145,19 @@ def build_corpus(shards: DataFrame, batch_rows: int = BATCH_ROWS,
     """Full preparation. Returns ``labelled``, ``batches``, ``offsets`` (narrow,
     with split) and ``corpus`` (text rows).
 
-    ``corpus`` columns: shard, doc_id, batch_id, title, doc, n_bytes, n_chars,
-    start_byte, split, lang.
+    ``corpus`` columns: row, shard, doc_id, batch_id, title, doc, n_bytes, n_chars,
+    start_byte, split, lang. Texts are cleaned once: what the order is found
+    from and what is joined to it read the same stored rows.
     """
-    labelled = formatted(label_documents(shards))
+    labelled = staged(formatted(label_documents(in_order(shards)))
+                      .withColumn("row", F.monotonically_increasing_id()), "labelled")
     keys_b = batch_numbers(key_table(labelled), batch_rows)
     batches = cutoff_batches(batch_table(keys_b), target_bytes)
     offs = doc_offsets(keys_b, batches).where("processed")
-    offs = split_column(offs.select("shard", "doc_id", "batch_id", "n_bytes", "start_byte"),
+    offs = split_column(offs.select("row", "shard", "doc_id", "batch_id", "n_bytes", "start_byte"),
                         val_fraction)
     text = labelled.where(F.col("label") == "kept").select(
-        "doc_id", "title", "doc", "clean", "n_chars", "lang")
-    corpus = offs.join(text, "doc_id")
+        "row", "title", "doc", "clean", "n_chars", "lang")
+    corpus = offs.join(text, "row")
     return {"labelled": labelled, "keys": keys_b, "batches": batches,
             "offsets": offs, "corpus": corpus}

@@ -46,7 +46,7 @@ def with_previous(log: DataFrame, cols=("step", "val", "train", "elapsed")) -> D
     """Add ``prev_<col>`` from the row before in the same run (equi-join on k-1)."""
     prev = log.select("run_id", (F.col("k") + 1).alias("k"),
                       *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return log.join(prev, ["run_id", "k"], "left")
+    return join_small(log, prev, ["run_id", "k"], "left")
 
 
 def run_summary(log: DataFrame) -> DataFrame:
@@ -93,11 +93,11 @@ def affine_scan(rows: DataFrame, group: str, k: str, a: str, b: str, out: str, b
         ends = maps.select(group, (F.col("_blk") + 1).alias("_n"), F.element_at("_maps", -1).alias("_e")).select(
             group, "_n", F.col("_e.a").alias("_a"), F.col("_e.b").alias("_b"))
         carry = affine_scan(ends, group, "_n", "_a", "_b", "_carry", block).select(group, F.col("_n").alias("_blk"), "_carry")
-        local = local.join(carry, [group, "_blk"], "left")
+        local = join_small(local, carry, [group, "_blk"], "left")
     else:
         local = local.withColumn("_carry", F.lit(0.0))
     y = F.col("_m.a") * F.coalesce("_carry", F.lit(0.0)) + F.col("_m.b")
-    return rows.join(local.select(group, k, y.alias(out)), [group, k])
+    return join_small(rows, local.select(group, k, y.alias(out)), [group, k])
 
 
 def loss_ema(log: DataFrame, value_col: str = "val", decay: float = EMA_DECAY,

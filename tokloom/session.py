@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "tokloom",
@@ -77,11 +79,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a side that is usually small.
+def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join a side that is usually small, on columns of the same name; null meets null.
 
     It is planned as a shuffle join; adaptive execution turns it into a broadcast
     when the bytes measured at run time are under its threshold, and splits
     skewed keys otherwise. Nothing depends on the side being small.
     """
-    return big.join(small, on=on, how=how)
+    keys = {c: f"_on_{c}" for c in ([on] if isinstance(on, str) else on)}
+    same = F.lit(True)
+    for c, k in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return big.join(small.withColumnsRenamed(keys), same, how).drop(*keys.values())
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back; lineage ends here."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "scratch", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from ..session import join_small
+
 HISTORY_SCHEMA = Ty.StructType([
     Ty.StructField("step", Ty.IntegerType()),
     Ty.StructField("train", Ty.DoubleType()),
@@ -96,7 +98,7 @@ def resumed_history(history: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     ends = ends.withColumn("_prev", F.lag("_hi").over(w)).withColumn(
         "_restart", F.when(F.col("_lo") < F.col("_prev"), F.col("_prev")).otherwise(F.lit(0.0)))
     ends = ends.withColumn("_shift", F.sum("_restart").over(w))
-    return (rows.join(ends.select(*keys, "appended", "_shift"), [*keys, "appended"])
+    return (join_small(rows, ends.select(*keys, "appended", "_shift"), [*keys, "appended"])
             .withColumn("elapsed", F.col("elapsed") + F.col("_shift")).drop("_shift"))
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import rank_within
+from ..session import join_small
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -36,20 +39,40 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_shards(spark: SparkSession, sf_dir: str, langs: list[str] | None = None) -> DataFrame:
-    """Documents as shard rows: ``shard, doc_id, title, text, lang``.
+#: Sources that are not numbered follow the numbered ones, from this shard number on.
+OTHER_SHARDS = 1_000_000_000
+
+
+def source_number(source: str | Column) -> Column:
+    """The number in ``src<number>``; null for any other source."""
+    s = F.col(source) if isinstance(source, str) else source
+    return F.when(s.rlike(r"\Asrc(0|[1-9][0-9]{0,8})\z"), F.try_to_number(F.substring(s, 4, 9), F.lit("999999999")).cast("int"))
+
 
-    ``shard`` is the number in ``source`` (``src7`` -> 7); the corpus order is
+def as_shards(docs: DataFrame) -> DataFrame:
+    """``shard, doc_id, title, text, lang`` of documents with any sources.
+
+    ``shard`` is the number in a numbered source (``src7`` -> 7); the other sources
+    follow in code point order, null last, one number each. The corpus order is
     ``(shard, doc_id)``; ``title`` is ``source/doc_id``.
     """
+    shard = source_number("source")
+    other = docs.where(shard.isNull()).select("source")
+    rows = docs
+    if other.take(1):
+        named = rank_within(other.distinct().withColumn("_null", F.col("source").isNull()), [], ["_null", "source"], "_rank")
+        rows = join_small(docs, named.select("source", (F.col("_rank") - 1 + OTHER_SHARDS).cast("int").alias("_rank")), "source", "left")
+        shard = F.coalesce(shard, F.col("_rank"))
+    return rows.select(shard.alias("shard"), "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"),
+                       "text", "lang")
+
+
+def read_shards(spark: SparkSession, sf_dir: str, langs: list[str] | None = None) -> DataFrame:
+    """The documents table as shard rows (:func:`as_shards`), of some languages or all."""
     d = read_table(spark, sf_dir, "documents")
     if langs:
         d = d.where(F.col("lang").isin(list(langs)))
-    return spread(d).select(
-        F.substring("source", 4, 64).cast("int").alias("shard"),
-        "doc_id",
-        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"),
-        "text", "lang")
+    return as_shards(spread(d))
 
 
 def dirty(df: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import table_path
+from ..sources.tables import source_number, table_path
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -83,7 +83,7 @@ def stream_corpus_filter(spark: SparkSession, sf_dir: str, out: str | None = Non
     sink; the size cut-off stays a batch step because it needs the order."""
     schema = spark.read.parquet(table_path(sf_dir, "documents")).schema
     docs = spark.readStream.schema(schema).parquet(os.path.join(sf_dir, pattern))
-    shards = docs.select(F.substring("source", 4, 64).cast("int").alias("shard"), "doc_id",
+    shards = docs.select(source_number("source").alias("shard"), "doc_id",
                          F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"),
                          "text", "lang")
     lab = C.label_documents(shards).where(F.col("label") != "empty")
