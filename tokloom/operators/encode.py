@@ -1,9 +1,11 @@
 """Text -> token ids, ids -> text, token tables.
 
-Encoding is one narrow pass: pieces are cut by the built-in pattern, and an
-Arrow-batched helper segments each distinct piece of a task once (for all
-vocabularies, smaller ones being prefixes of the merge list) and looks the
-others up. Nothing is shuffled but what the caller's keys need. Decoding looks the
+Encoding is one narrow pass: pieces are cut by the built-in pattern, and an Arrow-batched
+helper replaces them by ids for all vocabularies (smaller ones are prefixes of the merge
+list). The frequent pieces come from a broadcast dictionary of bounded bytes, segmented by a Spark
+job beforehand; the pieces of a batch are looked up in it as one Arrow array and their ids gathered
+as arrays, with no Python object per token. Pieces that are not in it are segmented once per task.
+Nothing is shuffled but what the caller's keys need. Decoding looks the
 ids' bytes up in an array of the vocabulary and stays in built-in expressions.
 """
 
@@ -11,8 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -21,6 +26,8 @@ from ..sources.tables import spread
 from .bpe import FIRST_MERGE_ID, vocab_bytes
 from .ordering import running_agg
 
+Merge = tuple[int, int, int, int, int]
+
 
 def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges to one piece: repeatedly merge the lowest-rank adjacent pair,
@@ -46,40 +53,129 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return ids
 
 
-#: Distinct pieces that one task keeps the segmentation of; the table starts anew beyond.
+#: Distinct pieces beyond the dictionary that one task keeps the segmentation of; the table starts anew beyond.
 CACHED_PIECES = 1 << 19
+#: Bytes of pieces (and as many ids at most, four bytes each, per vocabulary) in the broadcast dictionary.
+DICTIONARY_BYTES = 8 << 20
+
+
+def rank_tables(merges: list[Merge], sizes: Sequence[int] | None) -> list[dict[tuple[int, int], tuple[int, int]]]:
+    """Per vocabulary size (ascending; default: all merges) its merges by pair; bounded by the width guard."""
+    counts = [len(merges)] if sizes is None else [max(0, v - FIRST_MERGE_ID) for v in sizes]
+    return [{(left, right): (rank, new) for rank, left, right, new, _ in merges[:n]} for n in counts]
+
+
+def _segment(piece: str, levels) -> list[list[int]]:
+    """Ids of one piece by each vocabulary; each goes on from the one before."""
+    ids, out = [b + 1 for b in piece.encode("utf-8")], []
+    for ranks in levels:
+        ids = _merge_word(ids, ranks)
+        out.append(ids)
+    return out
+
+
+def _lists(ids: list[list[list[int]]], n: int) -> list[pa.Array]:
+    """Per vocabulary the ids of every piece, of the ids by piece and vocabulary."""
+    return [pa.array([x[k] for x in ids], pa.list_(pa.int32())) for k in range(n)]
+
+
+class Table:
+    """Pieces and, per vocabulary, their ids end to end with the place where each piece's begin."""
+
+    def __init__(self, pieces: pa.Array, ids: list[pa.Array]) -> None:
+        """``ids``: per vocabulary a list of ids per piece."""
+        self.pieces = pieces
+        self.start = [np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                      for x in ids]
+        self.ids = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for x in ids]
+
+
+class Encoder:
+    """Replaces pieces by ids inside a task."""
+
+    def __init__(self, levels, known: Table) -> None:
+        self.levels, self.known, self.seen = levels, known, {}
 
+    def __call__(self, pieces: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per vocabulary the ids of all ``pieces`` end to end, and the place where each piece's begin."""
+        at = (pc.index_in(pieces, value_set=self.known.pieces) if len(self.known.pieces)
+              else pa.nulls(len(pieces), pa.int32()))
+        new = pc.is_null(at).to_numpy(zero_copy_only=False)
+        coded = pieces.filter(pa.array(new)).dictionary_encode()
+        rest = Table(coded.dictionary, _lists([self._ids(p) for p in coded.dictionary.to_pylist()], len(self.levels)))
+        parts = [(np.flatnonzero(~new), at.drop_null().to_numpy(zero_copy_only=False), self.known),
+                 (np.flatnonzero(new), coded.indices.to_numpy(zero_copy_only=False), rest)]
+        out = []
+        for k in range(len(self.levels)):
+            size = np.zeros(len(pieces), np.int64)
+            for where, i, table in parts:
+                if len(where):
+                    size[where] = table.start[k][i + 1] - table.start[k][i]
+            start = np.concatenate([[0], np.cumsum(size)])
+            ids = np.empty(int(start[-1]), np.int32)
+            for where, i, table in parts:
+                if len(where):
+                    n = size[where]
+                    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    ids[np.repeat(start[where], n) + inside] = table.ids[k][np.repeat(table.start[k][i], n) + inside]
+            out.append((ids, start))
+        return out
 
-def encode_udf(spark, merges: list[tuple[int, int, int, int, int]], sizes: Sequence[int] | None = None):
+    def _ids(self, piece: str) -> list[list[int]]:
+        got = self.seen.get(piece)
+        if got is None:
+            if len(self.seen) >= CACHED_PIECES:
+                self.seen.clear()
+            got = self.seen[piece] = _segment(piece, self.levels)
+        return got
+
+
+def dictionary(types: DataFrame | None, levels, limit: int = DICTIONARY_BYTES) -> Table:
+    """The most frequent pieces of ``types`` (``piece, cnt``), at most ``limit`` bytes of them, segmented by a Spark job.
+
+    The count from which on pieces are taken is found from a table of sums by
+    powers of the eighth root of two, so a class of equal frequency is in or out as a whole.
+    """
+    if types is None:
+        return Table(pa.array([], pa.string()), [])
+    spark = types.sparkSession
+    level = F.floor(F.log2("cnt") * 8)
+    sized = types.where(F.col("cnt") > 0).withColumn("_b", F.octet_length("piece") + 4).withColumn("_level", level)
+    total, least = 0, None
+    for r in sorted(sized.groupBy("_level").agg(F.sum("_b").alias("b")).collect(), key=lambda r: -r["_level"]):
+        total += r["b"]
+        if total > limit:
+            break
+        least = r["_level"]
+    if least is None:
+        return Table(pa.array([], pa.string()), [])
+    held = spark.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = _lists([_segment(p, held.value) for p in b.column(0).to_pylist()], len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *ids], ["piece", *names])
+
+    names = [f"ids{k}" for k in range(len(levels))]
+    schema = ", ".join(["piece string", *(f"{n} array<int>" for n in names)])
+    rows = sized.where(F.col("_level") >= least).select("piece").mapInArrow(run, schema).toArrow()
+    return Table(rows["piece"].combine_chunks().cast(pa.string()), [rows[n].combine_chunks() for n in names])
+
+
+def encode_udf(spark: SparkSession, merges: list[Merge], sizes: Sequence[int] | None = None):
     """Pandas UDF ``array<string> of pieces -> array<array<int>>``: the ids by each
-    vocabulary in ``sizes`` (ascending; default: all merges). The merge list is
+    vocabulary in ``sizes`` (ascending; default: all merges), for a column of any table. The merge list is
     bounded by the width guard and broadcast once."""
-    counts = [len(merges)] if sizes is None else [max(0, v - FIRST_MERGE_ID) for v in sizes]
-    levels = []
-    for n in counts:
-        levels.append({(l, r): (rank, new_id) for rank, l, r, new_id, _ in merges[:n]})
-    bc = spark.sparkContext.broadcast(levels)
+    bc = spark.sparkContext.broadcast(rank_tables(merges, sizes))
 
     @F.pandas_udf(Ty.ArrayType(Ty.ArrayType(Ty.IntegerType())))
     def _enc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, list[list[int]]] = {}
-
-        def segment(piece: str) -> list[list[int]]:
-            ids, out = [b + 1 for b in piece.encode("utf-8")], []
-            for ranks in bc.value:
-                ids = _merge_word(ids, ranks)
-                out.append(ids)
-            if len(seen) >= CACHED_PIECES:
-                seen.clear()
-            seen[piece] = out
-            return out
-
+        encoder = Encoder(bc.value, Table(pa.array([], pa.string()), []))
         for s in texts:
-            rows = []
-            for pieces in s:
-                segs = [seen.get(p) or segment(p) for p in pieces] if pieces is not None else []
-                rows.append([[i for x in segs for i in x[k]] for k in range(len(counts))])
-            yield pd.Series(rows)
+            lists = pa.array([[] if p is None else list(p) for p in s], pa.list_(pa.string()))
+            cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int)
+            got = encoder(lists.flatten())
+            yield pd.Series([[ids[start[cut[i]]:start[cut[i + 1]]] for ids, start in got] for i in range(len(s))])
 
     return _enc
 
@@ -109,29 +205,53 @@ def decoded(df: DataFrame, merges: list[tuple[int, int, int, int, int]], out: st
 
 
 def encode_texts(texts: DataFrame, text_col: str, key_cols: Sequence[str],
-                 merges: list[tuple[int, int, int, int, int]], sizes: Sequence[int] | None = None,
-                 add_prefix_space: bool = True) -> DataFrame:
-    """``key_cols..., ids, n_tokens``: each text encoded whole (one prefix space).
+                 merges: list[Merge], sizes: Sequence[int] | None = None,
+                 add_prefix_space: bool = True, types: DataFrame | None = None, positions: bool = False) -> DataFrame:
+    """``key_cols..., ids, n_tokens``: each text encoded whole (one prefix space). Null text has no ids.
 
-    With ``sizes`` a row per text and vocabulary size, named in ``vocab``.
+    With ``sizes`` a row per text and vocabulary size, named in ``vocab``. ``types``: pieces and their counts, of which the frequent
+    ones become the dictionary. With ``positions`` rows are taken in the order they come in and get ``part``, the partition, and
+    ``local_pos``, the tokens of their vocabulary before them in it.
     """
-    enc = encode_udf(texts.sparkSession, merges, sizes)
-    rows = spread(texts).select(*key_cols, enc(T.pieces(text_col, add_prefix_space)).alias("_ids"))
-    if sizes is None:
-        rows = rows.select(*key_cols, F.col("_ids")[0].alias("ids"))
-    else:
-        rows = rows.select(*key_cols, F.posexplode("_ids").alias("_k", "ids"))
-        rows = rows.withColumn("vocab", F.element_at(F.array(*[F.lit(v) for v in sizes]), F.col("_k") + 1)).drop("_k")
-    return rows.withColumn("n_tokens", F.size("ids"))
+    levels = rank_tables(merges, sizes)
+    spark = texts.sparkSession
+    bc = spark.sparkContext.broadcast((levels, dictionary(types, levels)))
+    rows = texts if positions else spread(texts)
+    src = rows.select(*key_cols, F.coalesce(T.pieces(text_col, add_prefix_space), F.array().cast("array<string>")).alias("_pieces"))
+    fields = list(src.schema.fields)[:-1]
+    extra = [("ids", "array<int>"), ("n_tokens", "int")] + ([("vocab", "int")] if sizes is not None else []) + (
+        [("part", "int"), ("local_pos", "long")] if positions else [])
+    schema = Ty.StructType([*fields, *(Ty.StructField(n, Ty._parse_datatype_string(t)) for n, t in extra)])
+    vocabs = list(sizes) if sizes is not None else [None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        encoder, part = Encoder(*bc.value), TaskContext.get().partitionId()
+        at = [0] * len(vocabs)
+        for b in batches:
+            lists = b.column(len(fields))
+            cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            for k, (ids, start) in enumerate(encoder(lists.flatten())):
+                ends = start[cut]
+                n = np.diff(ends)
+                cols = [*b.columns[:len(fields)], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                        pa.array(n.astype(np.int32))]
+                if sizes is not None:
+                    cols.append(pa.array(np.full(len(b), vocabs[k], np.int32)))
+                if positions:
+                    cols += [pa.array(np.full(len(b), part, np.int32)), pa.array(at[k] + ends[:-1])]
+                    at[k] += int(ends[-1])
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 def token_positions(tokens: DataFrame) -> DataFrame:
-    """``vocab, doc_id, start_pos``: each document's first token position in its
-    vocabulary's stream in corpus order. The prefix sum reads three narrow columns
-    of the stored token table."""
-    narrow = tokens.select("vocab", "doc_id", "start_byte", F.col("n_tokens").cast("long").alias("n_tokens"))
+    """``vocab, start_byte, start_pos``: each document's first token position in its
+    vocabulary's stream in corpus order, for token tables stored without positions. The prefix sum reads three narrow columns."""
+    narrow = tokens.select("vocab", "start_byte", F.col("n_tokens").cast("long").alias("n_tokens"))
     pos = running_agg(narrow, ["vocab"], ["start_byte"], "n_tokens", "start_pos")
-    return pos.select("vocab", "doc_id", F.col("start_pos").cast("bigint").alias("start_pos"))
+    return pos.select("vocab", "start_byte", F.col("start_pos").cast("bigint").alias("start_pos"))
 
 
 def token_totals(tokens: DataFrame) -> DataFrame:

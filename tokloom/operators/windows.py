@@ -3,7 +3,7 @@ windows with shifted targets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import TRAIN_SEED
@@ -59,9 +59,24 @@ def _last(arr: str, n) -> Column:
     return F.when(keep > 0, F.slice(arr, -keep, keep)).otherwise(F.slice(arr, 1, 0))
 
 
+def window_starts(spark: SparkSession, lo: int, n: int, steps: int, batch: int, block: int, seed: int = TRAIN_SEED,
+                  start_step: int = 0, compat: bool = False) -> DataFrame:
+    """``step, slot, w0``: where the windows of :func:`sample_windows` begin in a stream of ``n`` tokens from ``lo`` on."""
+    if n < block + 1:
+        raise ValueError(f"{n} tokens cannot fill a window of {block} and its target")
+    n_starts = n - block - (1 if compat else 0)
+    if n_starts <= 0:
+        raise ValueError(f"no window start for {n} tokens and block {block}")
+    w = spark.range(steps * batch).select(
+        F.expr(f"id div {batch}").alias("step"), (F.col("id") % batch).alias("slot"))
+    u = md5_uniform(seed + start_step, "step", "slot")
+    return w.withColumn("w0", F.lit(lo) + F.floor(u * F.lit(n_starts)).cast("bigint"))
+
+
 def sample_windows(tokens: DataFrame, steps: int, batch: int, block: int,
                    seed: int = TRAIN_SEED, start_step: int = 0, compat: bool = False,
-                   chunk: int = 4096, ids: DataFrame | None = None, key: str = "start_pos") -> DataFrame:
+                   chunk: int = 4096, ids: DataFrame | None = None, key: str = "start_pos",
+                   span: tuple[int, int] | None = None) -> DataFrame:
     """Random fixed-length windows with replacement: ``step, slot, start_pos, x, y``
     with ``y`` = ``x`` shifted by one.
 
@@ -69,24 +84,18 @@ def sample_windows(tokens: DataFrame, steps: int, batch: int, block: int,
     n_tokens``, with ``key, ids`` in ``ids``) that follow each other without a gap, from any position on (a validation split starts where the
     training split ends). Starts are uniform over the valid range from md5
     uniforms of ``(seed + start_step, step, slot)``: every window start that
-    leaves ``block + 1`` tokens (``compat=True`` never samples the last one).
+    leaves ``block + 1`` tokens (``compat=True`` never samples the last one). ``span``: first
+    position and number of tokens of the whole stream, if ``tokens`` is a part of it that holds all windows.
 
     Windows and documents meet on the chunks of ``chunk`` positions that both
     touch; only documents that a window touches give up tokens, as slices. A
     window that comes out short (a gap in the stream) is an error.
     """
     spark = tokens.sparkSession
-    span = tokens.agg(F.min("start_pos").alias("lo"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()
-    n, lo = span["n"], span["lo"]
-    if n < block + 1:
-        raise ValueError(f"{n} tokens cannot fill a window of {block} and its target")
-    n_starts = n - block - (1 if compat else 0)
-    if n_starts <= 0:
-        raise ValueError(f"no window start for {n} tokens and block {block}")
-    w = spark.range(steps * batch).select(
-        F.expr(f"id div {batch}").alias("step"), (F.col("id") % batch).alias("slot"))
-    u = md5_uniform(seed + start_step, "step", "slot")
-    w = w.withColumn("w0", F.lit(lo) + F.floor(u * F.lit(n_starts)).cast("bigint"))
+    if span is None:
+        r = tokens.agg(F.min("start_pos").alias("lo"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()
+        span = r["lo"], r["n"]
+    w = window_starts(spark, *span, steps, batch, block, seed, start_step, compat)
 
     def chunks(start, end):
         return F.explode(F.sequence(F.floor(start / chunk), F.floor(end / chunk)))

@@ -19,15 +19,18 @@ from ..operators import study as ST
 from ..operators.bpe import merges_from_df, train_bpe
 from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
-from ..operators.windows import conversation_context, sample_windows
+from ..operators.windows import conversation_context
 from ..sources import sinks, stages
 from ..sources.tables import read_shards, read_table, spread
+from ..sources.tokenstore import TokenStore, write_store
 from .corpus_oracle import CLEAN, split_cte
 from .corpus_plans import QUERY_BATCH_ROWS
 
-# Vocabulary sizes of the registered study: 32, 64, 128 and 256 merges on top
-# of the 257 base ids, learned once (smaller sizes are prefixes of the list).
+# Vocabulary sizes of the registered study that SQL repeats merge by merge: 32, 64, 128 and 256
+# merges on top of the 257 base ids, learned once (smaller sizes are prefixes of the list).
 QUERY_VOCABS = [289, 321, 385, 513]
+# --- fixed values: the vocabulary sizes of the reference's study ---
+STUDY_VOCABS = [4096, 8192, 16384, 32768]
 WINDOW_BLOCK, WINDOW_BATCH, WINDOW_STEPS = 64, 8, 4
 CONTEXT_PIECES = 256
 
@@ -39,17 +42,19 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
         build_corpus(read_shards(spark, sf_dir), batch_rows=QUERY_BATCH_ROWS)["corpus"], p))
 
 
-def learned(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int, int, int]]:
-    """The merge list learned on the prepared corpus, loaded from where it is stored."""
-    path = stages.stage_path(spark, "tokenizer", stages.fingerprint(spark, sf_dir, "documents"), QUERY_VOCABS[-1])
-
-    def write(_: str) -> None:
-        res = train_bpe(piece_counts(prepared(spark, sf_dir), "doc"), QUERY_VOCABS[-1])
+def tokenizer(spark: SparkSession, sf_dir: str, vocab: int) -> tuple[list[E.Merge], DataFrame]:
+    """Merge list and pieces of the tokenizer learned on the prepared corpus, loaded from where they are stored."""
+    path = stages.stage_path(spark, "tokenizer", stages.fingerprint(spark, sf_dir, "documents"), vocab)
+    if not stages.finished(spark, f"{path}/types"):
+        res = train_bpe(piece_counts(prepared(spark, sf_dir), "doc"), vocab)
         sinks.write_tokenizer(res.merges, res.types, path)
+    merges, types = sinks.read_tokenizer(spark, path)
+    return merges_from_df(merges), types
 
-    if not stages.finished(spark, f"{path}/types"):
-        write(path)
-    return merges_from_df(sinks.read_tokenizer(spark, path)[0])
+
+def learned(spark: SparkSession, sf_dir: str, vocab: int = QUERY_VOCABS[-1]) -> list[E.Merge]:
+    """The merge list of the learned tokenizer."""
+    return tokenizer(spark, sf_dir, vocab)[0]
 
 
 def merges_for(merges: list, vocab: int) -> list:
@@ -57,18 +62,21 @@ def merges_for(merges: list, vocab: int) -> list:
     return merges[:max(0, vocab - 257)]
 
 
-def doc_tokens(spark: SparkSession, sf_dir: str, vocab: int | None = None) -> DataFrame:
-    """The stored token table: ``vocab, split, doc_id, start_byte, n_bytes, n_chars, n_words, n_tokens, ids``."""
-    path = stages.stage_path(spark, "tokens", stages.fingerprint(spark, sf_dir, "documents"), QUERY_VOCABS)
-
-    def write(p: str) -> None:
+def token_store(spark: SparkSession, sf_dir: str, vocabs: list[int] = QUERY_VOCABS) -> TokenStore:
+    """The corpus encoded by some vocabularies, stored by position."""
+    path = stages.stage_path(spark, "tokens", stages.fingerprint(spark, sf_dir, "documents"), vocabs)
+    if not stages.finished(spark, f"{path}/manifest"):
         corpus = prepared(spark, sf_dir).withColumn("n_doc_chars", F.length("doc").cast("bigint")).withColumn(
             "n_words", T.whitespace_words("doc"))
-        cols = ["doc_id", "split", "start_byte", "n_bytes", "n_doc_chars", "n_words"]
-        sinks.write_tokens(E.encode_texts(corpus, "doc", cols, learned(spark, sf_dir), QUERY_VOCABS), p)
+        merges, types = tokenizer(spark, sf_dir, vocabs[-1])
+        write_store(corpus, path, merges, vocabs, types)
+    return TokenStore(spark, path)
+
 
-    t = stages.stored(spark, path, write)
-    return t if vocab is None else t.where(F.col("vocab") == vocab)
+def doc_tokens(spark: SparkSession, sf_dir: str, vocab: int | None = None, vocabs: list[int] = QUERY_VOCABS) -> DataFrame:
+    """The stored token table: ``vocab, split, part, doc_id, start_byte, n_bytes, n_doc_chars, n_words, n_tokens, ids,
+    local_pos, start_pos``."""
+    return token_store(spark, sf_dir, vocabs).tokens(vocab)
 
 
 def _raw_clean(spark, sf_dir):
@@ -103,10 +111,8 @@ def q_encode_docs(spark, sf_dir):
     start in the stream, how many, and the md5 of their ids (written ``|id|``)."""
     t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
     ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
-    rows = t.select("vocab", "doc_id", "split", "start_byte", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+    return t.select("doc_id", "split", "start_byte", "start_pos", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                     F.md5(ids).alias("tokens_md5"))
-    return rows.join(E.token_positions(t), ["vocab", "doc_id"]).select(
-        "doc_id", "split", "start_byte", "start_pos", "n_tokens", "tokens_md5")
 
 
 def q_decode_roundtrip(spark, sf_dir):
@@ -132,9 +138,9 @@ def _items(spark, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), schema)
 
 
-def encode_items(spark, sf_dir, items: DataFrame) -> DataFrame:
+def encode_items(spark, sf_dir, items: DataFrame, vocabs: list[int] = QUERY_VOCABS) -> DataFrame:
     """``item_id, text, vocab, ids, n_tokens`` for a probe table, by every vocabulary."""
-    return E.encode_texts(items, "text", ["item_id", "text"], learned(spark, sf_dir), QUERY_VOCABS)
+    return E.encode_texts(items, "text", ["item_id", "text"], learned(spark, sf_dir, vocabs[-1]), vocabs)
 
 
 def q_probe_splits(spark, sf_dir):
@@ -151,10 +157,7 @@ def q_context_words(spark, sf_dir):
 
 
 def _windows(spark, sf_dir, split):
-    t = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
-    pos = t.select("vocab", "doc_id", "split", "n_tokens").join(E.token_positions(t), ["vocab", "doc_id"])
-    w = sample_windows(pos.where(F.col("split") == split).select("doc_id", "start_pos", "n_tokens"), WINDOW_STEPS,
-                       WINDOW_BATCH, WINDOW_BLOCK, ids=t.where(F.col("split") == split), key="doc_id")
+    w = token_store(spark, sf_dir).windows(QUERY_VOCABS[-1], split, WINDOW_STEPS, WINDOW_BATCH, WINDOW_BLOCK)
     return w.select("step", "slot", "start_pos", F.size("x").alias("n_x"),
                     F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
@@ -167,22 +170,22 @@ def q_val_windows(spark, sf_dir):
     return _windows(spark, sf_dir, "val")
 
 
-def study_parts(spark, sf_dir) -> dict[str, DataFrame]:
+def study_parts(spark, sf_dir, sizes: list[int] = QUERY_VOCABS) -> dict[str, DataFrame]:
     """Per-vocabulary tables the study row is assembled from; each measure is one
     grouped job over the stored token table."""
-    vocabs = spark.createDataFrame([(v, STUDY_ARCH) for v in QUERY_VOCABS], "vocab INT, arch STRING")
+    vocabs = spark.createDataFrame([(v, STUDY_ARCH) for v in sizes], "vocab INT, arch STRING")
     grid = ST.with_model_params(ST.study_grid(ST.configs_table(spark), vocabs, steps=STUDY_STEPS))
     compounds, sentence = _items(spark, COMPOUNDS), _items(spark, [SAMPLE_SENTENCE])
-    t = doc_tokens(spark, sf_dir)
-    sizes = t.groupBy("vocab").agg(
+    t = doc_tokens(spark, sf_dir, vocabs=sizes)
+    totals = t.groupBy("vocab").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("corpus_bytes"),
         F.sum("n_doc_chars").cast("bigint").alias("corpus_chars"))
-    probes = ST.probe_stats(encode_items(spark, sf_dir, compounds))
-    sent = ST.words_per_context(encode_items(spark, sf_dir, sentence), "text")
+    probes = ST.probe_stats(encode_items(spark, sf_dir, compounds, sizes))
+    sent = ST.words_per_context(encode_items(spark, sf_dir, sentence, sizes), "text")
     ng = ST.ngram_loss(t.select("vocab", "split", "ids"))
     return {"params": grid.select("vocab", "params", "embed_params", "embed_share"),
             "fertility": ST.fertility(t).select("vocab", "fertility"), "probes": probes,
-            "sentence": sent.select("vocab", "words_per_256"), "sizes": sizes,
+            "sentence": sent.select("vocab", "words_per_256"), "sizes": totals,
             "loss": ng.select("vocab", F.col("bigram_loss").alias("val_loss"), "unigram_loss", "n_val")}
 
 
@@ -225,6 +228,28 @@ def q_vocab_study(spark, sf_dir):
     return s.select(*[F.col(c) if c in exact else F.round(c, 9).alias(c) for c in s.columns])
 
 
+def q_bpe_merges_full(spark, sf_dir):
+    """The merges of the largest vocabulary of the reference's study, as far as pairs occur twice."""
+    return spark.createDataFrame(learned(spark, sf_dir, STUDY_VOCABS[-1]), "rank int, left int, right int, new_id int, pair_count long")
+
+
+def q_encode_docs_full(spark, sf_dir):
+    """Every document by every vocabulary of the reference's study: where its tokens start in that vocabulary's
+    stream, how many, the md5 of their ids, and the md5 of the text they decode to."""
+    merges = learned(spark, sf_dir, STUDY_VOCABS[-1])
+    t = E.decoded(doc_tokens(spark, sf_dir, vocabs=STUDY_VOCABS), merges, "_text")
+    return t.select("vocab", "doc_id", "split", "start_byte", "start_pos", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("ids", ",")).alias("tokens_md5"), F.md5("_text").alias("text_md5"))
+
+
+def q_vocab_study_full(spark, sf_dir):
+    """The study at the reference's vocabulary sizes, with each size's rank by loss and by bits per byte."""
+    s = ST.study_table(study_parts(spark, sf_dir, STUDY_VOCABS))
+    exact = {"vocab", "params", "embed_params"}
+    rounded = s.select(*[F.col(c) if c in exact else F.round(c, 9).alias(c) for c in s.columns])
+    return rounded.join(ST.study_ranks(rounded), "vocab")
+
+
 def q_study_winners(spark, sf_dir):
     return ST.study_winners(q_vocab_study(spark, sf_dir))
 
@@ -260,6 +285,9 @@ QUERIES = {
     "vocab_study": q_vocab_study,
     "run_budget": q_run_budget,
     "study_winners": q_study_winners,
+    "bpe_merges_full": q_bpe_merges_full,
+    "encode_docs_full": q_encode_docs_full,
+    "vocab_study_full": q_vocab_study_full,
     "ngram_loss": q_ngram_loss,
 }
 
