@@ -400,7 +400,8 @@ def test_clauses_are_weighed():
     assert weight("somebody said what an idiot") == pytest.approx(3.0 * toxicity.REPORTED)
     assert weight("that is not so. what an idiot") == pytest.approx(plain)      # scopes end with the clause
     assert weight("an idiot; a moron") == pytest.approx(2 * plain)
-    assert weight("we kill time") == 0 and weight("i want you to die, i will kill you") == 0
+    # A threat counts with a target on either side, so the second clause weighs in full.
+    assert weight("we kill time") == 0 and weight("i want you to die, i will kill you") == pytest.approx(toxicity.THREATENED)
     assert weight("you they will kill") > 0
     assert weight("idiots") == 0
 

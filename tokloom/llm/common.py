@@ -45,6 +45,16 @@ def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark's hash functions take (all but maps and what holds maps)."""
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+
+
+def held(doc_id: str, k: int, fold_no: int) -> Column:
+    """Whether a row lies in the held-out fold; a null id does not."""
+    return F.coalesce(fold(doc_id, k) == fold_no, F.lit(False))
+
+
 def fold(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k

@@ -10,7 +10,7 @@ verified window.
 Defined results: null text has no words; an item without words never occurs; a
 document without words is clean; empty tables give no rows or no hits; rows that
 repeat get a row each, and rows with one id and different texts are separate;
-columns beyond id and text are ignored by :func:`find` and kept by :func:`clean`.
+columns beyond id and text, whatever their names, are ignored by :func:`find` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -138,17 +138,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int
     bad = (find(docs, benchmark, n, id_col, text_col, **options).where("n_hit > 0")
            .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("hits").alias("_hits"))
            .dropDuplicates(["_k1", "_k2"]))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    same = (F.xxhash64(F.col(id_col), text) == F.col("_k1")) & (F.crc32(F.encode(text, "UTF-8")) == F.col("_k2"))
+    # Inside, columns have names of their own, so that none of the input's can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, body = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = docs.toDF(*names)
+    text = F.coalesce(F.col(body), F.lit(""))
+    same = (F.xxhash64(F.col(id_), text) == F.col("_k1")) & (F.crc32(F.encode(text, "UTF-8")) == F.col("_k2"))
     if mode == "document":
-        return docs.join(bad, same, "left_anti")
-    gaps, said = F.split(F.col(text_col), ANY_CASE_WORD, -1), F.regexp_extract_all(F.col(text_col), F.lit(ANY_CASE_WORD), F.lit(0))
-    rows = docs.join(bad, same, "left").withColumn("_gaps", gaps).withColumn("_said", said)
+        return rows.join(bad, same, "left_anti").toDF(*docs.columns)
+    gaps, said = F.split(F.col(body), ANY_CASE_WORD, -1), F.regexp_extract_all(F.col(body), F.lit(ANY_CASE_WORD), F.lit(0))
+    rows = rows.join(bad, same, "left").withColumn("_gaps", gaps).withColumn("_said", said)
     kept = F.transform("_gaps", lambda g, i: F.concat(g, F.when(
         F.exists("_hits", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["len"])), F.lit("")).otherwise(
         F.coalesce(F.get("_said", i), F.lit("")))))
-    return rows.withColumn(text_col, F.when(F.col("_k1").isNull(), F.col(text_col)).otherwise(
-        F.array_join(kept, ""))).select(*docs.columns)
+    return rows.withColumn(body, F.when(F.col("_k1").isNull(), F.col(body)).otherwise(
+        F.array_join(kept, ""))).select(*names).toDF(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Exact deduplication by Grace hashing (operator 6).
 
 Every scan task first folds its own copies (a hot text leaves a task as a few
-rows, whatever its number of copies). The distinct texts are then divided by
+rows, whatever its number of copies). Texts that still have many folded rows are
+combined a few rows at a time, level by level, each step comparing complete contents, so that
+no task gets all rows of a text. The distinct texts are then divided by
 hash into buckets; buckets whose texts would not fit an in-memory table are
 written to spill files in the shared folder and divided again by another hash,
 until every bucket fits. A bucket is resolved by an open-addressing table that
@@ -27,6 +29,8 @@ from . import common
 
 #: Ids that one folded row holds; a text with more copies in a task gets several rows.
 IDS_PER_ROW = 4096
+#: Folded rows of one hash from which on they are combined first, about half as many at a time.
+CROWDED = 16
 
 
 class ContentTable:
@@ -154,6 +158,64 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+COMBINED = "row long, h long, text string, n long, max_id long, members array<long>"
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by (h, part); rows of equal content in a part become the one with the largest id."""
+    group, table, held = None, ContentTable(), []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([g[0] for g in held], pa.int64()), pa.array(table.hash, pa.int64()),
+            pa.array(table.content, pa.binary()).cast(pa.string()), pa.array([g[1] for g in held], pa.int64()),
+            pa.array([g[2] for g in held], pa.int64()), pa.array([g[3] for g in held], pa.list_(pa.int64()))],
+            ["row", "h", "text", "n", "max_id", "members"])
+
+    for b in batches:
+        off, data = common.text_bytes(b.column("text"))
+        view = memoryview(data)
+        cols = (b.column(c).to_pylist() for c in ("h", "part", "row", "n", "max_id"))
+        for i, (h, part, row, n, top) in enumerate(zip(*cols)):
+            if (h, part) != group:
+                if held:
+                    yield out()
+                group, table, held = (h, part), ContentTable(8), []
+            e = table.find(h, bytes(view[off[i]:off[i + 1]]))
+            if e == len(held):
+                held.append([row, n, top, [row]])
+                continue
+            g = held[e]
+            new = _above(g[2], top)
+            if new != g[2] or (new == top and row < g[0]):
+                g[0] = row
+            g[1], g[2] = g[1] + n, new
+            g[3].append(row)
+    if held:
+        yield out()
+
+
+def _thinned(folded: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``row, h, text, n, max_id`` with at most :data:`CROWDED` rows of a text (and as many of each other text of its
+    hash), and per level which row (``member``) went into which (``into``)."""
+    rows, links = folded.select("row", "h", "text", "n", "max_id"), []
+    while True:
+        level = len(links)
+        crowd = common.stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWDED), f"op6-crowd{level}")
+        if not crowd.take(1):
+            return rows, links
+        hot = rows.join(crowd, "h")
+        part = F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("rows") * 2 / F.lit(CROWDED)))
+        some = common.stage(hot.withColumn("part", part).select("h", "part", "row", "n", "max_id", "text")
+                            .repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_combine, COMBINED), f"op6-combined{level}")
+        gone = common.stage(some.select(F.col("row").alias("into"), F.explode("members").alias("member")).where("member <> into"),
+                            f"op6-links{level}")
+        links.append(gone)
+        rows = rows.join(crowd, "h", "left_anti").unionByName(some.drop("members"))
+        if not gone.take(1):     # many texts of one hash, none of them twice in a part
+            return rows, links
+
+
 def dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None = None, table_bytes: int = 32 << 20,
           fan_out: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
@@ -168,10 +230,11 @@ def dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None = None,
                        F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
     folded = common.stage(rows.mapInArrow(_fold(table_bytes), FOLDED), "op6-folded")
     # What each bucket would hold: every text once.
-    texts = folded.groupBy("h").agg(F.max(F.octet_length("text")).alias("size"))
+    thin, links = _thinned(folded)
+    texts = thin.groupBy("h").agg(F.max(F.octet_length("text")).alias("size"))
     total = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // table_bytes))
-    open_, level, done = folded, 0, None
+    open_, level, done = thin, 0, None
     while True:
         bucket = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(n)) if level == 0 else F.concat_ws(
             "/", "bucket", F.pmod(F.xxhash64("h", F.lit(level)), F.lit(fan_out)).cast("string"))
@@ -190,6 +253,9 @@ def dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None = None,
             break
         open_ = common.stage(open_.join(over, "bucket", "left_semi"), f"op6-spill{level}")
         level += 1
+    for gone in reversed(links):
+        done = done.unionByName(gone.join(done, gone["into"] == done["row"]).select(
+            F.col("member").alias("row"), "keep_id", "group_size", "keep_row"))
     out = folded.select("row", "sha", "ids").join(done, "row")
     first = F.when(F.col("keep_id").isNull(), 1).otherwise(F.array_position("ids", F.col("keep_id")))
     return (out.withColumn("at", F.when(F.col("row") == F.col("keep_row"), first).otherwise(0))

@@ -9,8 +9,8 @@ compared a few at a time, and it is dropped as soon as the posterior probability
 tolerance. Survivors are verified exactly on their shingle sets.
 
 Work goes in units of bounded size: a band's bucket of many classes is cut into
-chunks, and each pair of chunks is a unit of its own, so no bucket is one task's
-and none is capped. Pairs live inside a unit (packed, a row per unit); what
+chunks of bounded classes and bytes, and each pair of chunks is a unit of its own, so no bucket is one task's
+and none is capped. Very long texts are cut into words a slice at a time and take a chunk each. Pairs live inside a unit (packed, a row per unit); what
 leaves it is a row per class: its links and a local root. A pair is taken only in
 the first band it agrees in, so every link counts once. Roots are merged by
 contracting the graph until no edge is left.
@@ -41,6 +41,8 @@ BANDS, ROWS = 24, 4                      # a pair at 0.8 misses all bands with p
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 8, 1e-5                # values compared at a time; least posterior
 CHUNK = 1024                             # classes of a bucket that meet in one unit, per side
+MOST_CHUNK = 1 << 14                     # two of them are told by 16 bits, also when one came out above its mean
+UNIT_BYTES = 64 << 20                    # bytes of text of a unit, per side (a longer text is a side of its own)
 
 _A = common.mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = common.mix64(_A + np.uint64(99))
@@ -82,7 +84,7 @@ def shingles(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, a 128-bit key of the word sequence, and the signature of every text."""
+    """Words, bytes, a 128-bit key of the word sequence, and the signature of every text."""
     for b in batches:
         off, data = common.text_bytes(b.column("text"))
         m = len(b)
@@ -105,8 +107,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h in range(HASHES):
                 sig[i + some, h] = np.minimum.reduceat(((g * _A[h] + _B[h]) >> np.uint64(32)).astype(np.uint32), at)
         yield pa.RecordBatch.from_arrays(
-            [b.column("row"), b.column("doc_id"), pa.array(words), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-             pa.array([s.tobytes() for s in sig], pa.binary())], ["row", "doc_id", "words", "k1", "k2", "sig"])
+            [b.column("row"), b.column("doc_id"), pa.array(words), pa.array(np.diff(off)), pa.array(k1.view(np.int64)),
+             pa.array(k2.view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())],
+            ["row", "doc_id", "words", "bytes", "k1", "k2", "sig"])
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -126,8 +129,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         k = band_keys(_signatures(b.column("sig")))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.asarray(b.column("row")), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(k))),
-             pa.array(k.ravel().view(np.int64))], ["row", "band", "key"])
+            [pa.array(np.repeat(np.asarray(b.column("row")), BANDS)), pa.array(np.repeat(np.asarray(b.column("bytes")), BANDS)),
+             pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(k))), pa.array(k.ravel().view(np.int64))],
+            ["row", "bytes", "band", "key"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -303,28 +307,33 @@ def components(edges: DataFrame, label: str = "op1") -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a row number (as written), and the result per row.
+    """``docs`` with a row number, its columns named ``c0``, ``c1``, ... (as written), and the result per row.
 
     Result: ``row, doc_id, class_id, copy_id, n_links, kept``. ``copy_id`` is the least id
     with the same words, ``class_id`` the least id reached over links, ``n_links``
     the number of other documents that are copies of this or link to it directly, ``kept``
     true for one row of each class.
     """
-    base = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "op1-base")
+    if not 0 < chunk <= MOST_CHUNK:
+        raise ValueError(f"a unit of two chunks is told by 16 bits: chunk is 1 to {MOST_CHUNK}")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_col, text_col = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    base = common.stage(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "op1-base")
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = common.stage(
-        base.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        .mapInArrow(_measure, "row long, doc_id long, words long, k1 long, k2 long, sig binary"), "op1-signatures")
+        base.select("row", F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+        .mapInArrow(_measure, "row long, doc_id long, words long, bytes long, k1 long, k2 long, sig binary"), "op1-signatures")
     some = narrow.where("words > 0")
     # Null ids sort last: the flag comes first.
     name = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     classes = common.stage(some.groupBy("words", "k1", "k2").agg(F.min(name).alias("rep"), F.count(F.lit(1)).alias("size"))
                            .select("words", "k1", "k2", "rep", F.col("rep.row").alias("row"), "size"), "op1-classes")
-    reps = narrow.select("row", "sig").join(classes.select("row", "size"), "row")
-    bands = reps.select("row", "sig").mapInArrow(_bands, "row long, band int, key long")
+    reps = narrow.select("row", "bytes", "sig").join(classes.select("row", "size"), "row")
+    bands = reps.select("row", "bytes", "sig").mapInArrow(_bands, "row long, bytes long, band int, key long")
     bands = common.stage(bands, "op1-bands")
-    buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    k = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
+    buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("load")).where("n > 1")
+    # A bucket is cut by classes and by bytes, whichever gives more chunks.
+    k = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / F.lit(chunk)), F.ceil(F.col("load") / F.lit(UNIT_BYTES)))).cast("int")
     units = (bands.join(buckets, ["band", "key"]).withColumn("k", k)
              .withColumn("side", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -334,7 +343,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk:
            .select(*unit_key, "side", "row", "sig"))
     pairs = common.stage(met.mapInArrow(_candidates, "unit long, rows array<long>, pairs binary"), "op1-pairs")
     members = (pairs.select("unit", F.explode("rows").alias("row")).join(classes.select("row", "size"), "row")
-               .join(base.select(F.col("_row").alias("row"), text.alias("text")), "row"))
+               .join(base.select("row", text.alias("text")), "row"))
     none = F.lit(None)
     work = (pairs.select("unit", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("size"),
                          none.cast("string").alias("text"), "rows", "pairs")
@@ -361,8 +370,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, all columns as they were."""
     base, result = join(docs, **options)
-    drop = result.where("not kept").select(F.col("row").alias("_row"))
-    return base.join(drop, "_row", "left_anti").select(*docs.columns)
+    gone = result.where("not kept").select("row")
+    return base.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

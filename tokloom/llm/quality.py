@@ -7,7 +7,7 @@ posterior from the difference of the two log densities, whose Mahalanobis terms
 come from the cached factors.
 
 Defined results: null and empty texts have the statistics of no characters and
-are scored like any other; a table without labels scores 0.5 everywhere, one
+are scored like any other; a row with a null id is scored and is not held out; a table without labels scores 0.5 everywhere, one
 with a single class scores that class; rows that repeat get a row each; labels
 outside 0 and 1 are ignored; extra columns pass through :func:`score`, which
 replaces a column of the score's name.
@@ -195,5 +195,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pandas as pd
         return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
-    out = measured.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), posterior("x").alias("score"))
+    out = measured.select("doc_id", common.held("doc_id", 5, 0).alias("held_out"), posterior("x").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -11,7 +11,7 @@ Spark conditional expression (:func:`decision`), which judges all rows in the JV
 Defined results: null, empty and blank texts have no words and fail the base
 rules; without labels of both classes the list is empty and every text that passes
 the base rules is kept; labels outside 0 and 1 are ignored; texts of any length are
-counted whole; rows that repeat, also with null ids, get a row each; an empty table gives no rows.
+counted whole; rows that repeat get a row each; a null id is in no held-out fold; an empty table gives no rows.
 Columns beyond id and text are ignored by :func:`measure` and kept as they are by :func:`keep`.
 """
 
@@ -296,4 +296,4 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     return judge(measured, fit(measured, labels)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule",
-        (common.fold("doc_id", 5) == 0).alias("held_out"))
+        common.held("doc_id", 5, 0).alias("held_out"))

@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 9).
 
 Words are read by a lexical transducer: insults (patterns with weights, learned
-from labelled rows), threats, targets, negations and verbs of reported speech.
+from labelled rows), threats (stems with the endings of their verbs), targets, negations (also contracted ones, and not those
+that affirm, as in "no doubt") and verbs of reported speech.
 Three small transducers over these tags (negation scope, reported speech,
 target) are composed into one table, which reads each clause that holds a
 matched word and gives it a weight. A threat counts when a target stands within
@@ -9,7 +10,7 @@ reach on either side: the target transducer also reads the clause from its end.
 A document's evidence is the sum over its clauses, and a logistic curve fitted on the labelled sample turns it into a
 score.
 
-Defined results: null, empty and wordless texts have no evidence; a table
+Defined results: null, empty and wordless texts have no evidence; a null id is in no held-out fold; a table
 without labels falls back to the seed patterns and a fixed curve; rows that
 repeat get a row each; labels outside 0 and 1 are ignored; extra columns pass
 through :func:`score`, which replaces a column of the score's name.
@@ -30,9 +31,19 @@ from . import common
 
 # Fixed word lists of the grammar (English, German, French, Spanish).
 SEED_INSULTS = "idiot moron scum loser imbecile dumbass bastard vermin arschloch dummkopf connard salaud pendejo gilipollas"
-THREATS = "kill murder hurt destroy stab strangle töten umbringen tuer détruire matar destruir"
+#: Threats are stems with the endings of their verbs; the lexicon holds every form.
+THREAT_FORMS = (
+    ("kill murder hurt destroy slaughter beat shoot crush stab", "s ed ing en"), ("strangl", "e es ed ing"), ("stabb", "ed ing"),
+    ("töt ermord", "e en est et ete eten"), ("umbring erschlag verprügel erschieß", "e en st t"),
+    ("tue frappe étrangle massacre", "s r z nt ra rai ras rons ront"), ("détrui", "re s t sent sez sons ra rai ras rons"),
+    ("mat golpe asesin estrangul", "a as ar an o amos ando aré ará arás aremos é ó"), ("destru", "ir yo ye yes yen iré irá irás iremos"),
+)
+#: Stems that are words by themselves.
+BARE_THREATS = "kill murder hurt destroy slaughter beat shoot crush stab tue frappe étrangle massacre"
 TARGETS = "you your yourself he she they him her them du dich ihr euch sie tu toi vous ils elles tú usted ustedes ellos"
-NEGATIONS = "not never no n't nicht nie kein keine ne pas jamais nunca tampoco"
+NEGATIONS = "not never no nicht nie kein keine ne pas jamais nunca tampoco"
+#: What follows a negation word that then negates nothing ("no doubt", "nicht nur").
+AFFIRMING = "doubt question wonder only just merely nur seulement solo sólo"
 REPORTS = "said says claimed reported wrote quoted called sagte schrieb behauptete dit écrit dijo escribió"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -95,6 +106,26 @@ def target_scope() -> Transducer:
     return t
 
 
+def threat_words() -> str:
+    """Every form of every threat."""
+    return " ".join([BARE_THREATS, *(stem + end for stems, ends in THREAT_FORMS for stem in stems.split() for end in ends.split())])
+
+
+def contracted_negation(w: common.Words) -> np.ndarray:
+    """Words that are the end of a contraction like ``don't``: a "t" right after an apostrophe that a word in "n" stands
+    before (the plain apostrophe cuts words), or a word that ends in n, the curled apostrophe and t."""
+    out = np.zeros(len(w.start), bool)
+    if not len(w.start):
+        return out
+    size, buf = w.end - w.start, w.buf
+    t = np.flatnonzero((size == 1) & (buf[w.start] == 0x74) & (w.start - w.offsets[w.doc] >= 2))
+    out[t] = (buf[w.start[t] - 1] == 0x27) & (buf[w.start[t] - 2] == 0x6E)
+    long_ = np.flatnonzero(size > 5)
+    tail = np.stack([buf[w.end[long_] - k] for k in range(5, 0, -1)], 1)
+    out[long_] = (tail == np.array([0x6E, 0xE2, 0x80, 0x99, 0x74], np.uint8)).all(1)
+    return out
+
+
 GRAMMAR = negation_scope().compose(reported_speech()).compose(target_scope())
 #: Read from a clause's end: which threats a target follows.
 AHEAD = target_scope()
@@ -134,7 +165,8 @@ class Model:
     b: float = 3.0
 
     def __post_init__(self) -> None:
-        tags = [(THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)]
+        threats = threat_words()
+        tags = [(threats, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)]
         h = np.concatenate([_hashes(w) for w, _ in tags])
         t = np.concatenate([np.full(len(_hashes(w)), g) for w, g in tags])
         o = np.argsort(h)
@@ -144,7 +176,8 @@ class Model:
             self.sieve[k] = np.zeros(1 << 16, bool)
             self.sieve[k][(hs & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.threat_sieve = np.zeros(1 << 16, bool)
-        self.threat_sieve[(_hashes(THREATS) & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.threat_sieve[(_hashes(threats) & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.affirming = np.sort(_hashes(AFFIRMING))
 
     def evidence(self, w: common.Words) -> np.ndarray:
         """Summed clause weights per document."""
@@ -168,18 +201,22 @@ class Model:
         clause = ends[w.start] + w.doc       # never the same in two documents or clauses that follow each other
         lo = np.searchsorted(clause, clause[marked], "left")
         hi = np.searchsorted(clause, clause[marked], "right")
+        contracted = contracted_negation(w)
         done = -1
         for i, j in zip(lo.tolist(), hi.tolist()):
             if i == done:
                 continue
             done = i
-            total[w.doc[i]] += self.clause(w.hash[i:j], weight[i:j])
+            total[w.doc[i]] += self.clause(w.hash[i:j], weight[i:j], contracted[i:j])
         return total
 
-    def clause(self, h: np.ndarray, weight: np.ndarray) -> float:
+    def clause(self, h: np.ndarray, weight: np.ndarray, contracted: np.ndarray) -> float:
         """The weight of one clause: runs the composed grammar over its tags."""
         at = np.minimum(np.searchsorted(self.tag_hash, h), len(self.tag_hash) - 1)
-        tags = np.where(weight > 0, INSULT, np.where(self.tag_hash[at] == h, self.tag[at], OTHER))
+        tags = np.where(self.tag_hash[at] == h, self.tag[at], OTHER)
+        affirms = np.append(np.isin(h[1:], self.affirming), False)
+        tags = np.where((tags == NEGATION) & affirms, OTHER, np.where(contracted, NEGATION, tags))
+        tags = np.where(weight > 0, INSULT, tags)
         tags = tags.tolist()
         followed = [False] * len(tags)
         if THREAT in tags:
@@ -253,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, min_share: fl
 
     A pattern (the start of a word, or a word) must occur in ``min_share`` of the
     sample's toxic texts, and ``purity`` of the texts that hold it must be toxic.
-    Of nested patterns the shortest is taken. ``per_class`` bounds the sample.
+    Where several patterns fit a word, the largest weight counts. ``per_class`` bounds the sample.
     """
     rows = _sample(docs, labels, per_class, folds, held, id_col, text_col)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -268,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, min_share: fl
         least = max(5.0, min_share * bad_n)
         share = F.col("bad") / bad_n
         chosen = counts.where((F.col("bad") >= least) & (share / (share + F.col("good") / good_n) >= purity))
-        # At most 1 / min_share patterns of a length can cover a word each of every toxic text, many more cannot.
+        # Bounded by the sample: each pattern stands in min_share of at most per_class texts.
         for r in chosen.collect():
             w = math.log(((r["bad"] + 0.5) / (bad_n + 1)) / ((r["good"] + 0.5) / (good_n + 1)))
             got[r["k"]][r["h"] & (2**64 - 1)] = w
@@ -321,5 +358,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from labels outside fold 0 of 5."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")))
-    out = score(docs, model).select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score")
+    out = score(docs, model).select("doc_id", common.held("doc_id", 5, 0).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
