@@ -45,6 +45,7 @@ WARMUP_START_FACTOR = 0.02      # linear warmup from 0.02*lr to lr
 COSINE_END_FACTOR = 0.1         # cosine decay from lr to 0.1*lr
 EMA_DECAY = 0.9                 # running loss: 0.9*old + 0.1*new
 PERPLEXITY_CLAMP = 20.0         # exp(min(loss, 20)) in the progress line
+EVAL_SEED = 7                   # every evaluation draws the same batches
 TRAIN_SEED = 1337               # window sampling seed is 1337 + start step
 DRAW_EPSILON = 1e-10            # added to probabilities before the draw
 FFN_MULTIPLE = 64               # feed-forward width rounded up to this

@@ -72,6 +72,61 @@ def run_summary(log: DataFrame) -> DataFrame:
         F.round(drop, 9).alias("loss_drop_per_sec"))
 
 
+def resumed_log_from_events(spark: SparkSession, sf_dir: str, fall_back: int = 2) -> DataFrame:
+    """The run log as its writer leaves it when runs are resumed: ``run_id, seq, step, train, val, elapsed``.
+
+    An ``error`` event ends a session. The next one goes on ``fall_back`` evaluations before
+    it, so steps are logged again, and its ``elapsed`` starts anew.
+    """
+    log = run_log_from_events(spark, sf_dir)
+    log = log.withColumn("_end", F.when(F.col("event_type") == "error", 1).otherwise(0).cast("bigint"))
+    log = running_agg(log, ["run_id"], ["k"], "_end", "_session")
+    first = log.groupBy("run_id", "_session").agg(F.min("elapsed").alias("_t0"))
+    log = join_small(log, first, ["run_id", "_session"])
+    step = 10 * F.greatest(F.col("k") - fall_back * F.col("_session"), F.lit(1))
+    return log.select("run_id", F.col("k").alias("seq"), step.cast("bigint").alias("step"), "train", "val",
+                      (F.col("elapsed") - F.col("_t0")).alias("elapsed"))
+
+
+def continued(log: DataFrame) -> DataFrame:
+    """A log of resumed runs (``run_id, seq, step, train, val, elapsed`` in append order) as one session a run.
+
+    A session starts where ``elapsed`` falls. Adds ``session`` (from 0) and makes ``elapsed`` go on
+    over sessions: every earlier session counts to its last row, also where its steps
+    were logged again later. Of a step logged more than once the last row counts (``k``
+    numbers these in order of their step); ``n_logged`` is how often it was logged.
+    Positions and sums over a run are prefix sums of range partitions, so one run may be of any length.
+    """
+    rows = rank_within(log, ["run_id"], ["seq"], "k")
+    p = with_previous(rows, ("elapsed",))
+    falls = F.coalesce(F.col("elapsed") < F.col("prev_elapsed"), F.lit(False))
+    p = p.withColumn("_new", F.when(falls, 1).otherwise(0).cast("bigint")).withColumn(
+        "_over", F.when(falls, F.col("prev_elapsed")).otherwise(0.0)).drop("k")
+    p = running_agg(p, ["run_id"], ["seq"], "_new", "session", inclusive=True)
+    p = running_agg(p, ["run_id"], ["seq"], "_over", "_shift", inclusive=True)
+    p = p.withColumn("elapsed", F.col("elapsed") + F.col("_shift"))
+    last = F.max_by(F.struct("seq", "session", "train", "val", "elapsed"), "seq")
+    one = p.groupBy("run_id", "step").agg(last.alias("_r"), F.count(F.lit(1)).alias("n_logged"))
+    return rank_within(one.select("run_id", "step", "_r.*", "n_logged"), ["run_id"], ["step"], "k")
+
+
+def resumed_summary(log: DataFrame) -> DataFrame:
+    """Per run of a log with resumes: sessions, rows logged and rows that count, best value and its step, the best
+    value as a writer sees it that forgets it at each resume (``best_of_last``), wall clock over all sessions and loss drop per second."""
+    c = continued(log)
+    whole = c.groupBy("run_id").agg(
+        (F.max("session") + 1).alias("n_sessions"), F.sum("n_logged").alias("n_logged"), F.count(F.lit(1)).alias("n_steps"),
+        F.min("val").alias("best_val"), F.min(F.when(F.col("val").isNotNull(), F.struct("val", "step")))["step"].alias("best_step"),
+        F.min_by("val", "step").alias("first_val"), F.max("elapsed").alias("wall"), F.max("session").alias("_last"))
+    last = join_small(c, whole.select("run_id", "_last"), "run_id").where(F.col("session") == F.col("_last"))
+    best = last.groupBy("run_id").agg(F.min("val").alias("best_of_last"))
+    out = join_small(whole, best, "run_id", "left")
+    drop = F.when(F.col("wall") > 0, (F.col("first_val") - F.col("best_val")) / F.col("wall"))
+    return out.select("run_id", "n_sessions", "n_logged", "n_steps", "best_step", F.round("best_val", 6).alias("best_val"),
+                      F.round("best_of_last", 6).alias("best_of_last"), F.round("wall", 3).alias("wall"),
+                      F.round(drop, 9).alias("loss_drop_per_sec"))
+
+
 def affine_scan(rows: DataFrame, group: str, k: str, a: str, b: str, out: str, block: int = 256) -> DataFrame:
     """Add ``out``: ``y(k) = a(k) * y(k-1) + b(k)`` along ``k`` = 1, 2, ... of each group, y(0) = 0.
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as Ty
 from ..functions import text as T
 from ..functions.constants import CONFIGS, CONTEXT_TOKENS, ROPE_BASE_DEFAULT
 from ..functions.numeric import embed_params, model_params
+from ..session import staged
 
 CONFIG_SCHEMA = Ty.StructType([
     Ty.StructField("name", Ty.StringType()),
@@ -97,6 +98,33 @@ def words_per_context(text_tokens: DataFrame, text_col: str = "text",
         / F.greatest(F.col("n_tokens"), F.lit(1)))
 
 
+def neighbour_counts(tokens: DataFrame) -> DataFrame:
+    """``vocab, split, prv, nxt, c``: every id with the one before it, counted; ``prv`` is null for a document's first.
+
+    Ids are exploded once: counts of single ids are sums of these.
+    """
+    n = F.greatest(F.size("ids") - 1, F.lit(0))
+    pairs = F.zip_with(F.concat(F.array(F.lit(None).cast("int")), F.slice("ids", F.lit(1), n)), F.col("ids"),
+                       lambda a, b: F.struct(a.alias("prv"), b.alias("nxt")))
+    return (tokens.where(F.size("ids") > 0).select("vocab", "split", F.explode(pairs).alias("p"))
+            .groupBy("vocab", "split", "p.prv", "p.nxt").agg(F.count(F.lit(1)).alias("c")))
+
+
+def batch_losses(windows: DataFrame, counts: DataFrame, vocab: int) -> DataFrame:
+    """``step, n_tokens, mean_loss``: evaluation batches (``step, x, y`` of :func:`~tokloom.operators.windows.sample_windows`) under
+    the add-one count model of :func:`ngram_loss`; ``counts``: the training ``prv, nxt, c`` of the vocabulary.
+
+    Equal pairs of a batch are summed before they meet their counts. Fixed seeds give the same batches, so evaluations compare.
+    """
+    pairs = (windows.select("step", F.explode(F.arrays_zip("x", "y")).alias("p"))
+             .groupBy("step", F.col("p.x").alias("prv"), F.col("p.y").alias("nxt")).agg(F.count(F.lit(1)).alias("m")))
+    bi = counts.where(F.col("prv").isNotNull())
+    ctx = bi.groupBy("prv").agg(F.sum("c").alias("c1"))
+    scored = pairs.join(bi.select("prv", "nxt", "c"), ["prv", "nxt"], "left").join(ctx, "prv", "left").withColumn(
+        "nll", -F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + F.lit(float(vocab)))))
+    return scored.groupBy("step").agg(F.sum("m").alias("n_tokens"), (F.sum(F.col("nll") * F.col("m")) / F.sum("m")).alias("mean_loss"))
+
+
 def ngram_loss(tokens: DataFrame, vocab_size_col: str = "vocab") -> DataFrame:
     """Held-out loss of add-one unigram and bigram count models (a stand-in for a
     trained network): ``vocab, unigram_loss, bigram_loss, n_val``.
@@ -106,13 +134,9 @@ def ngram_loss(tokens: DataFrame, vocab_size_col: str = "vocab") -> DataFrame:
     frequent id is one row, and the loss is their weighted mean.
     """
     V = F.col(vocab_size_col).cast("double")
-    uni = (tokens.select("vocab", "split", F.explode("ids").alias("id"))
-           .groupBy("vocab", "split", "id").agg(F.count(F.lit(1)).alias("c")))
-    n = F.greatest(F.size("ids") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("ids", F.lit(1), n), F.slice("ids", F.lit(2), n),
-                       lambda a, b: F.struct(a.alias("prv"), b.alias("nxt")))
-    bi = (tokens.select("vocab", "split", F.explode(pairs).alias("p"))
-          .groupBy("vocab", "split", "p.prv", "p.nxt").agg(F.count(F.lit(1)).alias("c")))
+    both = staged(neighbour_counts(tokens), "neighbours")
+    uni = both.groupBy("vocab", "split", F.col("nxt").alias("id")).agg(F.sum("c").alias("c"))
+    bi = both.where(F.col("prv").isNotNull())
 
     def part(df, split, name):
         return df.where(F.col("split") == split).drop("split").withColumnRenamed("c", name)

@@ -65,7 +65,18 @@ def q_loss_fit_curve(spark, sf_dir):
                     F.round("y", 6).alias("y"))
 
 
+def q_resumed_summary(spark, sf_dir):
+    return R.resumed_summary(R.resumed_log_from_events(spark, sf_dir))
+
+
+def q_resumed_throughput(spark, sf_dir):
+    """Rates and remaining time over all sessions of resumed runs."""
+    return R.run_throughput(R.continued(R.resumed_log_from_events(spark, sf_dir)))
+
+
 QUERIES = {
+    "resumed_summary": q_resumed_summary,
+    "resumed_throughput": q_resumed_throughput,
     "run_summary": q_run_summary,
     "loss_ema": q_loss_ema,
     "best_so_far": q_best_so_far,
@@ -94,6 +105,19 @@ pv AS (
   FROM lg WINDOW w AS (PARTITION BY run_id ORDER BY k))"""
 
 
+RESUMED_CTE = LOG_CTE + """,
+s0 AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY k
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM lg),
+raw AS (SELECT run_id, k AS seq, 10 * greatest(k - 2 * coalesce(ended, 0), 1) AS step, train, val,
+               elapsed - min(elapsed) OVER (PARTITION BY run_id, coalesce(ended, 0)) AS elapsed FROM s0),
+fl AS (SELECT *, lag(elapsed) OVER (PARTITION BY run_id ORDER BY seq) AS was FROM raw),
+ss AS (SELECT *, sum(CASE WHEN elapsed < was THEN 1 ELSE 0 END) OVER w AS session,
+              elapsed + sum(CASE WHEN elapsed < was THEN was ELSE 0 END) OVER w AS wall
+       FROM fl WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+ct AS (SELECT *, count(*) OVER (PARTITION BY run_id, step) AS n_logged FROM ss
+       QUALIFY row_number() OVER (PARTITION BY run_id, step ORDER BY seq DESC) = 1)"""
+
+
 def _lr(step: str, lr: float, warmup: int, max_steps: str) -> str:
     init, end = f"({lr} * 0.02)", f"({lr} * 0.1)"
     return (f"(CASE WHEN {step} < {warmup} THEN {init} + ({lr} - {init}) * least({step}, {warmup}) / {warmup} "
@@ -102,6 +126,22 @@ def _lr(step: str, lr: float, warmup: int, max_steps: str) -> str:
 
 
 ORACLE = {
+    "resumed_summary": f"""
+WITH {RESUMED_CTE},
+ls AS (SELECT run_id, max(session) AS last FROM ct GROUP BY run_id)
+SELECT ct.run_id, CAST(max(session) + 1 AS BIGINT) AS n_sessions, CAST(sum(n_logged) AS BIGINT) AS n_logged, count(*) AS n_steps,
+       (min(struct_pack(v := val, s := step)) FILTER (WHERE val IS NOT NULL)).s AS best_step, round(min(val), 6) AS best_val,
+       round(min(val) FILTER (WHERE session = last), 6) AS best_of_last, round(max(wall), 3) AS wall,
+       round(CASE WHEN max(wall) > 0 THEN (arg_min(val, step) - min(val)) / max(wall) END, 9) AS loss_drop_per_sec
+FROM ct JOIN ls ON ls.run_id IS NOT DISTINCT FROM ct.run_id GROUP BY ct.run_id""",
+    "resumed_throughput": f"""
+WITH {RESUMED_CTE},
+q AS (SELECT run_id, step, wall, lag(step) OVER w AS ps, lag(wall) OVER w AS pw,
+             min(step) OVER (PARTITION BY run_id) AS s0, max(step) OVER (PARTITION BY run_id) AS s1
+      FROM ct WINDOW w AS (PARTITION BY run_id ORDER BY step))
+SELECT run_id, step, round(CASE WHEN wall - pw > 0 THEN (step - ps) / (wall - pw) END, 6) AS rate,
+       round(CASE WHEN wall > 0 THEN (step - s0) / wall END, 6) AS cum_rate,
+       round(CASE WHEN wall > 0 AND step > s0 THEN (s1 - step) / ((step - s0) / wall) END, 3) AS eta_sec FROM q""",
     "run_summary": f"""
 WITH {LOG_CTE}
 SELECT run_id, count(*) AS n_evals, min(step) AS first_step, max(step) AS last_step,

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import text as T
-from ..functions.constants import COMPOUNDS, CONFIGS, PIECE_PATTERN, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS, TRAIN_SEED
+from ..functions.constants import COMPOUNDS, CONFIGS, PIECE_PATTERN, EVAL_SEED, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS, TRAIN_SEED
 from ..operators import encode as E
 from ..operators import study as ST
 from ..operators.bpe import merges_from_df, train_bpe
 from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
 from ..operators.windows import conversation_context
+from ..session import staged
 from ..sources import sinks, stages
 from ..sources.tables import read_shards, read_table, spread
 from ..sources.tokenstore import TokenStore, write_store
@@ -32,6 +33,7 @@ QUERY_VOCABS = [289, 321, 385, 513]
 # --- fixed values: the vocabulary sizes of the reference's study ---
 STUDY_VOCABS = [4096, 8192, 16384, 32768]
 WINDOW_BLOCK, WINDOW_BATCH, WINDOW_STEPS = 64, 8, 4
+EVAL_BATCHES = 10
 CONTEXT_PIECES = 256
 
 
@@ -259,6 +261,17 @@ def q_ngram_loss(spark, sf_dir):
     return n.select("vocab", F.round("val_loss", 9).alias("val_loss"), F.round("unigram_loss", 9).alias("unigram_loss"), "n_val")
 
 
+def q_eval_batches(spark, sf_dir):
+    """Evaluation as the training loop does it: fixed batches of the held-out stream, drawn by seed, and the
+    mean loss of each under the count model of the training stream; the row without a step is the mean of the batches."""
+    store, vocab = token_store(spark, sf_dir), QUERY_VOCABS[-1]
+    counts = staged(ST.neighbour_counts(store.tokens(vocab, "train")), "train-neighbours")
+    w = store.windows(vocab, "val", EVAL_BATCHES, WINDOW_BATCH, WINDOW_BLOCK, seed=EVAL_SEED)
+    losses = staged(ST.batch_losses(w, counts, vocab), "eval-losses")
+    whole = losses.agg(F.lit(None).cast("long").alias("step"), F.sum("n_tokens").alias("n_tokens"), F.avg("mean_loss").alias("mean_loss"))
+    return losses.unionByName(whole).select("step", "n_tokens", F.round("mean_loss", 9).alias("mean_loss"))
+
+
 def q_heldout_loss(spark, sf_dir):
     """Mean cross entropy of the score vectors by their target."""
     e = ST.heldout_loss(read_table(spark, sf_dir, "embeddings"), "embedding", "label")
@@ -281,6 +294,7 @@ QUERIES = {
     "val_windows": q_val_windows,
     "fertility": q_fertility,
     "heldout_loss": q_heldout_loss,
+    "eval_batches": q_eval_batches,
     "vocab_stats": q_vocab_stats,
     "vocab_study": q_vocab_study,
     "run_budget": q_run_budget,
@@ -407,15 +421,19 @@ study AS (
   WHERE bl2.vocab = tt.vocab AND c.vocab = tt.vocab AND s.vocab = tt.vocab)"""
 
 
-def windows_sql(split: str) -> str:
+def windows_cte(split: str, steps: int = WINDOW_STEPS, seed: int = TRAIN_SEED) -> str:
     """The stream of one split as a list of ids; starts from the md5 uniforms."""
     return IDS_CTE + f""",
 sl AS (SELECT list(id ORDER BY start_byte, pos, i) AS a, count(*) AS n FROM ids WHERE vocab = {QUERY_VOCABS[-1]} AND split = '{split}'),
 lo AS (SELECT CASE WHEN '{split}' = 'train' THEN 0 ELSE (SELECT count(*) FROM ids WHERE vocab = {QUERY_VOCABS[-1]} AND split = 'train') END AS at0),
 wn AS (SELECT CAST(k // {WINDOW_BATCH} AS BIGINT) AS step, CAST(k % {WINDOW_BATCH} AS BIGINT) AS slot
-       FROM (SELECT unnest(range({WINDOW_STEPS * WINDOW_BATCH})) AS k)),
-wu AS (SELECT step, slot, CAST(floor(CAST(CAST('0x' || substr(md5({TRAIN_SEED} || '|' || step || '|' || slot), 1, 13) AS BIGINT) AS DOUBLE)
-              / 4503599627370496.0 * (n - {WINDOW_BLOCK})) AS BIGINT) AS off FROM wn, sl)
+       FROM (SELECT unnest(range({steps * WINDOW_BATCH})) AS k)),
+wu AS (SELECT step, slot, CAST(floor(CAST(CAST('0x' || substr(md5({seed} || '|' || step || '|' || slot), 1, 13) AS BIGINT) AS DOUBLE)
+              / 4503599627370496.0 * (n - {WINDOW_BLOCK})) AS BIGINT) AS off FROM wn, sl)"""
+
+
+def windows_sql(split: str) -> str:
+    return windows_cte(split) + f"""
 SELECT step, slot, CAST(at0 + off AS BIGINT) AS start_pos, {WINDOW_BLOCK} AS n_x,
        array_to_string(a[off + 1 : off + {WINDOW_BLOCK}], ',') AS x, array_to_string(a[off + 2 : off + {WINDOW_BLOCK} + 1], ',') AS y
 FROM wu, sl, lo"""
@@ -455,6 +473,14 @@ FROM ul JOIN bl2 USING (vocab)""",
     "study_winners": STUDY_CTE + """
 SELECT arg_min(vocab, val_loss) AS best_by_loss, arg_min(vocab, bits_per_byte) AS best_by_bits,
        arg_min(vocab, val_loss) <> arg_min(vocab, bits_per_byte) AS disagree FROM study""",
+    "eval_batches": windows_cte("val", EVAL_BATCHES, EVAL_SEED) + f""",
+xy AS (SELECT step, unnest(a[off + 1 : off + {WINDOW_BLOCK}]) AS prv, unnest(a[off + 2 : off + {WINDOW_BLOCK} + 1]) AS nxt FROM wu, sl),
+lb AS (SELECT step, count(*) AS n_tokens,
+              avg(-ln((coalesce(t.c, 0) + 1) / (coalesce(cx.c, 0) + {QUERY_VOCABS[-1]}))) AS mean_loss
+       FROM xy LEFT JOIN bi t ON t.vocab = {QUERY_VOCABS[-1]} AND t.split = 'train' AND t.prv = xy.prv AND t.nxt = xy.nxt
+       LEFT JOIN cx ON cx.vocab = {QUERY_VOCABS[-1]} AND cx.prv = xy.prv GROUP BY step)
+SELECT step, n_tokens, round(mean_loss, 9) AS mean_loss FROM lb
+UNION ALL SELECT NULL, CAST(sum(n_tokens) AS BIGINT), round(avg(mean_loss), 9) FROM lb""",
     "train_windows": windows_sql("train"),
     "val_windows": windows_sql("val"),
     "run_budget": SEG_CTE + f"""
