@@ -9,6 +9,8 @@ order of the corpus. Ids may repeat or be null: rows are told by ``row`` alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,32 @@ def doc_offsets(keys_b: DataFrame, batches: DataFrame) -> DataFrame:
             .drop("_in_batch", "bytes_before"))
 
 
+def read_until(read: Callable[[list[int]], DataFrame], shards: list[int], target_bytes: int, batch_rows: int = BATCH_ROWS,
+               group: int = 1) -> tuple[DataFrame, list[int]]:
+    """The size cut-off without reading what comes after it: processed batches, and the shards that were read.
+
+    ``read(numbers)`` gives the rows of some shards. Shards are read in order, in groups that double in size
+    from ``group`` on, and the running total is carried from group to group; when it reaches the target, no further
+    group is read. So at most the last group is read in vain, and it is no larger than all before it (but for
+    the size of its shards). Batches are numbered inside their shard, so groups do not change them.
+    """
+    total, done, out, at = 0, [], None, 0
+    while at < len(shards) and (total < target_bytes or out is None):
+        some = shards[at:at + group]
+        labelled = staged(formatted(label_documents(in_order(read(some)))).drop("clean", "doc", "text")
+                          .withColumn("row", F.monotonically_increasing_id()), "group")
+        batches = batch_table(batch_numbers(key_table(labelled), batch_rows))
+        batches = staged(cutoff_batches(batches.withColumn("bytes_before", F.col("bytes_before") + F.lit(total)), target_bytes), "batches")
+        done += some
+        out = batches if out is None else out.unionByName(batches)
+        total += batches.agg(F.coalesce(F.sum("batch_bytes"), F.lit(0)).alias("b")).first()["b"]
+        at += len(some)
+        group *= 2
+    if out is None:
+        raise ValueError("no shards")
+    return out.where("processed").drop("processed"), done
+
+
 def split_column(offsets: DataFrame, val_fraction: float = VAL_FRACTION) -> DataFrame:
     """Positional split: documents starting before floor(total*(1-f)) are train.
 

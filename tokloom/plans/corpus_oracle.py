@@ -127,6 +127,10 @@ SELECT doc_id, shard, batch_id, n_bytes, start_byte FROM o""",
 WITH {batches_cte(target=QUERY_TARGET_BYTES)}
 SELECT shard, batch_id, n_rows, kept, batch_bytes, bytes_before, processed FROM b""",
 
+    "corpus_until": f"""
+WITH {batches_cte(target=QUERY_TARGET_BYTES)}
+SELECT shard, batch_id, n_rows, kept, batch_bytes, bytes_before FROM b WHERE processed""",
+
     "train_val_split": f"""
 WITH {split_cte(None)}
 SELECT doc_id, start_byte, n_bytes, split FROM sp""",

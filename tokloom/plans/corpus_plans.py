@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..sources import sinks, stages
 from ..sources.tables import dirty, read_shards
 
 # Parameters of the registered queries. Shards in the test tables hold 10 to
@@ -67,6 +68,22 @@ def q_corpus_cutoff(spark, sf_dir):
                     "processed")
 
 
+def shard_folders(spark, sf_dir) -> str:
+    """The dirtied shards as a folder each, stored."""
+    path = stages.stage_path(spark, "shards", stages.fingerprint(spark, sf_dir, "documents"))
+    if not stages.finished(spark, path):
+        sinks.write_shards(dirty_shards(spark, sf_dir), path)
+    return path
+
+
+def q_corpus_until(spark, sf_dir):
+    """Batches up to the size target, read shard group by shard group until it is reached."""
+    path = shard_folders(spark, sf_dir)
+    numbers = [r["shard"] for r in sinks.read_shard_folders(spark, path).select("shard").distinct().orderBy("shard").collect()]
+    batches, _ = C.read_until(lambda some: sinks.read_shard_folders(spark, path, some), numbers, QUERY_TARGET_BYTES, QUERY_BATCH_ROWS)
+    return batches.select("shard", "batch_id", "n_rows", "kept", "batch_bytes", "bytes_before")
+
+
 def q_train_val_split(spark, sf_dir):
     o = _built(spark, sf_dir)["offsets"]
     return o.select("doc_id", "start_byte", "n_bytes", "split")
@@ -85,6 +102,7 @@ QUERIES = {
     "shard_inventory": q_shard_inventory,
     "corpus_offsets": q_corpus_offsets,
     "corpus_cutoff": q_corpus_cutoff,
+    "corpus_until": q_corpus_until,
     "train_val_split": q_train_val_split,
     "corpus_docs": q_corpus_docs,
 }

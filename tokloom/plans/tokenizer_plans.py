@@ -22,6 +22,7 @@ from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, pi
 from ..operators.windows import conversation_context
 from ..session import staged
 from ..sources import sinks, stages
+from ..sources.corpustext import read_text, write_text
 from ..sources.tables import read_shards, read_table, spread
 from ..sources.tokenstore import TokenStore, write_store
 from .corpus_oracle import CLEAN, split_cte
@@ -90,6 +91,20 @@ def q_piece_counts(spark, sf_dir):
     return piece_counts(_raw_clean(spark, sf_dir), "text")
 
 
+STREAM_CHUNK = 1 << 16
+
+
+def q_stream_pieces(spark, sf_dir):
+    """Pieces of the corpus as one stream of text: stored as flat files, read in parts of 64 KB by many tasks."""
+    path = stages.stage_path(spark, "text", stages.fingerprint(spark, sf_dir, "documents"), QUERY_BATCH_ROWS)
+    if not stages.finished(spark, path):
+        write_text(prepared(spark, sf_dir), path)
+    parts = read_text(spark, path, STREAM_CHUNK)
+    # Only the stream's own beginning gets a prefix space.
+    cut = F.when(F.col("start_byte") == 0, T.pieces("text")).otherwise(T.pieces("text", add_prefix_space=False))
+    return parts.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def q_byte_histogram(spark, sf_dir):
     return byte_histogram(piece_counts(_raw_clean(spark, sf_dir), "text"))
 
@@ -282,6 +297,7 @@ def q_heldout_loss(spark, sf_dir):
 QUERIES = {
     "piece_counts": q_piece_counts,
     "byte_histogram": q_byte_histogram,
+    "stream_pieces": q_stream_pieces,
     "pair_counts": q_pair_counts,
     "context_window": q_context_window,
     "bpe_merges": q_bpe_merges,
@@ -447,6 +463,10 @@ ORACLE = {
     "piece_counts": f"WITH {PIECES_CTE} SELECT piece, cnt FROM pc",
 
     "bpe_merges": BPE_SQL,
+    "stream_pieces": f"""
+WITH {split_cte(None, dirtied=False)},
+tx AS (SELECT string_agg(doc, '' ORDER BY start_byte) AS doc FROM sp)
+SELECT piece, count(*) AS cnt FROM (SELECT unnest({pieces_sql('doc')}) AS piece FROM tx) GROUP BY piece""",
     "encode_docs": SEG_CTE + f"""
 , tk AS (SELECT doc_id, any_value(split) AS split, any_value(start_byte) AS start_byte, CAST(sum(k) AS BIGINT) AS n_tokens,
                 md5(string_agg(y, '' ORDER BY pos)) AS tokens_md5

@@ -42,6 +42,17 @@ def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> DataF
     return corpus.sparkSession.read.parquet(path)
 
 
+def write_shards(shards: DataFrame, path: str) -> None:
+    """Shard rows (``shard, doc_id, title, text, lang``), a folder per shard, so that a reader opens the shards it wants."""
+    shards.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shard_folders(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+    """Rows of some shards (or all) as :func:`write_shards` stored them; the other folders are not listed."""
+    reader = spark.read.option("basePath", path)
+    return reader.parquet(path) if shards is None else reader.parquet(*[f"{path}/shard={s}" for s in shards])
+
+
 def write_tokens(tokens: DataFrame, path: str) -> None:
     """Token tables partitioned by vocabulary and split (ids as ``array<int>``).
 
