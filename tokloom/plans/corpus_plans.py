@@ -71,9 +71,7 @@ def q_corpus_cutoff(spark, sf_dir):
 def shard_folders(spark, sf_dir) -> str:
     """The dirtied shards as a folder each, stored."""
     path = stages.stage_path(spark, "shards", stages.fingerprint(spark, sf_dir, "documents"))
-    if not stages.finished(spark, path):
-        sinks.write_shards(dirty_shards(spark, sf_dir), path)
-    return path
+    return stages.stored(spark, path, lambda p: sinks.write_shards(dirty_shards(spark, sf_dir), p))
 
 
 def q_corpus_until(spark, sf_dir):

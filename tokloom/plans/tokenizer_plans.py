@@ -41,17 +41,19 @@ CONTEXT_PIECES = 256
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prepared corpus of all documents, as stored."""
     path = stages.stage_path(spark, "corpus", stages.fingerprint(spark, sf_dir, "documents"), QUERY_BATCH_ROWS)
-    return stages.stored(spark, path, lambda p: sinks.write_corpus(
+    return stages.table(spark, path, lambda p: sinks.write_corpus(
         build_corpus(read_shards(spark, sf_dir), batch_rows=QUERY_BATCH_ROWS)["corpus"], p))
 
 
 def tokenizer(spark: SparkSession, sf_dir: str, vocab: int) -> tuple[list[E.Merge], DataFrame]:
     """Merge list and pieces of the tokenizer learned on the prepared corpus, loaded from where they are stored."""
     path = stages.stage_path(spark, "tokenizer", stages.fingerprint(spark, sf_dir, "documents"), vocab)
-    if not stages.finished(spark, f"{path}/types"):
+
+    def write(p: str) -> None:
         res = train_bpe(piece_counts(prepared(spark, sf_dir), "doc"), vocab)
-        sinks.write_tokenizer(res.merges, res.types, path)
-    merges, types = sinks.read_tokenizer(spark, path)
+        sinks.write_tokenizer(res.merges, res.types, p)
+
+    merges, types = sinks.read_tokenizer(spark, stages.stored(spark, path, write))
     return merges_from_df(merges), types
 
 
@@ -68,12 +70,14 @@ def merges_for(merges: list, vocab: int) -> list:
 def token_store(spark: SparkSession, sf_dir: str, vocabs: list[int] = QUERY_VOCABS) -> TokenStore:
     """The corpus encoded by some vocabularies, stored by position."""
     path = stages.stage_path(spark, "tokens", stages.fingerprint(spark, sf_dir, "documents"), vocabs)
-    if not stages.finished(spark, f"{path}/manifest"):
+
+    def write(p: str) -> None:
         corpus = prepared(spark, sf_dir).withColumn("n_doc_chars", F.length("doc").cast("bigint")).withColumn(
             "n_words", T.whitespace_words("doc"))
         merges, types = tokenizer(spark, sf_dir, vocabs[-1])
-        write_store(corpus, path, merges, vocabs, types)
-    return TokenStore(spark, path)
+        write_store(corpus, p, merges, vocabs, types)
+
+    return TokenStore(spark, stages.stored(spark, path, write))
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str, vocab: int | None = None, vocabs: list[int] = QUERY_VOCABS) -> DataFrame:
@@ -97,9 +101,7 @@ STREAM_CHUNK = 1 << 16
 def q_stream_pieces(spark, sf_dir):
     """Pieces of the corpus as one stream of text: stored as flat files, read in parts of 64 KB by many tasks."""
     path = stages.stage_path(spark, "text", stages.fingerprint(spark, sf_dir, "documents"), QUERY_BATCH_ROWS)
-    if not stages.finished(spark, path):
-        write_text(prepared(spark, sf_dir), path)
-    parts = read_text(spark, path, STREAM_CHUNK)
+    parts = read_text(spark, stages.stored(spark, path, lambda p: write_text(prepared(spark, sf_dir), p)), STREAM_CHUNK)
     # Only the stream's own beginning gets a prefix space.
     cut = F.when(F.col("start_byte") == 0, T.pieces("text")).otherwise(T.pieces("text", add_prefix_space=False))
     return parts.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))

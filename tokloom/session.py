@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -93,8 +94,28 @@ def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str =
     return big.join(small.withColumnsRenamed(keys), same, how).drop(*keys.values())
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below this application's part of the shared folder, which is removed when the application ends."""
+    own = os.path.join(ensure_checkpoint_dir(spark), "scratch", spark.sparkContext.applicationId)
+    if own not in _SWEPT:
+        _SWEPT.add(own)
+        atexit.register(_remove, spark, own)
+    return os.path.join(own, f"{name}-{uuid.uuid4().hex}")
+
+
+_SWEPT: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if the application still runs (handlers run before Spark's own, which stops it)."""
+    if spark.sparkContext._jsc is None:
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and read it back; lineage ends here."""
-    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "scratch", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
