@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import threading
 import time
 import uuid
@@ -67,14 +68,12 @@ class Folder:
         return True
 
     def read(self, name: str) -> str | None:
-        """Content of a small file; none if there is no such file (any more)."""
+        """Content of a small file; none if there is no such file (any more), empty if it cannot be read."""
         try:
             stream = self._fs.open(self._at(name))
             return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        except Exception as e:      # noqa: BLE001
-            if self.exists(name):
-                raise e
-            return None
+        except Exception:           # noqa: BLE001
+            return "" if self.exists(name) else None
 
     def age(self, name: str) -> float:
         """Seconds since the file was written, by this machine's clock; infinite if it is gone."""
@@ -108,7 +107,11 @@ def stored(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
                 time.sleep(min(1.0, RENEW_S))
             continue
         time.sleep(SETTLE_S)
-        if folder.read("LEASE") != me:
+        holder = folder.read("LEASE")
+        if holder != me:
+            if holder == "":                     # two wrote it at once: both step back for a moment
+                folder.delete("LEASE")
+                time.sleep(random.random())
             continue
         ended = threading.Event()
 
