@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import streams as S
-from .corpus_oracle import labelled_cte
+from .corpus_oracle import batches_cte, labelled_cte
+from .runs_plans import ORACLE as RUNS
 
 
 def q_stream_run_summary(spark, sf_dir):
@@ -40,7 +41,19 @@ def q_stream_sessions(spark, sf_dir):
                     F.round("value_sum", 6).alias("value_sum"))
 
 
+def q_stream_run_state(spark, sf_dir):
+    rows, _ = S.stream_run_state(spark, sf_dir)
+    return rows.select("run_id", "step", F.col("ema").cast("float").alias("ema"), F.round("best_so_far", 6).alias("best_so_far"))
+
+
+def q_stream_corpus_offsets(spark, sf_dir):
+    rows = S.corpus_places(*S.stream_corpus(spark, sf_dir))
+    return rows.select("doc_id", "shard", "n_bytes", "start_byte", F.md5("doc").alias("doc_md5"))
+
+
 QUERIES = {
+    "stream_run_state": q_stream_run_state,
+    "stream_corpus_offsets": q_stream_corpus_offsets,
     "stream_run_summary": q_stream_run_summary,
     "stream_corpus_filter": q_stream_corpus_filter,
     "stream_event_rates": q_stream_event_rates,
@@ -49,6 +62,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "stream_run_state": f"""
+SELECT a.run_id, a.step, a.ema, b.best_so_far FROM ({RUNS["loss_ema"]}) a JOIN ({RUNS["best_so_far"]}) b
+  ON a.run_id IS NOT DISTINCT FROM b.run_id AND a.step = b.step""",
+
+    "stream_corpus_offsets": f"""
+WITH {batches_cte(dirtied=False)}
+SELECT doc_id, shard, n_bytes, start_byte, md5(doc) AS doc_md5 FROM o""",
+
     "stream_run_summary": """
 SELECT user_id AS run_id, count(*) AS n_evals, round(min(value), 6) AS best_val,
        round(max(value), 6) AS worst_val,

@@ -67,6 +67,14 @@ def as_shards(docs: DataFrame) -> DataFrame:
                        "text", "lang")
 
 
+def shard_numbers(sources: DataFrame) -> DataFrame:
+    """``source, shard`` of every distinct source, numbered as by :func:`as_shards`."""
+    rows = sources.select("source").distinct().withColumn("_n", source_number("source"))
+    other = rows.where(F.col("_n").isNull()).withColumn("_null", F.col("source").isNull())
+    named = rank_within(other, [], ["_null", "source"], "_rank").select("source", (F.col("_rank") - 1 + OTHER_SHARDS).cast("int").alias("shard"))
+    return rows.where(F.col("_n").isNotNull()).select("source", F.col("_n").alias("shard")).unionByName(named)
+
+
 def read_shards(spark: SparkSession, sf_dir: str, langs: list[str] | None = None) -> DataFrame:
     """The documents table as shard rows (:func:`as_shards`), of some languages or all."""
     d = read_table(spark, sf_dir, "documents")

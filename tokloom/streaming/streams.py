@@ -7,19 +7,29 @@ that is played again after a lost commit writes the same folder, so nothing is
 doubled and nothing is ever half replaced. The stream's checkpoint lies next to
 the sink; passing the same ``out`` and ``chk`` resumes. ``run_available`` drains
 what is there (``availableNow``) and returns the sink as a batch DataFrame.
+
+Streams that go on from what earlier batches left (:func:`run_with_state`) keep it in a table, one
+per batch number next to the rows: a batch reads the table of the batch before it and writes
+its own. The work inside a batch is the batch form of the job, so a run or source that holds a third of all
+rows is spread over tasks like there, and a batch that is played again starts from the same table.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import EMA_DECAY
 from ..operators import corpus as C
-from ..session import ensure_checkpoint_dir
-from ..sources.tables import source_number, table_path
+from ..operators import runs as R
+from ..operators.ordering import rank_within, running_agg, running_sum_before
+from ..session import ensure_checkpoint_dir, join_small, staged
+from ..sources.stages import Folder
+from ..sources.tables import shard_numbers, source_number, table_path
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -33,8 +43,9 @@ def run_available(stream: DataFrame, name: str, mode: str, keys: list[str] | Non
     """Process every file present now and return the sink's content.
 
     ``mode='append'``: every batch holds new rows. ``'update'``: every batch holds
-    the rows of the ``keys`` that changed; the last one of each key counts. State
-    that the watermark has passed is dropped in both.
+    the rows of the ``keys`` that changed; the last one of each key counts, and batches
+    beyond :data:`MOST_BATCHES` are merged into one. State that a watermark has passed is dropped
+    where the keys hold the event time; a state without it (a summary per run) stays.
     """
     spark = stream.sparkSession
     if out is None or chk is None:
@@ -50,7 +61,131 @@ def run_available(stream: DataFrame, name: str, mode: str, keys: list[str] | Non
     if mode == "append":
         return rows.drop("epoch")
     rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
+
+    def latest(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
+
+    folder = Folder(spark, out)
+    done = sorted(int(n.split("=")[1]) for n in folder.names() if n.startswith("epoch="))
+    if len(done) > MOST_BATCHES:
+        # All but the newest batch, which may be played again, become one that stands in the place of the last of them.
+        last = done[-2]
+        staged(latest(rows.where(F.col("epoch") <= last)), "merged").write.mode("overwrite").parquet(os.path.join(out, f"epoch={last}"))
+        for n in done[:-2]:
+            folder.delete(f"epoch={n}")
+        rows = spark.read.schema(stream.schema.add("epoch", "long")).option("basePath", out).parquet(out)
+    return latest(rows)
+
+
+#: Batches of an update stream that are kept side by side.
+MOST_BATCHES = 16
+
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def run_with_state(stream: DataFrame, name: str, state: str, step: Step, out: str | None = None,
+                   chk: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Process every file present now by ``step(batch, state) -> rows, new state``; returns all rows and the last state.
+
+    ``state`` is the schema of the state table, which is empty at first. The tables of
+    the last two batches are kept: the last may be played again and then reads the one before it.
+    """
+    spark = stream.sparkSession
+    if out is None or chk is None:
+        out, chk = _paths(spark, name)
+
+    def table(epoch: int) -> DataFrame:
+        kept = [n for n in _epochs(spark, os.path.join(out, "state")) if n < epoch]
+        return spark.read.schema(state).parquet(os.path.join(out, "state", f"epoch={kept[-1]}")) if kept else spark.createDataFrame([], state)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows, new = step(batch, table(epoch))
+        rows.write.mode("overwrite").parquet(os.path.join(out, "rows", f"epoch={epoch}"))
+        new.write.mode("overwrite").parquet(os.path.join(out, "state", f"epoch={epoch}"))
+        for n in _epochs(spark, os.path.join(out, "state"))[:-2]:
+            Folder(spark, os.path.join(out, "state")).delete(f"epoch={n}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", chk).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(out, "rows")).drop("epoch"), table(1 << 62)
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in Folder(spark, path).names() if n.startswith("epoch="))
+
+
+RUN_STATE = "run_id long, n long, ema double, best double, last_ts timestamp, last_id long"
+
+
+def run_step(batch: DataFrame, state: DataFrame, decay: float = EMA_DECAY, idle: str = "30 days") -> tuple[DataFrame, DataFrame]:
+    """One row per (run, step) with the moving average and the best value so far, going on from ``state``.
+
+    Events at or before the last one of their run are repeats or late and are dropped, so a step is given
+    once. Runs whose last event is ``idle`` older than the newest of all leave the state.
+    """
+    new = batch.dropDuplicates(["event_id"]).select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("val"))
+    new = join_small(new, state, "run_id", "left")
+    late = (F.col("ts") < F.col("last_ts")) | ((F.col("ts") == F.col("last_ts")) & (F.col("event_id") <= F.col("last_id")))
+    new = new.where(~F.coalesce(late, F.lit(False))).select(
+        "run_id", "ts", "event_id", "val", F.coalesce("n", F.lit(0)).alias("n"), F.col("last_ts").isNotNull().cast("long").alias("left"))
+    new = rank_within(new, ["run_id"], ["ts", "event_id"], "k")
+    # What a run was left with stands before its new rows, as a value of its own.
+    seeds = state.select("run_id", F.lit(1).cast("long").alias("k"), F.col("n").alias("step"), F.col("ema").alias("val"), "best",
+                         F.col("last_ts").alias("ts"), F.col("last_id").alias("event_id"), F.lit(False).alias("fresh"))
+    both = staged(seeds.unionByName(new.select("run_id", (F.col("k") + F.col("left")).alias("k"), (F.col("n") + F.col("k")).alias("step"),
+                                               "val", F.col("val").alias("best"), "ts", "event_id", F.lit(True).alias("fresh"))), "run-batch")
+    seen = R.loss_ema(both, "val", decay)
+    seen = staged(running_agg(seen, ["run_id"], ["k"], "best", "best_so_far", "min", inclusive=True), "run-rows")
+    rows = seen.where("fresh").select("run_id", (10 * F.col("step")).alias("step"), "ema", "best_so_far")
+    last = seen.groupBy("run_id").agg(F.max_by(F.struct("step", "ema", "best_so_far", "ts", "event_id"), "k").alias("_l"))
+    kept = last.select("run_id", F.col("_l.step").alias("n"), F.col("_l.ema").alias("ema"), F.col("_l.best_so_far").alias("best"),
+                       F.col("_l.ts").alias("last_ts"), F.col("_l.event_id").alias("last_id"))
+    newest = kept.agg(F.max("last_ts").alias("newest"))
+    alive = kept.join(F.broadcast(newest)).where(F.col("last_ts") >= F.col("newest") - F.expr(f"interval {idle}")).drop("newest")
+    return rows, alive
+
+
+def stream_run_state(spark: SparkSession, sf_dir: str, idle: str = "30 days", out: str | None = None, chk: str | None = None,
+                     pattern: str = "events*.parquet") -> tuple[DataFrame, DataFrame]:
+    """Moving average and best value of runs as their events arrive: all rows, and the state of the runs that are alive."""
+    return run_with_state(event_stream(spark, sf_dir, pattern), "run_state", RUN_STATE,
+                          lambda b, s: run_step(b, s, idle=idle), out, chk)
+
+
+CORPUS_STATE = "source string, bytes long"
+
+
+def corpus_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Formatted documents with the byte of their source's text that they begin at; the state is every source's bytes."""
+    ordered = ["source", "doc_id", F.xxhash64("text")]
+    shards = batch.repartitionByRange(*ordered).sortWithinPartitions(*ordered).select(
+        "source", "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), "text", "lang")
+    kept = staged(C.formatted(C.label_documents(shards)).where(F.col("label") == "kept").withColumn("row", F.monotonically_increasing_id())
+                  .select("row", "source", "doc_id", "title", "lang", "doc", "n_bytes"), "corpus-batch")
+    at = running_agg(kept.select("row", "source", "doc_id", "n_bytes"), ["source"], ["doc_id", "row"], "n_bytes", "_before")
+    at = join_small(at, state, "source", "left").select("row", (F.col("_before") + F.coalesce("bytes", F.lit(0))).cast("long").alias("source_byte"))
+    rows = kept.join(at, "row").drop("row")
+    new = state.unionByName(kept.select("source", F.col("n_bytes").alias("bytes"))).groupBy("source").agg(F.sum("bytes").alias("bytes"))
+    return rows, new
+
+
+def stream_corpus(spark: SparkSession, sf_dir: str, out: str | None = None, chk: str | None = None,
+                  pattern: str = "documents*.parquet") -> tuple[DataFrame, DataFrame]:
+    """The corpus as documents arrive: ``source, doc_id, title, lang, doc, n_bytes, source_byte``, and the bytes of every source.
+
+    Inside a source documents follow each other by batch and then by id; each leaves with its place in its
+    source's text. Places in the whole corpus are known when the sources before it are (:func:`corpus_places`).
+    """
+    schema = spark.read.parquet(os.path.join(sf_dir, pattern)).schema
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(sf_dir, pattern))
+    return run_with_state(docs, "corpus", CORPUS_STATE, corpus_step, out, chk)
+
+
+def corpus_places(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``rows`` of :func:`stream_corpus` with ``shard`` and ``start_byte``, their place in the corpus of all sources so far."""
+    shards = join_small(state, shard_numbers(state), "source")
+    base = running_sum_before(shards, ["shard"], "bytes", "_base").select("source", "shard", "_base")
+    return join_small(rows, base, "source").withColumn("start_byte", F.col("_base") + F.col("source_byte")).drop("_base")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, pattern: str = "events*.parquet") -> DataFrame:
@@ -63,7 +198,7 @@ def event_stream(spark: SparkSession, sf_dir: str, pattern: str = "events*.parqu
 
 def stream_run_summary(spark: SparkSession, sf_dir: str, watermark: str = "1 day", out: str | None = None,
                        chk: str | None = None, pattern: str = "events*.parquet") -> DataFrame:
-    """Per run (``user_id``): rows, best (lowest) and last-seen values, first and
+    """Per run (``user_id``; kept for good, see :func:`stream_run_state` for runs that leave): rows, best (lowest) and last-seen values, first and
     last time. Replayed rows (same ``event_id``) are dropped within the
     watermark."""
     ev = (event_stream(spark, sf_dir, pattern).withWatermark("ts", watermark)
