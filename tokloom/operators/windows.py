@@ -53,6 +53,17 @@ def conversation_context(conv: DataFrame, n: int, sep: str = "\n") -> DataFrame:
                                            context.alias("context"))
 
 
+def token_context(conv: DataFrame, n: int, encode, sep: str = "\n") -> DataFrame:
+    """``conv_id, n_context, context``: the last ``n`` token ids of each conversation.
+
+    ``encode`` makes a column of pieces a list of ids per vocabulary (:func:`~tokloom.operators.encode.encode_udf`). Every piece has
+    an id at least, so the last ``n`` pieces hold the last ``n`` ids and nothing before them is encoded.
+    """
+    tail = conversation_context(conv, n, sep).select("conv_id", encode("context")[0].alias("_ids"))
+    return tail.select("conv_id", _last("_ids", F.lit(n)).alias("context")).select(
+        "conv_id", F.size("context").cast("bigint").alias("n_context"), "context")
+
+
 def _last(arr: str, n) -> Column:
     """The last ``n`` elements of an array."""
     keep = F.least(F.size(arr), n.cast("int"))

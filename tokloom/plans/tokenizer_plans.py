@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import text as T
-from ..functions.constants import COMPOUNDS, CONFIGS, PIECE_PATTERN, EVAL_SEED, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS, TRAIN_SEED
+from ..functions.constants import COMPOUNDS, CONFIGS, END_OF_TEXT, PIECE_PATTERN, EVAL_SEED, SAMPLE_SENTENCE, STUDY_ARCH, STUDY_STEPS, TRAIN_SEED
 from ..operators import encode as E
 from ..operators import study as ST
 from ..operators.bpe import merges_from_df, train_bpe
 from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
-from ..operators.windows import conversation_context
+from ..operators.windows import conversation_context, token_context
 from ..session import staged
 from ..sources import sinks, stages
 from ..sources.corpustext import read_text, write_text
@@ -121,6 +121,13 @@ def q_context_window(spark, sf_dir):
                     F.md5(F.array_join("context", "")).alias("context_md5"))
 
 
+def q_context_tokens(spark, sf_dir):
+    """The last 256 token ids of every conversation by the largest vocabulary that SQL repeats."""
+    enc = E.encode_udf(spark, learned(spark, sf_dir))
+    c = token_context(spread(read_table(spark, sf_dir, "conversations")), CONTEXT_PIECES, enc)
+    return c.select("conv_id", "n_context", F.md5(F.array_join("context", ",")).alias("context_md5"))
+
+
 def q_bpe_merges(spark, sf_dir):
     return spark.createDataFrame(learned(spark, sf_dir), "rank int, left int, right int, new_id int, pair_count long")
 
@@ -302,6 +309,7 @@ QUERIES = {
     "stream_pieces": q_stream_pieces,
     "pair_counts": q_pair_counts,
     "context_window": q_context_window,
+    "context_tokens": q_context_tokens,
     "bpe_merges": q_bpe_merges,
     "encode_docs": q_encode_docs,
     "decode_roundtrip": q_decode_roundtrip,
@@ -457,6 +465,46 @@ SELECT step, slot, CAST(at0 + off AS BIGINT) AS start_pos, {WINDOW_BLOCK} AS n_x
 FROM wu, sl, lo"""
 
 
+def _symbols(piece: str) -> str:
+    """The byte symbols of a piece."""
+    return (f"'|' || array_to_string(list_transform(range(strlen({piece})), lambda i: CAST(CAST(('0x' || "
+            f"substr(hex(encode({piece})), 2 * i + 1, 2)) AS INTEGER) + 1 AS VARCHAR)), '||') || '|'")
+
+
+def _merged(y: str, merges: str) -> str:
+    """Symbols after a list of merges ``|l||r|>|new|``, one after the other."""
+    return f"list_reduce(list_prepend({y}, {merges}), lambda y, m: replace(y, string_split(m, '>')[1], string_split(m, '>')[2]))"
+
+
+MERGE_LIST = "list('|' || l || '||' || r || '|>|' || (256 + it) || '|' ORDER BY it)"
+UTF8 = ("C[2-9A-F][89AB][0-9A-F]|D[0-9A-F][89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]|E[1-9A-CEF][89AB][0-9A-F][89AB][0-9A-F]|"
+        "F[0-4][89AB][0-9A-F][89AB][0-9A-F][89AB][0-9A-F]|[0-7][0-9A-F]")
+
+# Bytes of every id as hex, and texts cut into the decoded and stripped ids of each vocabulary. Bytes that make no character are one
+# replacement sign each, which is the rule for characters of two bytes cut in half; the probes hold no longer ones.
+HEX_CTE = f""",
+hx(it, hs) AS (
+  SELECT 0, list_concat([hex(encode('{END_OF_TEXT}'))], list_transform(range(256), lambda b: printf('%02X', b)))
+  UNION ALL
+  SELECT hx.it + 1, list_append(hx.hs, hx.hs[st.l + 1] || hx.hs[st.r + 1]) FROM hx JOIN st ON st.it = hx.it + 1),
+hl AS (SELECT hs FROM hx ORDER BY it DESC LIMIT 1),
+vm AS (SELECT v.vocab, (SELECT {MERGE_LIST} FROM st WHERE it BETWEEN 1 AND v.vocab - 257) AS ms
+       FROM (VALUES {', '.join(f'({v})' for v in QUERY_VOCABS)}) v(vocab))"""
+
+
+def splits_cte(name: str, source: str) -> str:
+    """``vocab, k, n, parts`` of the texts ``k, t`` in ``source``."""
+    char = (f"array_to_string(list_transform(regexp_extract_all(h, '{UTF8}|..'), lambda c: CASE WHEN regexp_full_match(c, '{UTF8}') "
+            "THEN decode(unhex(c)) ELSE chr(65533) END), '')")
+    return f""",
+{name}_p AS (SELECT k, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM (SELECT k, {pieces_sql('t')} AS ps FROM ({source}))),
+{name}_s AS (SELECT vocab, piece, string_split(trim(y, '|'), '||') AS sy
+             FROM (SELECT vm.vocab, piece, {_merged(_symbols('piece'), 'vm.ms')} AS y FROM (SELECT DISTINCT piece FROM {name}_p), vm)),
+{name} AS (SELECT vocab, k, sum(len(sy)) AS n, flatten(list(list_transform(sy, lambda i: hs[CAST(i AS INTEGER) + 1]) ORDER BY pos)) AS hex
+           FROM {name}_p JOIN {name}_s USING (piece), hl GROUP BY vocab, k),
+{name}_d AS (SELECT vocab, k, n, list_transform(hex, lambda h: regexp_replace({char}, '^\s+|\s+$', '', 'g')) AS parts FROM {name})"""
+
+
 def _configs_sql() -> str:
     return ", ".join(f"('{c[0]}', {c[4]}, {c[6]}, {c[7]})" for c in CONFIGS)
 
@@ -469,6 +517,24 @@ ORACLE = {
 WITH {split_cte(None, dirtied=False)},
 tx AS (SELECT string_agg(doc, '' ORDER BY start_byte) AS doc FROM sp)
 SELECT piece, count(*) AS cnt FROM (SELECT unnest({pieces_sql('doc')}) AS piece FROM tx) GROUP BY piece""",
+    "context_tokens": BPE_CTE + f""",
+ml AS (SELECT {MERGE_LIST} AS ms FROM st WHERE it > 0),
+ct AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+cp AS (SELECT conv_id, regexp_extract_all(CASE WHEN left(text, 1) = ' ' THEN text ELSE ' ' || text END, '{DUCK_PATTERN}') AS ps FROM ct),
+cw AS (SELECT conv_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM cp),
+sg AS (SELECT piece, string_split(trim({_merged(_symbols('piece'), 'ms')}, '|'), '||') AS sy FROM (SELECT DISTINCT piece FROM cw), ml),
+al AS (SELECT conv_id, flatten(list(sy ORDER BY pos)) AS a FROM cw JOIN sg USING (piece) GROUP BY conv_id)
+SELECT conv_id, least(len(a), {CONTEXT_PIECES}) AS n_context,
+       md5(array_to_string(list_slice(a, len(a) - least(len(a), {CONTEXT_PIECES}) + 1, len(a)), ',')) AS context_md5 FROM al""",
+    "probe_splits": BPE_CTE + HEX_CTE + splits_cte("bs", "SELECT item_id AS k, text AS t FROM benchmark") + """
+SELECT CAST(vocab AS INTEGER) AS vocab, k AS item_id, CAST(n AS INTEGER) AS n_tokens, array_to_string(parts, ' · ') AS pieces FROM bs_d""",
+    "vocab_stats": STUDY_CTE + HEX_CTE + splits_cte("cs", "SELECT t AS k, t FROM (VALUES " + ", ".join(
+        f"('{c}')" for c in COMPOUNDS) + ") x(t)") + """,
+js AS (SELECT vocab, '{' || string_agg('"' || k || '":["' || array_to_string(parts, '","') || '"]', ',' ORDER BY k) || '}' AS splits
+       FROM cs_d GROUP BY vocab)
+SELECT vocab AS vocab_size, round(fertility, 3) AS fertility, round(tokens_per_compound, 2) AS tokens_per_compound,
+       round(words_per_256, 1) AS german_words_per_256_tokens, splits AS compound_splits
+FROM study JOIN js USING (vocab)""",
     "encode_docs": SEG_CTE + f"""
 , tk AS (SELECT doc_id, any_value(split) AS split, any_value(start_byte) AS start_byte, CAST(sum(k) AS BIGINT) AS n_tokens,
                 md5(string_agg(y, '' ORDER BY pos)) AS tokens_md5
