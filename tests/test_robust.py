@@ -63,3 +63,32 @@ def test_ids_may_repeat(spark, parts):
         at += r["n_bytes"]
     assert built["offsets"].count() == 14 and built["labelled"].count() == 15
     assert [(r["shard"], r["doc_id"] or -1) for r in got] == sorted((int(s[3:]), d or -1) for d, t, _, s, _ in rows if t)
+
+
+def test_configurations_are_read_by_schema(spark, tmp_path):
+    """Unknown keys are ignored, missing ones filled, and what is written is read back."""
+    from tokloom.operators.study import configs_table, read_configs
+    from tokloom.sources.sinks import write_configs
+    (tmp_path / "one.json").write_text('{"name": "x", "n_layers": 2, "n_heads": 2, "n_embd": 64,\n "not_a_key": 1}')
+    r = read_configs(spark, str(tmp_path / "one.json")).first()
+    assert (r["name"], r["n_layers"], r["rope_base"], r["vocab_size"]) == ("x", 2, 10000, None) and "not_a_key" not in r.asDict()
+    write_configs(configs_table(spark), str(tmp_path / "all"))
+    assert sorted(map(tuple, read_configs(spark, str(tmp_path / "all")).collect())) == sorted(map(tuple, configs_table(spark).collect()))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_configs(spark, str(tmp_path / "none.json"))
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The rest imports without them; a module that they need and that is missing is an error."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "tokloom"), tmp_path / "tokloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as E; q = E.queries(); assert len(q) > 50 and not any(k.startswith('op') for k in q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120).returncode == 0
+    os.makedirs(tmp_path / "tokloom" / "llm")
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_at_all")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120, capture_output=True).returncode != 0

@@ -20,7 +20,7 @@ from ..operators.bpe import merges_from_df, train_bpe
 from ..operators.corpus import build_corpus
 from ..operators.pieces import byte_histogram, initial_types, pair_counts_of, piece_counts
 from ..operators.windows import conversation_context, token_context
-from ..session import staged
+from ..session import scratch_path, staged
 from ..sources import sinks, stages
 from ..sources.corpustext import read_text, write_text
 from ..sources.tables import read_shards, read_table, spread
@@ -225,19 +225,24 @@ def q_vocab_stats(spark, sf_dir):
     parts = study_parts(spark, sf_dir)
     t = E.decoded(encode_items(spark, sf_dir, _items(spark, COMPOUNDS)), learned(spark, sf_dir), "_d", sep=" · ")
     splits = t.select("vocab", "text", F.split("_d", " · ").alias("pieces")).groupBy("vocab").agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("text", "pieces"))))).alias("compound_splits"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("text", "pieces")))).alias("compound_splits"))
     st = (parts["fertility"].join(parts["probes"], "vocab").join(parts["sentence"], "vocab").join(splits, "vocab"))
-    return st.select(F.col("vocab").alias("vocab_size"), F.round("fertility", 3).alias("fertility"),
-                     F.round("tokens_per_compound", 2).alias("tokens_per_compound"),
-                     F.round("words_per_256", 1).alias("german_words_per_256_tokens"),
-                     "compound_splits")
+    st = st.select(F.col("vocab").alias("vocab_size"), F.round("fertility", 3).alias("fertility"),
+                   F.round("tokens_per_compound", 2).alias("tokens_per_compound"),
+                   F.round("words_per_256", 1).alias("german_words_per_256_tokens"), "compound_splits")
+    # The report as it is kept: written as JSON and read by its schema.
+    path = scratch_path(spark, "stats")
+    sinks.write_stats(st, path)
+    return sinks.read_stats(spark, path).withColumn("compound_splits", F.to_json("compound_splits"))
 
 
 def q_run_budget(spark, sf_dir):
     """Per shipped configuration: tokens per step, tokens over the run and the
     epochs that makes over the training split of the token table (largest
     vocabulary); scalars come from scalar subqueries."""
-    cfg = ST.with_model_params(ST.configs_table(spark))
+    path = scratch_path(spark, "configs")
+    sinks.write_configs(ST.configs_table(spark), path)
+    cfg = ST.with_model_params(ST.read_configs(spark, path))
     tok = doc_tokens(spark, sf_dir, QUERY_VOCABS[-1])
     return spark.sql("""
         SELECT name, tokens_per_step, CAST(tokens_per_step * max_steps AS BIGINT) AS total_tokens,
@@ -277,7 +282,7 @@ def q_vocab_study_full(spark, sf_dir):
 
 
 def q_study_winners(spark, sf_dir):
-    return ST.study_winners(q_vocab_study(spark, sf_dir))
+    return ST.study_winners(sinks.write_study(q_vocab_study(spark, sf_dir), scratch_path(spark, "study")))
 
 
 def q_ngram_loss(spark, sf_dir):

@@ -113,6 +113,11 @@ def resumed_history(history: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
             .withColumn("elapsed", F.col("elapsed") + F.col("_shift")).drop("_shift"))
 
 
+def write_configs(configs: DataFrame, path: str) -> None:
+    """Model configurations as a JSON array, as :func:`~tokloom.operators.study.read_configs` reads them (a handful of rows)."""
+    configs.agg(F.to_json(F.collect_list(F.struct(*configs.columns))).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tokenizer statistics as JSON (nested map of splits; non-ASCII kept)."""
     stats.write.mode(mode).json(path)
@@ -122,6 +127,7 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATS_SCHEMA).json(path)
 
 
-def write_study(study: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Study rows as JSON, one file."""
+def write_study(study: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Study rows as JSON, one file; returns them as read back."""
     study.coalesce(1).write.mode(mode).json(path)
+    return study.sparkSession.read.schema(study.schema).json(path)
