@@ -111,18 +111,17 @@ def threat_words() -> str:
     return " ".join([BARE_THREATS, *(stem + end for stems, ends in THREAT_FORMS for stem in stems.split() for end in ends.split())])
 
 
-def contracted_negation(w: common.Words) -> np.ndarray:
-    """Words that are the end of a contraction like ``don't``: a "t" right after an apostrophe that a word in "n" stands
+def contracted_negation(w: common.Words, which: np.ndarray) -> np.ndarray:
+    """Which of some words are the end of a contraction like ``don't``: a "t" right after an apostrophe that a word in "n" stands
     before (the plain apostrophe cuts words), or a word that ends in n, the curled apostrophe and t."""
     out = np.zeros(len(w.start), bool)
-    if not len(w.start):
-        return out
-    size, buf = w.end - w.start, w.buf
-    t = np.flatnonzero((size == 1) & (buf[w.start] == 0x74) & (w.start - w.offsets[w.doc] >= 2))
+    which = which[w.buf[w.end[which] - 1] == 0x74]          # it ends in t
+    size, buf = (w.end - w.start)[which], w.buf
+    t = which[(size == 1) & (w.start[which] - w.offsets[w.doc[which]] >= 2)]
     out[t] = (buf[w.start[t] - 1] == 0x27) & (buf[w.start[t] - 2] == 0x6E)
-    long_ = np.flatnonzero(size > 5)
-    tail = np.stack([buf[w.end[long_] - k] for k in range(5, 0, -1)], 1)
-    out[long_] = (tail == np.array([0x6E, 0xE2, 0x80, 0x99, 0x74], np.uint8)).all(1)
+    long_ = which[size > 5]
+    tail = np.stack([buf[w.end[long_] - k] for k in range(5, 1, -1)], 1)
+    out[long_] = (tail == np.array([0x6E, 0xE2, 0x80, 0x99], np.uint8)).all(1)
     return out
 
 
@@ -201,7 +200,8 @@ class Model:
         clause = ends[w.start] + w.doc       # never the same in two documents or clauses that follow each other
         lo = np.searchsorted(clause, clause[marked], "left")
         hi = np.searchsorted(clause, clause[marked], "right")
-        contracted = contracted_negation(w)
+        inside = np.bincount(lo, minlength=len(w.start) + 1) - np.bincount(hi, minlength=len(w.start) + 1)
+        contracted = contracted_negation(w, np.flatnonzero(np.cumsum(inside)[:-1] > 0))
         done = -1
         for i, j in zip(lo.tolist(), hi.tolist()):
             if i == done:
