@@ -501,7 +501,7 @@ def splits_cte(name: str, source: str) -> str:
     """``vocab, k, n, parts`` of the texts ``k, t`` in ``source``."""
     char = (f"array_to_string(list_transform(regexp_extract_all(h, '{UTF8}|..'), lambda c: CASE WHEN regexp_full_match(c, '{UTF8}') "
             "THEN decode(unhex(c)) ELSE chr(65533) END), '')")
-    return f""",
+    return rf""",
 {name}_p AS (SELECT k, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM (SELECT k, {pieces_sql('t')} AS ps FROM ({source}))),
 {name}_s AS (SELECT vocab, piece, string_split(trim(y, '|'), '||') AS sy
              FROM (SELECT vm.vocab, piece, {_merged(_symbols('piece'), 'vm.ms')} AS y FROM (SELECT DISTINCT piece FROM {name}_p), vm)),
