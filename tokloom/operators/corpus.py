@@ -177,7 +177,9 @@ def build_corpus(shards: DataFrame, batch_rows: int = BATCH_ROWS,
     start_byte, split, lang. Texts are cleaned once: what the order is found
     from and what is joined to it read the same stored rows.
     """
-    labelled = staged(formatted(label_documents(in_order(shards)))
+    # One copy of the text is stored, the cleaned one of kept documents; their heading is put on again when they are read.
+    labelled = staged(formatted(label_documents(in_order(shards))).drop("text", "doc")
+                      .withColumn("clean", F.when(F.col("label") == "kept", F.col("clean")))
                       .withColumn("row", F.monotonically_increasing_id()), "labelled")
     keys_b = batch_numbers(key_table(labelled), batch_rows)
     batches = cutoff_batches(batch_table(keys_b), target_bytes)
@@ -185,7 +187,7 @@ def build_corpus(shards: DataFrame, batch_rows: int = BATCH_ROWS,
     offs = split_column(offs.select("row", "shard", "doc_id", "batch_id", "n_bytes", "start_byte"),
                         val_fraction)
     text = labelled.where(F.col("label") == "kept").select(
-        "row", "title", "doc", "clean", "n_chars", "lang")
+        "row", "title", T.format_doc("title", "clean").alias("doc"), "clean", "n_chars", "lang")
     corpus = offs.join(text, "row")
     return {"labelled": labelled, "keys": keys_b, "batches": batches,
             "offsets": offs, "corpus": corpus}
