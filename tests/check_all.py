@@ -12,7 +12,7 @@ import os  # noqa: E402
 if os.environ.get("PLAIN_SESSION"):
     from pyspark.sql import SparkSession  # noqa: E402
     spark = (SparkSession.builder.master("local[8]")
-             .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     print("ansi", spark.conf.get("spark.sql.ansi.enabled"), flush=True)
 else:
