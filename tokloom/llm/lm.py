@@ -759,22 +759,24 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id"
                        F.coalesce(common.fold(id_col, folds) == held, F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = common.stage(rows.mapInArrow(_cells, "block long, bytes long, train long, docs binary"), "op4-base")
-    size, ends = base.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "train")]).first()
+    size, ends, blocks = base.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "train")], F.count_distinct("block")).first()
     bits = max(1, (size >> 23).bit_length())          # a bucket for 8 MB of text
+    # Tasks follow the number of buckets and blocks, so none reads more as the corpus grows.
+    by_bucket, by_block = 1 << bits, max(1, 2 * blocks)
     cells = base.select("block", "docs")
     asked = common.stage(cells.mapInArrow(_block_words(bits), "block long, bucket long, words binary, n binary"), "op4-words")
     vocabulary = common.stage(
-        asked.select("bucket", "words", "n").repartition("bucket").sortWithinPartitions("bucket")
+        asked.select("bucket", "words", "n").repartition(by_bucket, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_merge_words, "bucket long, words binary, n binary, tokens long, types long, once long, twice long"), "op4-vocabulary")
     t = vocabulary.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice")]).first()
     discount = min(0.95, max(0.1, t[2] / (t[2] + 2 * t[3]))) if t[2] else 0.5
     totals = Totals(int(t[0]) + ends, int(t[1]) + (ends > 0), ends, discount)
     speller = fit_speller(vocabulary)
     answers = (vocabulary.select("bucket", F.lit(-1).cast("long").alias("block"), "words", "n")
-               .unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "block")
+               .unionByName(asked).repartition(by_bucket, "bucket").sortWithinPartitions("bucket", "block")
                .mapInArrow(_answer_words(speller, totals), "block long, bucket long, keys binary, n binary, lp binary"))
     pairs = (cells.mapInArrow(_block_pairs(bits), "block long, bucket long, keys binary, n binary, held binary")
-             .repartition("bucket").sortWithinPartitions("bucket")
+             .repartition(by_bucket, "bucket").sortWithinPartitions("bucket")
              .mapInArrow(_count_pairs, "block long, bucket long, keys binary, n binary"))
     none = F.lit(None)
     no = {"bucket": none.cast("long"), "keys": none.cast("binary"), "n": none.cast("binary"), "lp": none.cast("binary"),
@@ -785,7 +787,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id"
 
     work = (kind(answers, 0, "bucket", "keys", "n", "lp").unionByName(kind(pairs, 1, "bucket", "keys", "n"))
             .unionByName(kind(base, 2, "docs")))
-    out = (work.repartition("block").sortWithinPartitions("block", "kind")
+    out = (work.repartition(by_block, "block").sortWithinPartitions("block", "kind")
            .mapInArrow(_score(totals, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
                                              "score double, n_bytes long"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"),
