@@ -761,8 +761,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id"
     base = common.stage(rows.mapInArrow(_cells, "block long, bytes long, train long, docs binary"), "op4-base")
     size, ends, blocks = base.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "train")], F.count_distinct("block")).first()
     bits = max(1, (size >> 23).bit_length())          # a bucket for 8 MB of text
-    # Tasks follow the number of buckets and blocks, so none reads more as the corpus grows.
-    by_bucket, by_block = 1 << bits, max(1, 2 * blocks)
+    # Tasks follow the number of buckets (two each, since a task has to load the speller) and blocks, so none reads more as the corpus grows.
+    by_bucket, by_block = 1 << (bits - 1), max(1, 2 * blocks)
     cells = base.select("block", "docs")
     asked = common.stage(cells.mapInArrow(_block_words(bits), "block long, bucket long, words binary, n binary"), "op4-words")
     vocabulary = common.stage(
