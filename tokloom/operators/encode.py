@@ -4,7 +4,8 @@ Encoding is one narrow pass: pieces are cut by the built-in pattern, and an Arro
 helper replaces them by ids for all vocabularies (smaller ones are prefixes of the merge
 list). The frequent pieces come from a broadcast dictionary of bounded bytes, segmented by a Spark
 job beforehand; the pieces of a batch are looked up in it as one Arrow array and their ids gathered
-as arrays, with no Python object per token. Pieces that are not in it are segmented once per task.
+as arrays, with no Python object per token. Pieces that are not in it are segmented as arrays too, all that a
+task looks at in one go (:mod:`~tokloom.operators.merging`). A task holds a bounded number of pieces at a time, whatever the rows of a batch.
 Nothing is shuffled but what the caller's keys need. Decoding looks the
 ids' bytes up in an array of the vocabulary and stays in built-in expressions.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,7 @@ from pyspark.sql import types as Ty
 from ..functions import text as T
 from ..sources.tables import spread
 from .bpe import FIRST_MERGE_ID, vocab_bytes
+from .merging import MergeTable, merged, of_bytes
 from .ordering import running_agg
 
 Merge = tuple[int, int, int, int, int]
@@ -53,8 +54,10 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return ids
 
 
-#: Distinct pieces beyond the dictionary that one task keeps the segmentation of; the table starts anew beyond.
+#: Pieces that a task looks up, and segments where they are not in the dictionary, at a time.
 CACHED_PIECES = 1 << 19
+#: Pieces whose ids a task gathers at a time; the places of ids take several times their size.
+GATHERED_PIECES = 1 << 16
 #: Bytes of pieces (and as many ids at most, four bytes each, per vocabulary) in the broadcast dictionary.
 DICTIONARY_BYTES = 8 << 20
 
@@ -65,18 +68,24 @@ def rank_tables(merges: list[Merge], sizes: Sequence[int] | None) -> list[dict[t
     return [{(left, right): (rank, new) for rank, left, right, new, _ in merges[:n]} for n in counts]
 
 
-def _segment(piece: str, levels) -> list[list[int]]:
-    """Ids of one piece by each vocabulary; each goes on from the one before."""
-    ids, out = [b + 1 for b in piece.encode("utf-8")], []
-    for ranks in levels:
-        ids = _merge_word(ids, ranks)
-        out.append(ids)
+def merge_tables(levels) -> list[MergeTable]:
+    """The merges of :func:`rank_tables` as arrays."""
+    return [MergeTable(ranks) for ranks in levels]
+
+
+def segmented(pieces: pa.Array, tables: list[MergeTable]) -> list[pa.Array]:
+    """Per vocabulary the ids of every piece; each vocabulary goes on from the one before."""
+    sym, size = of_bytes(pieces)
+    out = []
+    for table in tables:
+        sym, size = merged(sym, size, table)
+        out.append(_lists(sym, size))
     return out
 
 
-def _lists(ids: list[list[list[int]]], n: int) -> list[pa.Array]:
-    """Per vocabulary the ids of every piece, of the ids by piece and vocabulary."""
-    return [pa.array([x[k] for x in ids], pa.list_(pa.int32())) for k in range(n)]
+def _lists(ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32, copy=False)))
 
 
 class Table:
@@ -91,43 +100,49 @@ class Table:
 
 
 class Encoder:
-    """Replaces pieces by ids inside a task."""
+    """Replaces pieces by ids inside a task. What it holds at a time is bounded by :data:`CACHED_PIECES` and the ids it returns."""
 
-    def __init__(self, levels, known: Table) -> None:
-        self.levels, self.known, self.seen = levels, known, {}
+    def __init__(self, tables: list[MergeTable], known: Table) -> None:
+        self.tables, self.known = tables, known
 
     def __call__(self, pieces: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per vocabulary the ids of all ``pieces`` end to end, and the place where each piece's begin."""
+        ids, sizes = [[] for _ in self.tables], [[np.zeros(1, np.int64)] for _ in self.tables]
+        for i in range(0, len(pieces), CACHED_PIECES):
+            at, rest = self._places(pieces.slice(i, CACHED_PIECES))
+            for j in range(0, len(at), GATHERED_PIECES):
+                for k in range(len(self.tables)):
+                    got, size = self._gather(at[j:j + GATHERED_PIECES], rest, k)
+                    ids[k].append(got)
+                    sizes[k].append(size)
+        return [(np.concatenate(x) if x else np.zeros(0, np.int32), np.cumsum(np.concatenate(n))) for x, n in zip(ids, sizes)]
+
+    def _places(self, pieces: pa.Array) -> tuple[np.ndarray, Table]:
+        """The place of each piece in the dictionary, or -1 less its place in a table of the pieces that are not in it."""
         at = (pc.index_in(pieces, value_set=self.known.pieces) if len(self.known.pieces)
               else pa.nulls(len(pieces), pa.int32()))
-        new = pc.is_null(at).to_numpy(zero_copy_only=False)
-        coded = pieces.filter(pa.array(new)).dictionary_encode()
-        rest = Table(coded.dictionary, _lists([self._ids(p) for p in coded.dictionary.to_pylist()], len(self.levels)))
-        parts = [(np.flatnonzero(~new), at.drop_null().to_numpy(zero_copy_only=False), self.known),
-                 (np.flatnonzero(new), coded.indices.to_numpy(zero_copy_only=False), rest)]
-        out = []
-        for k in range(len(self.levels)):
-            size = np.zeros(len(pieces), np.int64)
-            for where, i, table in parts:
-                if len(where):
-                    size[where] = table.start[k][i + 1] - table.start[k][i]
-            start = np.concatenate([[0], np.cumsum(size)])
-            ids = np.empty(int(start[-1]), np.int32)
-            for where, i, table in parts:
-                if len(where):
-                    n = size[where]
-                    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    ids[np.repeat(start[where], n) + inside] = table.ids[k][np.repeat(table.start[k][i], n) + inside]
-            out.append((ids, start))
-        return out
-
-    def _ids(self, piece: str) -> list[list[int]]:
-        got = self.seen.get(piece)
-        if got is None:
-            if len(self.seen) >= CACHED_PIECES:
-                self.seen.clear()
-            got = self.seen[piece] = _segment(piece, self.levels)
-        return got
+        new = pc.is_null(at)
+        coded = pieces.filter(new).dictionary_encode()
+        out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        out[new.to_numpy(zero_copy_only=False)] = -1 - coded.indices.to_numpy(zero_copy_only=False)
+        return out, Table(coded.dictionary, segmented(coded.dictionary, self.tables))
+
+    def _gather(self, at: np.ndarray, rest: Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by vocabulary ``k`` of the pieces at the places ``at``, and how many each has."""
+        size, parts = np.zeros(len(at), np.int64), []
+        for where, table in ((at >= 0, self.known), (at < 0, rest)):
+            where = np.flatnonzero(where)
+            if len(where):
+                i = at[where] if table is self.known else -1 - at[where]
+                size[where] = table.start[k][i + 1] - table.start[k][i]
+                parts.append((where, table.start[k][i], table.ids[k]))
+        start = np.concatenate([[0], np.cumsum(size)])
+        ids = np.empty(int(start[-1]), np.int32)
+        for where, begin, held in parts:
+            n = size[where]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            ids[np.repeat(start[where], n) + inside] = held[np.repeat(begin, n) + inside]
+        return ids, size
 
 
 def dictionary(types: DataFrame | None, levels, limit: int = DICTIONARY_BYTES) -> Table:
@@ -149,12 +164,11 @@ def dictionary(types: DataFrame | None, levels, limit: int = DICTIONARY_BYTES) -
         least = r["_level"]
     if least is None:
         return Table(pa.array([], pa.string()), [])
-    held = spark.sparkContext.broadcast(levels)
+    held = spark.sparkContext.broadcast(merge_tables(levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = _lists([_segment(p, held.value) for p in b.column(0).to_pylist()], len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *ids], ["piece", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *segmented(b.column(0), held.value)], ["piece", *names])
 
     names = [f"ids{k}" for k in range(len(levels))]
     schema = ", ".join(["piece string", *(f"{n} array<int>" for n in names)])
@@ -163,23 +177,38 @@ def dictionary(types: DataFrame | None, levels, limit: int = DICTIONARY_BYTES) -
 
 
 def encode_udf(spark: SparkSession, merges: list[Merge], sizes: Sequence[int] | None = None):
-    """Pandas UDF ``array<string> of pieces -> array<array<int>>``: the ids by each
+    """Arrow UDF ``array<string> of pieces -> array<array<int>>``: the ids by each
     vocabulary in ``sizes`` (ascending; default: all merges), for a column of any table. The merge list is
     bounded by the width guard and broadcast once."""
-    bc = spark.sparkContext.broadcast(rank_tables(merges, sizes))
+    bc = spark.sparkContext.broadcast(merge_tables(rank_tables(merges, sizes)))
 
-    @F.pandas_udf(Ty.ArrayType(Ty.ArrayType(Ty.IntegerType())))
-    def _enc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(Ty.ArrayType(Ty.ArrayType(Ty.IntegerType())))
+    def _enc(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(bc.value, Table(pa.array([], pa.string()), []))
-        for s in texts:
-            lists = pa.array([[] if p is None else list(p) for p in s], pa.list_(pa.string()))
-            cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int)
-            got = encoder(lists.flatten())
-            yield pd.Series([[ids[start[cut[i]]:start[cut[i + 1]]] for ids, start in got] for i in range(len(s))])
+        for s in lists:
+            cut, n = _cuts(s), len(bc.value)
+            by_vocab = pa.concat_arrays([_lists(ids, np.diff(start[cut])) for ids, start in encoder(s.flatten())])
+            order = np.arange(n * len(s)).reshape(n, len(s)).T.ravel()
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(s) + 1, n, dtype=np.int32)), by_vocab.take(pa.array(order)))
 
     return _enc
 
 
+def _cuts(lists: pa.Array) -> np.ndarray:
+    """Where each row's pieces begin among those of all rows, and their end; a null has none."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def _runs_of_rows(cut: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Rows ``first, end`` that follow each other and hold at most ``most`` pieces (or are one row)."""
+    at = 0
+    while at < len(cut) - 1:
+        end = max(at + 1, int(np.searchsorted(cut, cut[at] + most, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def vocab_hex(merges: list[tuple[int, int, int, int, int]]) -> list[str]:
     """Per id the hex code of its bytes."""
     return [b.hex().upper() for _, b in sorted(vocab_bytes(merges).items())]
@@ -215,7 +244,7 @@ def encode_texts(texts: DataFrame, text_col: str, key_cols: Sequence[str],
     """
     levels = rank_tables(merges, sizes)
     spark = texts.sparkSession
-    bc = spark.sparkContext.broadcast((levels, dictionary(types, levels)))
+    bc = spark.sparkContext.broadcast((merge_tables(levels), dictionary(types, levels)))
     rows = texts if positions else spread(texts)
     src = rows.select(*key_cols, F.coalesce(T.pieces(text_col, add_prefix_space), F.array().cast("array<string>")).alias("_pieces"))
     fields = list(src.schema.fields)[:-1]
@@ -228,20 +257,21 @@ def encode_texts(texts: DataFrame, text_col: str, key_cols: Sequence[str],
         from pyspark import TaskContext
         encoder, part = Encoder(*bc.value), TaskContext.get().partitionId()
         at = [0] * len(vocabs)
-        for b in batches:
-            lists = b.column(len(fields))
-            cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            for k, (ids, start) in enumerate(encoder(lists.flatten())):
-                ends = start[cut]
-                n = np.diff(ends)
-                cols = [*b.columns[:len(fields)], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
-                        pa.array(n.astype(np.int32))]
-                if sizes is not None:
-                    cols.append(pa.array(np.full(len(b), vocabs[k], np.int32)))
-                if positions:
-                    cols += [pa.array(np.full(len(b), part, np.int32)), pa.array(at[k] + ends[:-1])]
-                    at[k] += int(ends[-1])
-                yield pa.RecordBatch.from_arrays(cols, schema.names)
+        for whole in batches:
+            for first, end in _runs_of_rows(_cuts(whole.column(len(fields))), CACHED_PIECES):
+                b = whole.slice(first, end - first)
+                lists = b.column(len(fields))
+                cut = _cuts(lists)
+                for k, (ids, start) in enumerate(encoder(lists.flatten())):
+                    ends = start[cut]
+                    n = np.diff(ends)
+                    cols = [*b.columns[:len(fields)], _lists(ids, n), pa.array(n.astype(np.int32))]
+                    if sizes is not None:
+                        cols.append(pa.array(np.full(len(b), vocabs[k], np.int32)))
+                    if positions:
+                        cols += [pa.array(np.full(len(b), part, np.int32)), pa.array(at[k] + ends[:-1])]
+                        at[k] += int(ends[-1])
+                    yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return src.mapInArrow(run, schema)
 
