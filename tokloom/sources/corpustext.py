@@ -1,9 +1,10 @@
 """A corpus as flat text files, and a data source that reads it in pieces of bounded size.
 
 The corpus is one stream of text: the files of a folder in the order of their names.
-The reader divides it into partitions by bytes, whatever its files and documents, so a document of any size is read by many
-tasks, each in bounded memory. A partition begins and ends where white space follows something else: there a
-pre-token piece always ends, so the pieces of the parts are the pieces of the whole.
+The reader divides it into chunks by bytes, whatever its files and documents, so a document of any size is read by many
+tasks, each in bounded memory. A chunk begins and ends where white space follows something else: there a
+pre-token piece always ends, so the pieces of the parts are the pieces of the whole. A row is a chunk; a partition holds
+several that follow each other when the stream has many, so that tasks grow with the bytes and not with the chunks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes that a reader holds at a time while it looks for a place to cut.
 READ_BYTES = 1 << 16
+#: A stream of more than ``FEW_PARTS`` chunks is read in partitions of several chunks, of up to ``PART_BYTES`` (or one chunk).
+FEW_PARTS, PART_BYTES = 256, 8 << 20
 BLANKS = b" \t\n\r"
 
 
@@ -103,13 +106,18 @@ class CorpusTextReader(DataSourceReader):
 
     def partitions(self) -> list[Span]:
         size = sum(n for _, n in self.files)
-        return [Span(a, min(a + self.chunk, size)) for a in range(0, size, self.chunk)] or [Span(0, 0)]
+        step = self.chunk * max(1, min(PART_BYTES, size // FEW_PARTS) // self.chunk)
+        return [Span(a, min(a + step, size)) for a in range(0, size, step)] or [Span(0, 0)]
 
     def read(self, partition: Span) -> Iterator[tuple[int, str]]:
         s = Stream(self.path, self.files)
-        a, z = s.cut(partition.first), s.cut(partition.last) if partition.last < s.size else s.size
-        if a < z:
-            yield a, s.read(a, z - a).decode("utf-8", "replace")
+        a = s.cut(partition.first)
+        for first in range(partition.first, partition.last, self.chunk):
+            last = min(first + self.chunk, partition.last)
+            z = s.cut(last) if last < s.size else s.size
+            if a < z:
+                yield a, s.read(a, z - a).decode("utf-8", "replace")
+            a = max(a, z)
 
 
 class CorpusText(DataSource):
