@@ -89,9 +89,9 @@ def symbol_string(c) -> Column:
 
     This is the state the pair-merge loop rewrites with plain string replaces.
     """
-    ids = F.transform(_hex_pairs(c), lambda h: F.concat(
-        F.lit("|"), (F.conv(h, 16, 10).cast("int") + 1).cast("string"), F.lit("|")))
-    return F.array_join(ids, "")
+    # One character per byte: its code is the byte.
+    chars = F.filter(F.split(F.decode(F.encode(_c(c), "UTF-8"), "ISO-8859-1"), "", -1), lambda x: x != "")
+    return F.array_join(F.transform(chars, lambda x: F.concat(F.lit("|"), (F.ascii(x) + 1).cast("string"), F.lit("|"))), "")
 
 
 def byte_values(c) -> Column:

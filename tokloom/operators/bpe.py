@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ from pyspark.sql import types as Ty
 
 from ..functions.constants import END_OF_TEXT, MAX_VOCAB, MIN_PAIR_FREQUENCY, N_BYTE_SYMBOLS
 from ..session import materialize
+from .merging import MergeTable, joined, merged, pair_keys, parsed, summed, written
 from .pieces import initial_types, pair_rows
 
 FIRST_MERGE_ID = N_BYTE_SYMBOLS + 1
@@ -178,11 +180,23 @@ def merge_segments(segments: list[str], counts: list[int], floor: int, wanted: i
 def segment_counts(state: DataFrame, active: list[tuple[int, int, int]]) -> DataFrame:
     """``seg, cnt``: the stretches of symbols (joined by ``||``) whose neighbours are all active
     pairs, equal ones summed."""
-    pairs = ",".join(f"'{left}|{right}'" for left, right, _ in active)
-    parts = state.select("cnt", F.split(F.expr("substring(y, 2, length(y) - 2)"), r"\|\|").alias("s"))
-    joined = F.expr("array_join(zip_with(s, slice(s, 2, size(s)), (a, b) -> concat(a, CASE WHEN b IS NULL THEN '' "
-                    f"WHEN concat(a, '|', b) IN ({pairs}) THEN '||' ELSE '#' END)), '')")
-    return (parts.select("cnt", F.explode(F.split(joined, "#")).alias("seg")).where(F.col("seg").contains("||"))
+    keys = state.sparkSession.sparkContext.broadcast(np.sort(np.array([left * MAX_VOCAB + right for left, right, _ in active], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sym, size = parsed(b.column("y"))
+            seg = np.repeat(np.arange(len(size)), size)
+            held = np.zeros(len(sym), bool)             # whether a symbol and the next one are an active pair
+            i = np.flatnonzero(seg[1:] == seg[:-1])
+            held[i] = np.isin(pair_keys(sym[i], sym[i + 1]), keys.value, kind="sort")
+            first = np.flatnonzero(held & ~np.concatenate([[False], held[:-1]]))
+            n = np.flatnonzero(held & ~np.concatenate([held[1:], [False]])) + 2 - first
+            inside = held | np.concatenate([[False], held[:-1]])
+            coded = joined(sym[inside], n).dictionary_encode()
+            at, sums = summed(coded.indices.to_numpy(zero_copy_only=False), b.column("cnt").to_numpy(zero_copy_only=False)[seg[first]])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(at)), pa.array(sums)], ["seg", "cnt"])
+
+    return (state.select("y", "cnt").mapInArrow(run, "seg string, cnt long")
             .groupBy("seg").agg(F.sum("cnt").cast("bigint").alias("cnt")))
 
 
@@ -221,20 +235,18 @@ def _round(state: DataFrame, pairs: DataFrame, wanted: int, next_id: int, min_fr
 
 def rewritten(state: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFrame:
     """``piece, cnt, y, old``: symbols after ``merges`` in their order; ``old`` is what they were, null if unchanged."""
-    ranks = state.sparkSession.sparkContext.broadcast(
-        {(str(left), str(right)): (i, str(new)) for i, (left, right, new, _) in enumerate(merges)})
+    table = state.sparkSession.sparkContext.broadcast(
+        MergeTable({(left, right): (i, new) for i, (left, right, new, _) in enumerate(merges)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .encode import _merge_word
         for b in batches:
-            was = b.column("y").to_pylist()
-            now, old = [], []
-            for y in was:
-                s = y[1:-1].split("||")
-                t = _merge_word(s, ranks.value)
-                now.append(y if t is s else f"|{'||'.join(t)}|")
-                old.append(None if t is s else y)
-            yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("cnt"), pa.array(now, pa.string()), pa.array(old, pa.string())],
+            y = b.column("y")
+            sym, size = parsed(y)
+            sym, n = merged(sym, size, table.value)
+            other = n != size
+            mask = pa.array(other)
+            now = pc.replace_with_mask(y, mask, written(sym[np.repeat(other, n)], n[other]))
+            yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("cnt"), now, pc.if_else(mask, y, pa.scalar(None, pa.string()))],
                                              ["piece", "cnt", "y", "old"])
 
     return state.select("piece", "cnt", "y").mapInArrow(run, "piece string, cnt long, y string, old string")
@@ -242,15 +254,13 @@ def rewritten(state: DataFrame, merges: list[tuple[int, int, int, int]]) -> Data
 
 def _top_pairs(pair_table: DataFrame, min_frequency: int, fetch: int) -> list[tuple[int, int, int]]:
     """The ``fetch`` most frequent pairs by (count desc, left, right)."""
-    lr = F.split(F.expr("substring(pair, 2, length(pair) - 2)"), r"\|\|")
-    t = (pair_table.where(F.col("cnt") >= min_frequency)
-         .select(lr[0].cast("int").alias("left"), lr[1].cast("int").alias("right"), "cnt"))
+    t = pair_table.where(F.col("cnt") >= min_frequency)
     rows = t.orderBy(F.desc("cnt"), "left", "right").limit(fetch).collect()
     return [(int(r["left"]), int(r["right"]), int(r["cnt"])) for r in rows]
 
 
 def _pair_table(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("pair").agg(F.sum("cnt").cast("bigint").alias("cnt")).where(F.col("cnt") != 0)
+    return rows.groupBy("left", "right").agg(F.sum("cnt").cast("bigint").alias("cnt")).where(F.col("cnt") != 0)
 
 
 def train_bpe(piece_counts: DataFrame, vocab_size: int,
@@ -274,7 +284,7 @@ def train_bpe(piece_counts: DataFrame, vocab_size: int,
     state = types.where(F.col("y").contains("||")).persist(level)
     pairs = _pair_table(pair_rows(state)).persist(level)
     merges: list[tuple[int, int, int, int, int]] = []
-    rounds, most = 0, 256
+    rounds, most = 0, 64        # a first round of more pairs seldom fits the table of segments, and tries cost a pass each
     targets = sorted({v - FIRST_MERGE_ID for v in (snapshots or []) if FIRST_MERGE_ID <= v < vocab_size})
     snaps: dict[int, DataFrame] = {}
 
