@@ -71,6 +71,16 @@ def store(spark, trained, tmp_path_factory):
     return TokenStore(spark, path), ids
 
 
+def test_derived_columns_are_found_for_the_ordered_rows(spark, trained, tmp_path):
+    _, res = trained
+    rows = [(i, "train", 10 * i, 5, "one two" if i % 2 else "three") for i in range(20)]
+    corpus = spark.createDataFrame(rows, "doc_id long, split string, start_byte long, n_bytes long, doc string")
+    derived = {"n_doc_chars": F.length("doc").cast("bigint"), "n_words": F.size(F.split("doc", " "))}
+    write_store(corpus, str(tmp_path / "s"), res.merge_list, [280], res.types, parts=3, derived=derived)
+    got = TokenStore(spark, str(tmp_path / "s")).tokens().orderBy("start_byte").collect()
+    assert [(r["doc_id"], r["n_words"], r["n_doc_chars"]) for r in got] == [(i, 1 + i % 2, 7 if i % 2 else 5) for i in range(20)]
+
+
 def test_positions_follow_the_corpus(store):
     s, ids = store
     for v in (280, 400):

@@ -24,9 +24,9 @@ def _c(c) -> Column:
 def clean_text(c) -> Column:
     """Light whitespace normalisation, in this order: CRLF -> LF; NBSP -> space;
     runs of spaces/tabs -> one space; three or more LF -> two LF; strip."""
-    t = F.regexp_replace(_c(c), "\r\n", "\n")
-    t = F.regexp_replace(t, "\u00a0", " ")
-    t = F.regexp_replace(t, "[ \t]+", " ")
+    t = F.replace(_c(c), F.lit("\r\n"), F.lit("\n"))
+    t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
+    t = F.regexp_replace(t, "\t[ \t]*| [ \t]+", " ")      # a single space stays as it is, so it is no match
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
     return F.regexp_replace(t, STRIP, "")
 

@@ -121,7 +121,9 @@ def of_bytes(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their numbers."""
-    distinct, at = np.unique(key, return_inverse=True)
-    out = np.zeros(len(distinct), np.int64)
-    np.add.at(out, at, n)
-    return distinct, out
+    if not len(key):
+        return key, np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")       # goes fast over keys that are sorted in parts
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n[order], first, dtype=np.int64)

@@ -72,10 +72,9 @@ def token_store(spark: SparkSession, sf_dir: str, vocabs: list[int] = QUERY_VOCA
     path = stages.stage_path(spark, "tokens", stages.fingerprint(spark, sf_dir, "documents"), vocabs)
 
     def write(p: str) -> None:
-        corpus = prepared(spark, sf_dir).withColumn("n_doc_chars", F.length("doc").cast("bigint")).withColumn(
-            "n_words", T.whitespace_words("doc"))
         merges, types = tokenizer(spark, sf_dir, vocabs[-1])
-        write_store(corpus, p, merges, vocabs, types)
+        write_store(prepared(spark, sf_dir), p, merges, vocabs, types,
+                    derived={"n_doc_chars": F.length("doc").cast("bigint"), "n_words": T.whitespace_words("doc")})
 
     return TokenStore(spark, stages.stored(spark, path, write))
 

@@ -23,10 +23,14 @@ KEYS = ["doc_id", "split", "start_byte", "n_bytes", "n_doc_chars", "n_words"]
 
 
 def write_store(corpus: DataFrame, path: str, merges: list[Merge], sizes: Sequence[int], types: DataFrame | None = None,
-                parts: int | None = None) -> None:
-    """Encode ``corpus`` (``doc`` and :data:`KEYS`) into a store at ``path``, by each vocabulary in ``sizes``."""
+                parts: int | None = None, derived: dict[str, Column] | None = None) -> None:
+    """Encode ``corpus`` (``doc`` and :data:`KEYS`) into a store at ``path``, by each vocabulary in ``sizes``.
+
+    ``derived``: those of the :data:`KEYS` that are found from the others once the rows lie in order, and so only once
+    (the ranges are found from a pass over ``corpus`` of its own)."""
     order = corpus.repartitionByRange(parts, "start_byte") if parts else corpus.repartitionByRange("start_byte")
-    tokens = encode_texts(order.sortWithinPartitions("start_byte"), "doc", KEYS, merges, sizes, types=types, positions=True)
+    ordered = order.sortWithinPartitions("start_byte").withColumns(derived or {})
+    tokens = encode_texts(ordered, "doc", KEYS, merges, sizes, types=types, positions=True)
     tokens.write.mode("overwrite").partitionBy("vocab", "split", "part").parquet(os.path.join(path, "tokens"))
     stored = corpus.sparkSession.read.parquet(os.path.join(path, "tokens"))
     per = stored.groupBy("vocab", "split", "part").agg(
